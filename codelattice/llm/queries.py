@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, sharding, simhash, token_counts, url_filter
+from . import chat_format, exact_dedup, mixing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(parts).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_token_counts, op5_chat_formatting, op7_simhash_dedup, op9_sharding, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op9_sharding, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
