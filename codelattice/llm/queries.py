@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, sharding, simhash, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, exact_dedup, mixing, sharding, simhash, suffix_dedup, token_counts, url_filter
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -53,7 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op9_sharding, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op8_benchmark_decontamination, op9_sharding, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
