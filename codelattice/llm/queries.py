@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, mixing, sharding, simhash, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, url_filter
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "top_passage", "top_weight")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op8_benchmark_decontamination, op9_sharding, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_quality_classifier, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op8_benchmark_decontamination, op9_sharding, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {
