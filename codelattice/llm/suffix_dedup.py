@@ -3,10 +3,13 @@
 Every byte that a string of ``MATCH`` bytes covers which also starts in a
 document of a smaller doc_id is removed. Documents are dealt to batches of
 consecutive ids and bounded size. Strings are indexed in shards; in a shard
-the batches arrive in order, each gets the sorted array of its suffixes (to
-the depth of a match), is merge-scanned against the levels that earlier
-batches left, and becomes a level itself; levels of like size are merged, so
-there are logarithmically many.
+the batches arrive in order, each gets the sorted array of its suffixes, is
+merge-scanned against the levels that earlier batches left, and becomes a
+level itself; levels of like size are merged, so there are logarithmically
+many. Suffixes are cut to the depth of a match and ordered by a fingerprint of
+these bytes, which sorts as a number; what a scan finds equal is compared byte
+by byte, and a shard in which a fingerprint deceives is redone in the order of
+the bytes themselves.
 
 Indexing every position would shuffle each byte many times over. A string of
 50 bytes has one minimizer among its 31 grams of 20 bytes, and equal strings
@@ -47,10 +50,10 @@ GRAM = 20
 #: Bytes of text in a batch, unless one id range holds more.
 BATCH_BYTES = 12 << 20
 #: Bytes of text for each shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Bytes whose grams are hashed at once.
-CHUNK = 2 << 20
-#: Merge-scans for each shard: a new array holds this part of the shard.
+CHUNK = 256 << 10
+#: New arrays for each shard, about: batches arrive together up to this part of it.
 SCANS = 8
 HASH_BITS = 46
 
@@ -100,7 +103,10 @@ def minimizer_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     anchor = (m[at] & _POS).astype(np.int64)
     new = np.flatnonzero((anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)) + 1
     first, last = at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])]
-    return first, last, h[anchor[np.concatenate([[0], new])]] >> np.uint64(64 - HASH_BITS)
+    # Minimizers are small; mixed again their hashes spread over all shards.
+    own = h[anchor[np.concatenate([[0], new])]] * np.uint64(0x9FB21C651E98DF25)
+    own = (own ^ (own >> np.uint64(35))) * np.uint64(0xD6E8FEB86659FD93)
+    return first, last, (own ^ (own >> np.uint64(32))) >> np.uint64(64 - HASH_BITS)
 
 
 class _Batch:
@@ -255,40 +261,87 @@ def _neighbourhoods(shards: int, hash_shards: int):
 
 
 class SuffixLevels:
-    """A logarithmic family of sorted arrays of distinct strings of MATCH bytes."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def scan(self, fresh: np.ndarray) -> np.ndarray:
-        """Which entries of the sorted, distinct ``fresh`` are on a level."""
-        found = np.zeros(len(fresh), bool)
-        for level in self.levels:
-            # A merge of two sorted runs; a level's entry precedes its equal.
-            both = np.concatenate([level, fresh])
-            order = np.argsort(both, kind="stable")
-            merged = both[order]
-            twice = np.flatnonzero(merged[1:] == merged[:-1]) + 1
-            found[order[twice] - len(level)] = True
+    """A logarithmic family of sorted arrays of distinct strings.
+
+    A level is (keys, places): sorted keys of strings, and where each is.
+    """
+
+    def __init__(self, differ):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Whether any of the strings at two arrays of places differ.
+        self.differ = differ
+
+    def scan(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which of the sorted, distinct ``keys`` are on a level."""
+        found = np.zeros(len(keys), bool)
+        for held, at in self.levels:
+            near = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            same = np.flatnonzero(held[near] == keys)
+            if self.differ(at[near[same]], places[same]):
+                raise _Deceived
+            found[same] = True
         return found
 
-    def add(self, fresh: np.ndarray) -> None:
-        """``fresh`` (sorted, on no level) becomes a level; like-sized levels merge."""
-        if len(fresh):
-            self.levels.append(fresh)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.sort(np.concatenate([a, b]), kind="stable"))
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Sorted strings on no level become a level; like-sized levels merge."""
+        if len(keys):
+            self.levels.append((keys, places))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+            (b, y), (a, x) = self.levels.pop(), self.levels.pop()
+            keys, places = np.concatenate([a, b]), np.concatenate([x, y])
+            order = np.argsort(keys, kind="stable")
+            self.levels.append((keys[order], places[order]))
+
 
+class _Deceived(Exception):
+    """Two strings that differ have one fingerprint."""
 
-def _strings(blob: bytes, lengths: np.ndarray):
-    """All strings of the neighbourhoods in ``blob``, and each one's neighbourhood."""
-    n = lengths.astype(np.int64) - MATCH + 1
-    begin = np.cumsum(lengths.astype(np.int64)) - lengths
-    of = np.repeat(np.arange(len(n)), n)
-    at = begin[of] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(blob, np.uint8), MATCH)
-    return np.ascontiguousarray(windows[at]).view(f"S{MATCH}").reshape(-1), of
+
+def string_keys(data: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of the MATCH bytes at each place."""
+    one = _TABLE[data]
+    two = _pair(one, one[1:], 21)
+    four = _pair(two, two[2:], 22)
+    eight = _pair(four, four[4:], 23)
+    sixteen = _pair(eight, eight[8:], 24)
+    thirty_two = _pair(sixteen, sixteen[16:], 25)
+    h = _pair(_pair(thirty_two, sixteen[32:], 26), two[48:], 27)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """Where the strings of neighbourhoods of these lengths start, laid end to end."""
+    n = lengths - MATCH + 1
+    at = np.arange(int(n.sum()))
+    return at + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(n) - n), n)
+
+
+def _answers(data: np.ndarray, place: np.ndarray, key: np.ndarray, first_key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each string: -1 if an earlier scan has it, else the least ``first_key`` of its scan."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, MATCH)
+
+    def differ(a, b):
+        return any((windows[a[i : i + 65536]] != windows[b[i : i + 65536]]).any() for i in range(0, len(a), 65536))
+
+    family, out = SuffixLevels(differ), np.empty(len(place), np.int64)
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        suffixes = np.argsort(key[a:z], kind="stable")
+        ordered, at = key[a:z][suffixes], place[a:z][suffixes]
+        new = np.ones(z - a, bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        edge = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        twice = np.flatnonzero(~new)
+        if differ(at[twice], at[edge[group[twice]]]):
+            raise _Deceived
+        first = np.minimum.reduceat(first_key[a:z][suffixes], edge)
+        known = family.scan(ordered[edge], at[edge])
+        family.add(ordered[edge][~known], at[edge][~known])
+        first[known] = -1
+        out[a:z][suffixes] = first[group]
+    return out
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
@@ -298,36 +351,27 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
     its own batch that has it.
     """
     rows = rows.sort_values("batch").reset_index(drop=True)
-    count = np.array([int(np.frombuffer(x, np.uint8).astype(np.int64).sum()) - (MATCH - 1) * len(x) for x in rows["lengths"]])
-    share = max(1, math.ceil(count.sum() / SCANS))
-    family, answers, i = SuffixLevels(), [], 0
-    while i < len(rows):
-        j, size = i, 0
-        while j < len(rows) and (j == i or size + count[j] <= share):
-            size += count[j]
-            j += 1
-        strings, order_key = [], []
-        for k in range(i, j):
-            lengths = np.frombuffer(rows["lengths"][k], np.uint8)
-            s, of = _strings(zlib.decompress(rows["payload"][k]), lengths)
-            strings.append(s)
-            order_key.append((np.int64(k - i) << np.int64(32)) | np.frombuffer(rows["first_rank"][k], np.uint32).astype(np.int64)[of])
-        s, key = np.concatenate(strings), np.concatenate(order_key)
-        suffixes = np.argsort(s, kind="stable")
-        ordered = s[suffixes]
-        edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-        first = np.minimum.reduceat(key[suffixes], edge)
-        fresh = ordered[edge]
-        known = family.scan(fresh)
-        group = np.empty(len(s), np.int64)
-        group[suffixes] = np.repeat(np.arange(len(edge)), np.diff(np.concatenate([edge, [len(s)]])))
-        family.add(fresh[~known])
-        first[known] = -1
-        first = first[group]
-        same = (first >> 32) == (key >> 32)
-        answer = np.where(same & (first >= 0), (first & 0xFFFFFFFF) + 1, 0).astype(np.uint32)
-        answers += [zlib.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(count[i:j])[:-1])]
-        i = j
+    lengths = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["lengths"]]
+    count = np.array([int(x.sum()) - (MATCH - 1) * len(x) for x in lengths])
+    data = np.frombuffer(b"".join(zlib.decompress(x) for x in rows["payload"]), np.uint8)
+    all_lengths = np.concatenate(lengths)
+    place = _places(all_lengths)
+    rank = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["first_rank"]]).astype(np.int64)
+    first_key = (np.repeat(np.arange(len(rows)), count) << 32) | np.repeat(rank, all_lengths - MATCH + 1)
+    cuts, share = [0], count.sum() / SCANS
+    for upto in np.cumsum(count).tolist():
+        if upto - cuts[-1] >= share or upto == len(place):
+            cuts.append(upto)
+    cuts = np.unique(cuts)
+    try:
+        first = _answers(data, place, string_keys(data)[place], first_key, cuts)
+    except _Deceived:
+        windows = np.lib.stride_tricks.sliding_window_view(data, MATCH)
+        exact = np.unique(np.ascontiguousarray(windows[place]).view(f"S{MATCH}").reshape(-1), return_inverse=True)[1]
+        first = _answers(data, place, exact.reshape(-1).astype(np.uint64), first_key, cuts)
+    same = (first >= 0) & ((first >> 32) == (first_key >> 32))
+    answer = np.where(same, (first & 0xFFFFFFFF) + 1, 0).astype(np.uint32)
+    answers = [zlib.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(count)[:-1])]
     return pd.DataFrame({"kind": "hit", "shard": rows["shard"], "batch": rows["batch"], "lengths": b"", "first_rank": b"", "payload": answers})
 
 
