@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, text_or_empty
@@ -182,16 +182,18 @@ def mix(docs: DataFrame, weights=None, text: str = "text") -> DataFrame:
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as ``mixed`` takes them.
 
-    Rows are matched by doc_id, size and their rank among rows that share
-    both, so repeated rows get a decision each.
+    Rows are matched by doc_id. Where ids repeat, rows that share id, source
+    and size are told apart by number, so each gets a decision of its own.
     """
-    from pyspark.sql import Window
-
-    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint")
-    same = Window.partitionBy("__id", "__size", "__src")
-    left = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__size", size).withColumn("__src", F.col("source").cast("string"))
-    left = left.withColumn("__turn", F.row_number().over(same.orderBy(F.lit(1))))
-    right = mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__src"), "copies").withColumn("__turn", F.row_number().over(same.orderBy("copies")))
-    on = left["__id"].eqNullSafe(right["__id"]) & (left["__size"] == right["__size"]) & left["__src"].eqNullSafe(right["__src"]) & (left["__turn"] == right["__turn"])
-    met = left.join(right.filter("copies > 0"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    decided = cut(mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__src"), "copies"), "decided")
+    left = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    if decided.groupBy("__id").count().filter("count > 1 or __id is null").isEmpty():
+        met = left.join(decided.filter("copies > 0").select("__id", "copies"), "__id")
+    else:
+        same = Window.partitionBy("__id", "__size", "__src")
+        left = left.withColumn("__size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint")).withColumn("__src", F.col("source").cast("string"))
+        left = left.withColumn("__turn", F.row_number().over(same.orderBy(F.xxhash64("text"))))
+        right = decided.withColumn("__turn", F.row_number().over(same.orderBy("copies"))).filter("copies > 0")
+        met = left.join(right, left["__id"].eqNullSafe(right["__id"]) & (left["__size"] == right["__size"]) & left["__src"].eqNullSafe(right["__src"]) & (left["__turn"] == right["__turn"]))
+    met = met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return met.select(*[left[c] for c in docs.columns])

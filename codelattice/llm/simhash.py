@@ -41,6 +41,8 @@ SEED = 42
 TRIE_KEYS = 48
 #: Fingerprints in a sub-trie above which it is dealt again.
 LARGE_TRIE = 200_000
+#: Fingerprints in a sub-trie up to which all its near pairs may be reported.
+PAIRS_TRIE = 64
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 20
 
@@ -80,10 +82,10 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def blocks_for(n: int, budget: int = BUDGET) -> int:
+def blocks_for(n: int, budget: int = BUDGET, trie_keys: int = TRIE_KEYS) -> int:
     """The number of blocks for n distinct fingerprints."""
     m = budget + 1
-    while m < budget + 6 and n / 2 ** (64 * (m - budget) // m) > TRIE_KEYS:
+    while m < budget + 6 and n / 2 ** (64 * (m - budget) // m) > trie_keys:
         m += 1
     return m
 
@@ -139,6 +141,38 @@ class _Forest:
         self._changes()
 
 
+class _Pairs:
+    """In place of a forest: every near pair, none skipped."""
+
+    def __init__(self):
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole(self, lo1, hi1, lo2, hi2):
+        return np.zeros(len(lo1), bool)
+
+    def link(self, a, b):
+        self.found.append((a, b))
+
+
+def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``trie_links``, but all near pairs of groups of up to ``PAIRS_TRIE`` keys."""
+    small = np.bincount(groups)[groups] <= PAIRS_TRIE
+    out = []
+    for part, join in ((np.flatnonzero(small), _trie(budget, _Pairs())), (np.flatnonzero(~small), None)):
+        if len(part):
+            a, b = join(keys[part], groups[part]) if join else trie_links(keys[part], groups[part], budget)
+            out.append((part[a], part[b]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _trie(budget: int, pairs: _Pairs):
+    def join(keys, groups):
+        _traverse(keys, groups, budget, pairs)
+        return np.concatenate([x[0] for x in pairs.found] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in pairs.found] or [np.zeros(0, np.int64)])
+
+    return join
+
+
 def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within ``budget`` bits, group by group.
 
@@ -148,8 +182,14 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.nd
     close keys are connected before the wide comparisons above them, which
     skip what is connected by then.
     """
+    forest = _Forest(len(keys))
+    _traverse(keys, groups, budget, forest)
+    child = np.flatnonzero(forest.label != np.arange(len(keys)))
+    return child, forest.label[child]
+
+
+def _traverse(keys: np.ndarray, groups: np.ndarray, budget: int, forest) -> None:
     n = len(keys)
-    forest = _Forest(n)
     ones = np.empty((64, n + 1), np.int32)
     for b in range(64):
         ones[b, 0] = 0
@@ -172,8 +212,6 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.nd
         for i in range(0, len(lo), FRONTIER):
             s = slice(i, i + FRONTIER)
             _cross(keys, ones, forest, budget, b - 1, lo[s], mid[s], mid[s], hi[s], np.ones(len(lo[s]), np.int8))
-    child = np.flatnonzero(forest.label != np.arange(n))
-    return child, forest.label[child]
 
 
 def _cross(keys, ones, forest, budget, bit, lo1, hi1, lo2, hi2, err):
@@ -206,7 +244,7 @@ def _cross(keys, ones, forest, budget, bit, lo1, hi1, lo2, hi2, err):
             todo.append((bit - 1, n1[s], n2[s], k1[s], k2[s], e[s]))
 
 
-def _join_partition(batches, budget: int, at_once: int = 400_000):
+def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 400_000):
     """Sorted rows (mask, value, fp) to links (a, b), some sub-tries at a time."""
     held: list[np.ndarray] = []
 
@@ -218,7 +256,7 @@ def _join_partition(batches, budget: int, at_once: int = 400_000):
         keys = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
         order = np.lexsort((keys, groups))
         keys, groups = keys[order], groups[order]
-        child, parent = trie_links(keys, groups, budget)
+        child, parent = (trie_pairs if pairs else trie_links)(keys, groups, budget)
         if len(child):
             signed = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[parent])], ["a", "b"])
@@ -245,10 +283,14 @@ def _deal(rows: DataFrame, choices: list[int]) -> DataFrame:
     return rows.select("fp", F.explode(F.array(*[F.lit(_signed(x)) for x in choices])).alias("mask")).select("mask", F.expr("fp & mask").alias("value"), "fp")
 
 
-def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE) -> DataFrame:
-    """Links (a, b) between fingerprints (fp, distinct) that connect all pairs within ``budget`` bits."""
+def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE, pairs: bool = False, trie_keys: int = TRIE_KEYS) -> DataFrame:
+    """Links (a, b) between fingerprints (fp, distinct) that connect all pairs within ``budget`` bits.
+
+    With ``pairs`` every near pair of a small sub-trie is reported, maybe
+    more than once.
+    """
     n = distinct.count()
-    m = blocks_for(n, budget)
+    m = blocks_for(n, budget, trie_keys)
     dealt = _deal(distinct, masks(m, budget))
     found = None
     for _ in range(6):
@@ -256,7 +298,7 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRI
         crowded = not counts.isEmpty()
         ready = dealt.join(counts.select("mask", "value"), ["mask", "value"], "left_anti") if crowded else dealt
         parts = int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _join_partition(b, budget), "a bigint, b bigint"), "links")
+        links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _join_partition(b, budget, pairs), "a bigint, b bigint"), "links")
         found = links if found is None else found.unionByName(links)
         if not crowded:
             break
@@ -286,5 +328,70 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, budget: int = BUDG
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of the verified near-dedup: words in a shingle, least Jaccard similarity
+#: and the budget at which pairs of that similarity are met.
+NEAR_WIDTH, NEAR_SIMILARITY, NEAR_BUDGET = 5, 0.8, 10
+NEAR_TRIE_KEYS = 256
+
+
+def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
+    """node, shingles: the distinct shingle hashes of each text."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").to_pylist():
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+                sets.append(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET) -> DataFrame:
+    """doc_id, component_id: groups of texts whose shingle sets are similar.
+
+    The trie self-join proposes pairs within ``budget`` bits; the Jaccard
+    similarity of the shingle sets decides each. Equal texts are one node,
+    named by their smallest doc_id; rows without one are not grouped.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
+    fps = fingerprints(texts, width)
+    digests = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    # The digest and the fingerprint of a row come from one text; equal texts agree in both.
+    nodes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    firsts = cut(fps.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "firsts")
+    by_fp = cut(firsts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
+    links = near_pairs(by_fp.select("fp"), budget, pairs=True, trie_keys=NEAR_TRIE_KEYS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    name = by_fp.select(F.col("fp"), "first")
+    edges = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
+    same_fp = firsts.join(by_fp.filter("n > 1").select("fp", "first"), "fp").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    edges = cut(edges.unionByName(same_fp), "candidates")
+    ends = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("y").alias("doc_id"))).distinct()
+    sets = cut(shingle_sets(texts.join(ends, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")).dropDuplicates(["node"]), "shingles")
+    met = edges.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
+    both = F.size(F.array_intersect("s", "t"))
+    alike = met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("x", "y")
+    roots = connected_components(alike, "x", "y")
+    classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return digests.join(classes, "digest").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the smallest doc_id stays.
+
+    Rows without a doc_id stay. Of rows that repeat a doc_id that stays, one does.
+    """
+    groups = cut(near_duplicates(docs, **options), "groups")
+    stay = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    many = cut(stay, "stay")
+    kept = docs.join(many.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not many.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def hex_fingerprint(fp="fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
