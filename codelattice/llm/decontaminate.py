@@ -218,8 +218,8 @@ class Items:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.grams = np.unique(np.concatenate([_grams(w) for w in self.words]))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.grams >> _U(44)).astype(np.int64)] = True
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.gram_bits, self.word_bits = self._bits(self.grams), self._bits(self.vocabulary)
         self.groups = []
         for n in sorted({len(w) for w in self.words}):
             mine = [k for k, w in enumerate(self.words) if len(w) == n]
@@ -231,11 +231,19 @@ class Items:
         self.reach = max(g[0] + allowed(g[0]) for g in self.groups)
         self.least = min(g[1] for g in self.groups)
 
-    def has_gram(self, g: np.ndarray) -> np.ndarray:
-        out = self.bits[(g >> _U(44)).astype(np.int64)]
+    @staticmethod
+    def _bits(held: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << 20, bool)
+        out[(held >> _U(44)).astype(np.int64)] = True
+        return out
+
+    @staticmethod
+    def _among(asked: np.ndarray, held: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Which of ``asked`` are in the sorted ``held``; ``bits`` knows most strangers."""
+        out = bits[(asked >> _U(44)).astype(np.int64)]
         at = np.flatnonzero(out)
-        near = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
-        out[at] = self.grams[near] == g[at]
+        near = np.minimum(np.searchsorted(held, asked[at]), len(held) - 1)
+        out[at] = held[near] == asked[at]
         return out
 
     def meet(self, h: np.ndarray, doc: np.ndarray, doc_end: np.ndarray):
@@ -248,44 +256,63 @@ class Items:
         hit = np.zeros(len(h) + 1, np.int32)
         if n_grams:
             inside = doc[:n_grams] == doc[GRAM - 1 :]
-            hit[1 : n_grams + 1] = self.has_gram(_grams(h)) & inside
+            hit[1 : n_grams + 1] = self._among(_grams(h), self.grams, self.gram_bits) & inside
         count = np.cumsum(hit)
         ahead = np.minimum(np.arange(len(h)) + self.reach, doc_end)
         starts = np.flatnonzero(count[ahead] - count[:-1] >= self.least)
         if not len(starts):
             return starts, starts
+        common = np.zeros(len(h) + 1, np.int32)
+        np.cumsum(self._among(h, self.vocabulary, self.word_bits), out=common[1:])
         padded = np.concatenate([h, np.zeros(self.reach + 1, np.uint64)])
-        found_at, found_item = [], []
+        found = []
         for n, least, walk, mine, tables in self.groups:
-            to = np.minimum(starts + n + allowed(n), doc_end[starts])
-            s = starts[(count[to] - count[starts] >= least) & (doc_end[starts] - starts >= n - allowed(n))]
+            slack = allowed(n)
+            to = np.minimum(starts + n + slack, doc_end[starts])
+            s = starts[(count[to] - count[starts] >= least) & (common[to] - common[starts] >= n - slack)]
             for i in range(0, len(s), WINDOWS):
-                part = s[i : i + WINDOWS]
-                at = part[:, None] + np.arange(n)
-                windows = np.where(at < doc_end[part][:, None], padded[at], _U(0))
-                digest = np.zeros(len(part), np.uint64)
-                for c in range(n):
-                    digest = digest * _U(_M) + windows[:, c]
-                _, one, back = np.unique(digest, return_index=True, return_inverse=True)
-                keys = walk.keys(windows[one])
-                for c, (table, order) in enumerate(tables):
-                    lo, hi = np.searchsorted(table, keys[:, c], "left"), np.searchsorted(table, keys[:, c], "right")
-                    live = np.flatnonzero(hi > lo)
-                    if not len(live):
-                        continue
-                    of = np.repeat(live, hi[live] - lo[live])
-                    step = np.arange(len(of)) - np.repeat(np.cumsum(hi[live] - lo[live]) - (hi[live] - lo[live]), hi[live] - lo[live])
-                    item = mine[order[lo[of] + step]]
-                    # All windows with this content, not only the embedded one.
-                    pairs = np.unique(np.stack([of, item], axis=1), axis=0)
-                    by = np.argsort(back, kind="stable")
-                    a, z = np.searchsorted(back[by], pairs[:, 0], "left"), np.searchsorted(back[by], pairs[:, 0], "right")
-                    found_at.append(np.concatenate([part[by[x:y]] for x, y in zip(a, z)]))
-                    found_item.append(np.repeat(pairs[:, 1], z - a))
-        if not found_at:
+                found += self._meet_group(s[i : i + WINDOWS], n, walk, mine, tables, padded, doc_end)
+        if not found:
             return starts[:0], starts[:0]
-        both = np.unique(np.stack([np.concatenate(found_item), np.concatenate(found_at)], axis=1), axis=0)
-        return both[:, 1], both[:, 0]
+        code = np.unique(np.concatenate(found))
+        return code & np.int64(0xFFFFFFFF), code >> np.int64(32)
+
+    def _meet_group(self, part, n, walk, mine, tables, padded, doc_end):
+        """Codes (item << 32 | start) of the windows of n words at ``part`` that meet an item."""
+        at = part[:, None] + np.arange(n + allowed(n))
+        wide = np.where(at < doc_end[part][:, None], padded[at], _U(0))
+        windows = wide[:, :n]
+        digest = np.zeros(len(part), np.uint64)
+        for c in range(wide.shape[1]):
+            digest = digest * _U(_M) + wide[:, c]
+        _, one, back = np.unique(digest, return_index=True, return_inverse=True)
+        keys = walk.keys(windows[one])
+        met = []
+        for c, (table, order) in enumerate(tables):
+            lo, hi = np.searchsorted(table, keys[:, c], "left"), np.searchsorted(table, keys[:, c], "right")
+            live = np.flatnonzero(hi > lo)
+            if len(live):
+                many = hi[live] - lo[live]
+                of = np.repeat(live, many)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                met.append(of * len(self.words) + mine[order[lo[of] + step]])
+        if not met:
+            return []
+        met = np.unique(np.concatenate(met))
+        of, item = met // len(self.words), met % len(self.words)
+        # A match holds n - t of the item's words; what does not goes without a verification.
+        near = np.zeros(len(of), bool)
+        for k in np.unique(item).tolist():
+            rows = np.flatnonzero(item == k)
+            near[rows] = np.isin(wide[one[of[rows]]], self.words[k]).sum(axis=1) >= n - allowed(n)
+        of, item = of[near], item[near]
+        if not len(of):
+            return []
+        # All windows with this content, not only the embedded one.
+        by = np.argsort(back, kind="stable")
+        a, z = np.searchsorted(back[by], of, "left"), np.searchsorted(back[by], of, "right")
+        which = np.repeat(a, z - a) + np.arange(int((z - a).sum())) - np.repeat(np.cumsum(z - a) - (z - a), z - a)
+        return [(np.repeat(item, z - a).astype(np.int64) << np.int64(32)) | part[by[which]]]
 
 
 def _chunks(column: pa.Array):
