@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import oracles
+from .plans.queries import QUERIES, entry
+
+__all__ = ["entry", "oracle_sql", "queries"]
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, sql in oracles.build().items() if name in QUERIES}
