@@ -2,13 +2,13 @@
 
 An item is leaked where a run of a document's words is within ``ERRORS`` of
 the item's words in edit distance (words: runs of letters and digits, case
-folded for ASCII and Latin-1). Windows of an item's size start at each word;
-the CGK random walk maps a window to a string whose Hamming distance follows
+folded for ASCII and Latin-1). Windows of an item's size start at every second
+word; the CGK random walk maps a window to a string whose Hamming distance follows
 the edit distance: at step j it writes the word it stands on and moves on or
 stays by a random bit of that word. Keys of a few sampled steps, repeated for
 several walks, meet the items' keys; the number of walks is planned by
-simulation so that items with as many edits as allowed are found with the
-target recall. What meets is verified by exact edit distance (bit-parallel),
+simulation so that items with as many edits as allowed, half of them seen from
+one word too early, are found with the target recall. What meets is verified by exact edit distance (bit-parallel),
 so nothing false is reported.
 
 Windows that cannot match are skipped first, by the q-gram lemma: a run
@@ -42,6 +42,8 @@ from .common import text_or_empty
 ERRORS = 0.2
 MIN_WORDS = 8
 GRAM = 3
+#: Windows start at each word whose number in its document is divisible by this.
+STRIDE = 2
 #: Steps in a key, and keys for each walk.
 SAMPLED, KEYS = 3, 8
 RECALL = 0.98
@@ -74,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, (1 << 19) + 1)
         up, down = np.full(size, _M, np.uint64), np.full(size, pow(_M, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         _powers["up"], _powers["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -163,6 +165,8 @@ def _mutate(words: np.ndarray, edits: int, rng) -> np.ndarray:
             out.insert(i, new)
         elif len(out) > 1:
             del out[i]
+    if rng.integers(0, STRIDE):
+        out.insert(0, rng.integers(0, 2**63, dtype=np.uint64))
     out = out[: len(words)] + [_U(0)] * (len(words) - len(out))
     return np.array(out, np.uint64)
 
@@ -226,11 +230,17 @@ class Items:
             walk = Walks(n, walks)
             keys = walk.keys(np.stack([self.words[k] for k in mine]))
             least = n - GRAM + 1 - GRAM * allowed(n)
-            orders = [np.argsort(keys[:, c]) for c in range(keys.shape[1])]
-            self.groups.append((n, max(1, least), walk, np.array(mine), [(keys[o, c], o) for c, o in enumerate(orders)]))
-        self.reach = max(g[0] + allowed(g[0]) for g in self.groups)
+            tagged = (keys ^ self._tags(keys.shape[1])).ravel()
+            order = np.argsort(tagged)
+            self.groups.append((n, max(1, least), walk, tagged[order], np.repeat(mine, keys.shape[1])[order]))
+        self.reach = max(g[0] + allowed(g[0]) for g in self.groups) + STRIDE - 1
         self.least = min(g[1] for g in self.groups)
 
+    @staticmethod
+    def _tags(columns: int) -> np.ndarray:
+        """Makes equal keys of different samples differ."""
+        return _mix(np.arange(1, columns + 1, dtype=np.uint64))
+
     @staticmethod
     def _bits(held: np.ndarray) -> np.ndarray:
         out = np.zeros(1 << 20, bool)
@@ -246,11 +256,11 @@ class Items:
         out[at] = held[near] == asked[at]
         return out
 
-    def meet(self, h: np.ndarray, doc: np.ndarray, doc_end: np.ndarray):
+    def meet(self, h: np.ndarray, doc: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray):
         """(start word, item) pairs whose windows meet an item's key.
 
-        ``doc`` is each word's document and ``doc_end`` the end of that
-        document in words.
+        ``doc`` is each word's document, ``doc_start`` and ``doc_end`` its
+        first word and end.
         """
         n_grams = max(0, len(h) - GRAM + 1)
         hit = np.zeros(len(h) + 1, np.int32)
@@ -260,26 +270,27 @@ class Items:
         count = np.cumsum(hit)
         ahead = np.minimum(np.arange(len(h)) + self.reach, doc_end)
         starts = np.flatnonzero(count[ahead] - count[:-1] >= self.least)
+        starts = starts[(starts - doc_start[starts]) % STRIDE == 0]
         if not len(starts):
             return starts, starts
         common = np.zeros(len(h) + 1, np.int32)
         np.cumsum(self._among(h, self.vocabulary, self.word_bits), out=common[1:])
         padded = np.concatenate([h, np.zeros(self.reach + 1, np.uint64)])
         found = []
-        for n, least, walk, mine, tables in self.groups:
+        for n, least, walk, table, item_of in self.groups:
             slack = allowed(n)
-            to = np.minimum(starts + n + slack, doc_end[starts])
+            to = np.minimum(starts + n + slack + STRIDE - 1, doc_end[starts])
             s = starts[(count[to] - count[starts] >= least) & (common[to] - common[starts] >= n - slack)]
             for i in range(0, len(s), WINDOWS):
-                found += self._meet_group(s[i : i + WINDOWS], n, walk, mine, tables, padded, doc_end)
+                found += self._meet_group(s[i : i + WINDOWS], n, walk, table, item_of, padded, doc_end)
         if not found:
             return starts[:0], starts[:0]
         code = np.unique(np.concatenate(found))
         return code & np.int64(0xFFFFFFFF), code >> np.int64(32)
 
-    def _meet_group(self, part, n, walk, mine, tables, padded, doc_end):
+    def _meet_group(self, part, n, walk, table, item_of, padded, doc_end):
         """Codes (item << 32 | start) of the windows of n words at ``part`` that meet an item."""
-        at = part[:, None] + np.arange(n + allowed(n))
+        at = part[:, None] + np.arange(n + allowed(n) + STRIDE - 1)
         wide = np.where(at < doc_end[part][:, None], padded[at], _U(0))
         windows = wide[:, :n]
         digest = np.zeros(len(part), np.uint64)
@@ -287,18 +298,16 @@ class Items:
             digest = digest * _U(_M) + wide[:, c]
         _, one, back = np.unique(digest, return_index=True, return_inverse=True)
         keys = walk.keys(windows[one])
-        met = []
-        for c, (table, order) in enumerate(tables):
-            lo, hi = np.searchsorted(table, keys[:, c], "left"), np.searchsorted(table, keys[:, c], "right")
-            live = np.flatnonzero(hi > lo)
-            if len(live):
-                many = hi[live] - lo[live]
-                of = np.repeat(live, many)
-                step = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-                met.append(of * len(self.words) + mine[order[lo[of] + step]])
-        if not met:
+        columns = keys.shape[1]
+        keys = (keys ^ self._tags(columns)).ravel()
+        lo = np.searchsorted(table, keys, "left")
+        live = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == keys)
+        if not len(live):
             return []
-        met = np.unique(np.concatenate(met))
+        many = np.searchsorted(table, keys[live], "right") - lo[live]
+        of = np.repeat(live // columns, many)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        met = np.unique(of * len(self.words) + item_of[np.repeat(lo[live], many) + step])
         of, item = met // len(self.words), met % len(self.words)
         # A match holds n - t of the item's words; what does not goes without a verification.
         near = np.zeros(len(of), bool)
@@ -315,15 +324,18 @@ class Items:
         return [(np.repeat(item, z - a).astype(np.int64) << np.int64(32)) | part[by[which]]]
 
 
-def _chunks(column: pa.Array):
-    """(bytes, documents' first bytes, number of the first document) for a column of texts."""
+def _chunks(column: pa.Array, size: int = CHUNK):
+    """(bytes, documents' first bytes, number of the first document) for a column of texts.
+
+    A chunk has at most ``size`` bytes or one document.
+    """
     wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         j = min(j, len(column))
         yield data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], i
         i = j
@@ -343,7 +355,7 @@ def _search(items: Items):
                     continue
                 doc = np.searchsorted(starts, at, "right") - 1
                 edge = np.searchsorted(doc, np.arange(len(starts) + 1))
-                found, item = items.meet(h, doc, edge[doc + 1])
+                found, item = items.meet(h, doc, edge[doc], edge[doc + 1])
                 if not len(found):
                     continue
                 # Meetings of one item in one document, near each other, are one place.
@@ -357,7 +369,7 @@ def _search(items: Items):
                     pattern = items.words[k].tolist()
                     slack = allowed(len(pattern))
                     x = max(int(edge[d]), int(found[a]) - slack)
-                    y = min(int(edge[d + 1]), int(found[z - 1]) + len(pattern) + slack)
+                    y = min(int(edge[d + 1]), int(found[z - 1]) + len(pattern) + slack + STRIDE - 1)
                     distance, end = nearest(pattern, h[x:y].tolist())
                     if distance > slack:
                         continue
