@@ -29,9 +29,10 @@ def _external_id():
     return F.concat(F.lit("fn_external:"), F.col("cand_path"), F.lit(":"), F.col("cand_name"))
 
 
-def _nodes(rows: DataFrame, turn: int, kind: str, node_id, order="sym_ord", **attrs) -> DataFrame:
+def _nodes(rows: DataFrame, turn: int, kind: str, node_id, **attrs) -> DataFrame:
+    """Node records. Those of one turn and id are alike; the first turn names a node."""
     fields = [attrs[c].alias(c) if c in attrs else F.lit(None).cast(t).alias(c) for c, t in _NODE.items()]
-    return rows.select(node_id.alias("id"), F.lit(kind).alias("type"), *fields, F.lit(turn).alias("turn"), (F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")).alias("o"))
+    return rows.select(node_id.alias("id"), F.lit(kind).alias("type"), *fields, F.lit(turn).alias("turn"))
 
 
 def _edges(rows: DataFrame, kind, source, target, **attrs) -> DataFrame:
@@ -79,15 +80,15 @@ def build(symbols: DataFrame, edges: DataFrame, chosen: DataFrame | None = None,
     records.append(_edges(calls, F.when(c("test"), "tests").otherwise("calls"), _id("fn", "src"), _id("fn", "dst"), source_backend=F.coalesce("source_backend", F.lit("index")), confidence=F.coalesce("confidence", F.lit("unknown")), dynamic=F.coalesce("dynamic", F.lit(False)), polymorphic=F.coalesce("polymorphic", F.lit(False)), call=c("call")))
     if options.include_external and cands is not None:
         outside = cands.filter("cand_id is null and cand_path is not null and cand_name is not null")
-        nodes.append(_nodes(outside, 6, "function", _external_id(), order=None, label=c("cand_name"), path=c("cand_path"), relpath=c("cand_path"), external=F.lit(True)))
+        nodes.append(_nodes(outside, 6, "function", _external_id(), label=c("cand_name"), path=c("cand_path"), relpath=c("cand_path"), external=F.lit(True)))
         records.append(_edges(outside, "calls_external", _id("fn", "src"), _external_id(), source_backend=c("source"), confidence=c("confidence"), call=c("call_name"), external=F.lit(True)))
     if options.include_imports and imports is not None:
         both = imports.select(F.explode(F.array("src", "dst")).alias("relpath")).distinct()
-        nodes.append(_nodes(both, 7, "file", file, order=None, label=c("relpath")))
+        nodes.append(_nodes(both, 7, "file", file, label=c("relpath")))
         records.append(_edges(imports, "imports", _id("file", "src"), _id("file", "dst"), source_backend=F.lit("index"), confidence=F.lit("high")))
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     attrs = ["type", *_NODE]
-    first = union(nodes).groupBy("id").agg(F.min_by(F.struct(*attrs), F.struct("turn", "o")).alias("n"))
+    first = union(nodes).groupBy("id").agg(F.min_by(F.struct(*attrs), "turn").alias("n"))
     all_records = union(records)
     facts = list(_ATTRS)
     once = all_records.groupBy("type", "source", "target").agg(F.min(F.struct(*facts)).alias("a")).select("type", "source", "target", "a.*")

@@ -71,7 +71,7 @@ def commit_timeline(symbols: DataFrame, edges: DataFrame, commits: DataFrame, fi
     by_src = touched.join(pairs, touched["symbol_id"] == pairs["src"]).select("hash", "src", "dst")
     by_dst = touched.join(pairs, touched["symbol_id"] == pairs["dst"]).select("hash", "src", "dst")
     n_edges = by_src.unionByName(by_dst).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("touched_edges"))
-    out = commits.join(sums, "hash", "left").join(n_symbols, "hash", "left").join(n_edges, "hash", "left")
+    out = commits.drop("files_count", "insertions", "deletions").join(sums, "hash", "left").join(n_symbols, "hash", "left").join(n_edges, "hash", "left")
     counts = ["files_count", "insertions", "deletions", "touched_symbols", "touched_edges"]
     out = out.withColumns({c: F.coalesce(c, _zero()) for c in counts})
     return out.withColumn("churn", F.col("insertions") + F.col("deletions")).withColumn("short_hash", F.substring(F.col("hash").cast("string"), 1, 8))
