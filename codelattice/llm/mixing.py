@@ -6,7 +6,7 @@ the cube method turns these fractions into 0 or 1: three undecided documents
 at a time move along the null space of the two balance constraints (words and
 documents of the source) until one of them is decided, so both totals stay
 exact. It runs in blocks that hold a bounded number of rows; what a block
-leaves undecided (two documents for each source at most) moves on to a merged
+leaves undecided (a dozen documents for each source at most) moves on to a merged
 block, and so on until a source is down to a handful, which the landing phase
 decides: of all 0/1 outcomes it takes the one that misses the word total and
 then the document total least.
@@ -35,7 +35,7 @@ MAX_REPEAT = 3.0
 BLOCK_ROWS = 50_000
 #: Blocks whose leftovers are merged into one.
 FAN_IN = 256
-#: Undecided documents with which a source lands: 2 ** LANDING outcomes.
+#: Undecided documents that a flight leaves, and with which a source lands: 2 ** LANDING outcomes.
 LANDING = 12
 
 STATE = "row_id bigint, doc_id bigint, source_no int, size bigint, base int, pi double, block bigint, copies int"
@@ -126,12 +126,12 @@ def _land(size: np.ndarray, pi: np.ndarray) -> np.ndarray:
 
 
 def _block(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
-    rows = rows.sort_values(["source_no", "doc_id", "size", "row_id"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["source_no", "row_id", "doc_id", "size"], kind="stable").reset_index(drop=True)
     pi = rows["pi"].to_numpy(float).copy()
     size = rows["size"].to_numpy(np.int64)
     for source, at in rows.groupby("source_no", sort=True).indices.items():
         rng = np.random.default_rng([int(source), int(rows["block"].iloc[0]), len(at)])
-        moved = _flight(size[at], pi[at], rng, LANDING if last else 2)
+        moved = _flight(size[at], pi[at], rng, LANDING)
         pi[at] = _land(size[at], moved) if last else moved
     rows["pi"] = pi
     decided = (pi == 0) | (pi == 1)
