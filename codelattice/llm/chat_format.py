@@ -33,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Characters in a formatted part, but for the last turn of each.
 PART_CHARS = 1 << 20
 #: Roles whose texts carry loss.
 LOSS_ROLES = ("assistant",)
-MAX_ROUNDS = 40
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -81,13 +80,16 @@ def branch_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     known = nodes.join(ids, _same(nodes, ids) & (nodes["parent"] == ids["p"]), "left")
     # up: the ancestor `reach` steps up, or the root; dist: steps to it.
     jump = cut(known.select("conv_id", "id", F.coalesce("p", "id").alias("up"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("bigint").alias("dist")), "jump")
-    links, reach = [jump], 1
-    for _ in range(MAX_ROUNDS):
-        if jump.filter(F.col("dist") == reach).isEmpty():
+    links, reach, most = [], 1, nodes.count()
+    while reach <= most:
+        # Only messages that have not met their root yet look further up.
+        active = cut(jump.filter(F.col("dist") == reach), "active")
+        if active.isEmpty():
             break
+        links.append((reach, active))
         above = jump.select(F.col("conv_id").alias("c"), F.col("id").alias("mid"), F.col("up").alias("far"), F.col("dist").alias("more"))
-        jump = cut(jump.join(above, _same(jump, above) & (jump["up"] == above["mid"])).select("conv_id", "id", F.col("far").alias("up"), (F.col("dist") + F.col("more")).alias("dist")), "jump")
-        links.append(jump)
+        moved = active.join(above, _same(active, above) & (active["up"] == above["mid"])).select("conv_id", "id", F.col("far").alias("up"), (F.col("dist") + F.col("more")).alias("dist"))
+        jump = cut(jump.filter(F.col("dist") < reach).unionByName(moved), "jump")
         reach *= 2
     rooted = nodes.join(jump.filter(F.col("dist") < reach).select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("up").alias("root"), "dist"), nodes["conv_id"].eqNullSafe(F.col("c")) & (nodes["id"] == F.col("i"))).select("conv_id", "id", "parent", "score", "root", "dist")
     parents = nodes.filter("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
@@ -96,8 +98,8 @@ def branch_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     path = cut(leaves.withColumn("branch", F.row_number().over(rank)).filter(F.col("branch") <= top).select("conv_id", "root", "branch", "id", F.col("dist").alias("depth")), "leaves")
     # Ancestors of the leaves: with every link of 1, 2, 4, ... steps the set of
     # collected messages doubles its reach.
-    for step, link in reversed([(1 << k, x) for k, x in enumerate(links)]):
-        hop = link.filter(F.col("dist") == step).select(F.col("conv_id").alias("c"), F.col("id").alias("at"), "up")
+    for step, link in reversed(links):
+        hop = link.select(F.col("conv_id").alias("c"), F.col("id").alias("at"), "up")
         more = path.join(hop, _same(path, hop) & (path["id"] == hop["at"])).select("conv_id", "root", "branch", F.col("up").alias("id"), (F.col("depth") - step).alias("depth"))
         path = cut(path.unionByName(more), "path")
     return path
