@@ -38,6 +38,8 @@ TRAIN_DOCS = 2000
 #: Passages of one document the model is fitted on, at most.
 TRAIN_PASSAGES = 256
 HIDDEN = 32
+#: Bytes of text that are encoded together.
+CHUNK = 512 << 10
 EPOCHS = 20
 BATCH_DOCS = 128
 
@@ -175,7 +177,7 @@ def held_out(doc_id):
 def _sample_features(batches):
     for batch in batches:
         ids, labels, out = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), []
-        for data, starts, base in _chunks(batch.column("text")):
+        for data, starts, base in _chunks(batch.column("text"), CHUNK):
             x, many = encode(data, starts)
             first = np.cumsum(many) - many
             for k, n in enumerate(many.tolist()):
@@ -226,7 +228,7 @@ def with_scores(docs: DataFrame, model: AttentionMIL | float, least: float | Non
         for batch in batches:
             texts = batch.column(place).fill_null("")
             score, top, weight = np.full(len(texts), raw if own is None else 0.0), np.zeros(len(texts), np.int32), np.ones(len(texts))
-            for data, starts, base in _chunks(texts) if own is not None else ():
+            for data, starts, base in _chunks(texts, CHUNK) if own is not None else ():
                 x, many = encode(data, starts)
                 score[base : base + len(starts)], a = own.score(x, many)
                 if attention:
