@@ -9,7 +9,7 @@ from ..fixtures import Fixture
 from ..functions import names
 from ..operators import graphs, imports, knowledge, layout, reports, resolve, scc, traverse, viewer
 from ..operators.durable import durable
-from ..options import Architecture, HotPath, Risk
+from ..options import Architecture, Risk
 from ..sources import gitlog
 
 QUERIES = {}

@@ -43,7 +43,7 @@ def _dot_text(text: str) -> str:
 
 def to_dot(graph: dict) -> str:
     force = graph["meta"]["layout_algorithm"] == "force"
-    lines = ["digraph CodeAtlas {", f"  // layout: {graph['meta']['layout_algorithm']}", "  rankdir=LR;", "  node [shape=box];"]
+    lines = ["digraph CodeGraph {", f"  // layout: {graph['meta']['layout_algorithm']}", "  rankdir=LR;", "  node [shape=box];"]
     lines += ["  layout=neato;", "  overlap=false;", "  splines=true;"] * force
     var = {node["id"]: f"n{i + 1}" for i, node in enumerate(graph["nodes"])}
     for node in graph["nodes"]:

@@ -254,7 +254,7 @@ def test_knowledge(index):
     assert counts["type_nodes"] > 0 and counts["function_nodes"] == index.symbols.count()
 
 
-@pytest.mark.parametrize("kind,head", [("graphviz", "digraph CodeAtlas {"), ("mermaid", "flowchart LR"), ("json", "{")])
+@pytest.mark.parametrize("kind,head", [("graphviz", "digraph CodeGraph {"), ("mermaid", "flowchart LR"), ("json", "{")])
 def test_exports(index, tmp_path, kind, head):
     path = index.export(index.symbol_id("M.checkout"), kind, str(tmp_path / "out"))
     assert open(path).read().startswith(head)
