@@ -277,5 +277,12 @@ FROM kg_records r LEFT JOIN lookup l ON r.type IN ('calls', 'tests') AND r.sourc
         "import_tokens": _sql(["tok"], "SELECT relpath, token FROM tok"),
         "import_edges": _sql(["tok", "tok_files", "imp"], "SELECT src, dst FROM imp"),
         "import_reverse": _sql(["tok", "tok_files", "imp"], "SELECT dst AS file, count(*) AS importers FROM imp GROUP BY dst"),
+        "extract_functions": _sql([], """SELECT relpath, name, short_name, container, 'Function' AS symbol_kind, CAST((n - 1) * 4 AS INTEGER) AS sr, 0 AS sc, CAST((n - 1) * 4 + 3 AS INTEGER) AS er, 3 AS ec
+FROM (SELECT *, row_number() OVER (PARTITION BY relpath ORDER BY sym_ord) AS n FROM fx_symbols) q"""),
+        "extract_calls": _sql([], "SELECT concat('other.', short_name) AS raw, count(*) AS n FROM fx_symbols GROUP BY short_name"),
+        "export_mermaid": _sql(around, """SELECT CAST(row_number() OVER (ORDER BY part, a, b, k) - 1 AS INTEGER) AS line_no, text FROM (
+  SELECT 0 AS part, 0 AS a, 0 AS b, 0 AS k, 'flowchart LR' AS text UNION ALL SELECT 1, 0, 0, 0, '%% layout: hierarchical'
+  UNION ALL SELECT 2, v.n, 0, 0, concat('  n', v.n, '["', s.name, '<br/>', s.relpath, '"]') FROM (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) v JOIN fx_symbols s ON s.symbol_id = v.symbol_id
+  UNION ALL SELECT 3, x.n, y.n, k.k, concat('  n', x.n, ' --> n', y.n) FROM multi m JOIN (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) x ON x.symbol_id = m.src JOIN (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) y ON y.symbol_id = m.dst, LATERAL (SELECT unnest(generate_series(1, m.multiplicity)) AS k) k) q"""),
         "layout_hierarchical": _sql(around, "SELECT symbol_id, depth, CAST(i AS INTEGER) AS layer_index, CAST(depth * 220 AS DOUBLE) AS x, CAST((i - 1) * 90 - (n - 1) * 45 AS DOUBLE) AS y FROM (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY symbol_id) AS i, count(*) OVER (PARTITION BY depth) AS n FROM nodes) q", depth=3),
     }

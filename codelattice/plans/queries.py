@@ -9,8 +9,10 @@ from ..fixtures import Fixture
 from ..functions import names
 from ..operators import graphs, imports, knowledge, layout, reports, resolve, scc, traverse, viewer
 from ..operators.durable import durable
-from ..options import Architecture, Risk
-from ..sources import gitlog
+from ..options import Architecture, Layout, Risk
+from ..sinks import export
+from ..sources import extract, gitlog
+from . import documents
 
 QUERIES = {}
 
@@ -488,6 +490,78 @@ def layout_force(x):
     return layout.force(nodes, edges)
 
 
+# Extraction: the symbols written out as source files and read back.
+
+
+def _written(x):
+    body = F.concat(F.lit("function "), F.col("name"), F.lit("(a)\n  -- end {\n  return other."), F.col("short_name"), F.lit("(a, 'end')\nend\n"))
+    rows = x.symbols.select("relpath", "lang", "sym_ord", body.alias("body"))
+    return rows.groupBy("relpath", "lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sym_ord", "body"))), lambda r: r["body"]), "").alias("content"))
+
+
+@query
+def extract_functions(x):
+    rows = extract.extract_files(_written(x))
+    return rows.select("relpath", "name", "short_name", "container", "symbol_kind", "sr", "sc", "er", "ec")
+
+
+@query
+def extract_calls(x):
+    _, calls, _ = extract.tables(extract.extract_files(_written(x)))
+    return calls.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Drawings and documents, as lines.
+
+
+def _lines(x, lines):
+    return x.spark.createDataFrame(list(enumerate(lines)), "line_no int, text string")
+
+
+def _drawing(x, options=Layout()):
+    symbols, _, root, nodes, edges = _around(x)
+    return export.payload(symbols, durable(nodes), durable(edges), options=options, direction="outgoing", depth_limit=2, root_id=root)
+
+
+@query
+def export_dot(x):
+    return _lines(x, export.to_dot(_drawing(x)).splitlines())
+
+
+@query
+def export_dot_force(x):
+    return _lines(x, export.to_dot(_drawing(x, Layout(algorithm="force"))).splitlines())
+
+
+@query
+def export_mermaid(x):
+    return _lines(x, export.to_mermaid(_drawing(x)).splitlines())
+
+
+@query
+def export_json(x):
+    return _lines(x, [export.to_json(_drawing(x))])
+
+
+@query
+def kg_lines(x):
+    nodes, edges, _ = _knowledge(x)
+    return export.knowledge_lines(nodes, edges, {"schema_version": knowledge.SCHEMA_VERSION}).select("part", "value")
+
+
+@query
+def render_hot_path(x):
+    edges, scores = _hot(x)
+    scores = durable(scores)
+    hot = durable(reports.hot_path(scores))
+    return _lines(x, documents.hot_path(hot, reports.hot_chains(edges, scores, hot)))
+
+
+@query
+def render_architecture(x):
+    return _lines(x, documents.architecture(reports.architecture(x.symbols, x.edges)))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: hot paths with degrees, reach and churn."""
     return QUERIES["hot_path_report"](spark, sf_dir)
