@@ -188,7 +188,7 @@ def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     decided = cut(mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__src"), "copies"), "decided")
     left = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
     if decided.groupBy("__id").count().filter("count > 1 or __id is null").isEmpty():
-        met = left.join(decided.filter("copies > 0").select("__id", "copies"), "__id")
+        met = left.join(decided.filter("copies > 0").select("__id", "copies").hint("merge"), "__id")
     else:
         same = Window.partitionBy("__id", "__size", "__src")
         left = left.withColumn("__size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint")).withColumn("__src", F.col("source").cast("string"))

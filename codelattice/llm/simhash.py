@@ -24,6 +24,7 @@ it, unless all are null. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, text_or_empty
+from .common import cut, text_or_empty
 from .components import connected_components
 
 SHINGLE = 4
@@ -42,50 +43,66 @@ TRIE_KEYS = 48
 #: Fingerprints in a sub-trie above which it is dealt again.
 LARGE_TRIE = 200_000
 #: Fingerprints in a sub-trie up to which all its near pairs may be reported.
-PAIRS_TRIE = 64
+PAIRS_TRIE = 256
 #: Node pairs that are expanded at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 16
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """The fingerprint of one text, as an unsigned integer."""
+def _hashes(text: str, width: int) -> list[int]:
+    """XXH64 of each shingle of a text."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
-        stops = (ends[width - 1 :] - 1).tolist()
-        hashes = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
-    n = len(hashes)
-    ones = np.zeros(64, np.int64)
-    packed = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
+        return [xxh64_intdigest(line, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    return [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    packed = hashes.view(np.uint8).reshape(n, 8)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(packed[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """The fingerprint of one text, as an unsigned integer."""
+    return _majority(np.array(_hashes(text, width), dtype="<u8"))
+
 
+def fingerprint_pair(text: str, width: int) -> tuple[int, int]:
+    """The fingerprint, and a second one of the same shingles under another hash."""
+    h = np.array(_hashes(text, width), dtype="<u8")
+    other = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(h), _majority(other ^ (other >> np.uint64(32)))
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed bigint) of each row."""
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, second: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed bigint) of each row; fp2 too if ``second``."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            texts = batch.column("text").to_pylist()
+            found = [fingerprint_pair(t, width) if second else (fingerprint(t, width),) for t in texts]
+            columns = np.array(found, dtype=np.uint64).reshape(len(texts), 2 if second else 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], ["doc_id", "fp", "fp2"][: 3 if second else 2])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    fields = "doc_id bigint, fp bigint" + (", fp2 bigint" if second else "")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, fields)
 
 
-def blocks_for(n: int, budget: int = BUDGET, trie_keys: int = TRIE_KEYS) -> int:
+def blocks_for(n: int, budget: int = BUDGET) -> int:
     """The number of blocks for n distinct fingerprints."""
     m = budget + 1
-    while m < budget + 6 and n / 2 ** (64 * (m - budget) // m) > trie_keys:
+    while m < budget + 6 and n / 2 ** (64 * (m - budget) // m) > TRIE_KEYS:
         m += 1
     return m
 
@@ -101,6 +118,15 @@ def masks(m: int, budget: int, free: int = 0) -> list[int]:
     return [free | sum(c) for c in combinations(blocks, m - budget)]
 
 
+def sampled_masks(n: int, bits: int, recall: float, keys: int = TRIE_KEYS, seed: int = 11) -> list[int]:
+    """Masks of some random bits each, so many that two of n fingerprints that
+    differ in ``bits`` bits agree under one of them with probability ``recall``."""
+    k = min(64 - bits - 8, max(1, math.ceil(math.log2(max(2, n / keys)))))
+    same = math.comb(64 - bits, k) / math.comb(64, k)
+    rng = np.random.default_rng([seed, k])
+    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - same)))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -154,15 +180,22 @@ class _Pairs:
         self.found.append((a, b))
 
 
-def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``trie_links``, but all near pairs of groups of up to ``PAIRS_TRIE`` keys."""
+def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``trie_links``, but all near pairs of groups of up to ``PAIRS_TRIE`` keys.
+
+    With ``second`` fingerprints, pairs must be near in these too.
+    """
     small = np.bincount(groups)[groups] <= PAIRS_TRIE
     out = []
     for part, join in ((np.flatnonzero(small), _trie(budget, _Pairs())), (np.flatnonzero(~small), None)):
         if len(part):
             a, b = join(keys[part], groups[part]) if join else trie_links(keys[part], groups[part], budget)
             out.append((part[a], part[b]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    if second is None:
+        return a, b
+    near = np.bitwise_count(second[a] ^ second[b]) <= budget
+    return a[near], b[near]
 
 
 def _trie(budget: int, pairs: _Pairs):
@@ -195,7 +228,7 @@ def _traverse(keys: np.ndarray, groups: np.ndarray, budget: int, forest) -> None
         ones[b, 0] = 0
         np.cumsum((keys >> np.uint64(b)) & np.uint64(1), out=ones[b, 1:])
     edge = np.flatnonzero(np.diff(groups)) + 1
-    lo, hi = np.concatenate([[0], edge]).astype(np.int64), np.concatenate([edge, [n]]).astype(np.int64)
+    lo, hi = np.concatenate([[0], edge]).astype(np.int32), np.concatenate([edge, [n]]).astype(np.int32)
     born = []
     for b in range(63, -1, -1):
         wide = hi - lo > 1
@@ -244,8 +277,8 @@ def _cross(keys, ones, forest, budget, bit, lo1, hi1, lo2, hi2, err):
             todo.append((bit - 1, n1[s], n2[s], k1[s], k2[s], e[s]))
 
 
-def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 400_000):
-    """Sorted rows (mask, value, fp) to links (a, b), some sub-tries at a time."""
+def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 100_000):
+    """Sorted rows (mask, value, fp and, for ``pairs``, fp2) to links (a, b), some sub-tries at a time."""
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray):
@@ -256,7 +289,10 @@ def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 40
         keys = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
         order = np.lexsort((keys, groups))
         keys, groups = keys[order], groups[order]
-        child, parent = (trie_pairs if pairs else trie_links)(keys, groups, budget)
+        if pairs:
+            child, parent = trie_pairs(keys, groups, budget, np.ascontiguousarray(rows[order, 3]).view(np.uint64))
+        else:
+            child, parent = trie_links(keys, groups, budget)
         if len(child):
             signed = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[parent])], ["a", "b"])
@@ -265,7 +301,7 @@ def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 40
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1))
+        held.append(np.stack([batch.column(i).to_numpy() for i in range(batch.num_columns)], axis=1))
         size += batch.num_rows
         if size >= at_once:
             rows = np.concatenate(held)
@@ -279,42 +315,39 @@ def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 40
 
 
 def _deal(rows: DataFrame, choices: list[int]) -> DataFrame:
-    """Rows (mask, value, fp): one for each mask."""
-    return rows.select("fp", F.explode(F.array(*[F.lit(_signed(x)) for x in choices])).alias("mask")).select("mask", F.expr("fp & mask").alias("value"), "fp")
+    """Rows (mask, value, fp, ...): one for each mask."""
+    columns = [c for c in rows.columns if c.startswith("fp")]
+    return rows.select(*columns, F.explode(F.array(*[F.lit(_signed(x)) for x in choices])).alias("mask")).select("mask", F.expr("fp & mask").alias("value"), *columns)
+
 
+def _free_bits(mask: int) -> int:
+    return 64 - (mask & (2**64 - 1)).bit_count()
 
-def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE, pairs: bool = False, trie_keys: int = TRIE_KEYS) -> DataFrame:
+
+def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE, choices: list[int] | None = None) -> DataFrame:
     """Links (a, b) between fingerprints (fp, distinct) that connect all pairs within ``budget`` bits.
 
-    With ``pairs`` every near pair of a small sub-trie is reported, maybe
-    more than once.
+    With ``choices`` (and fp2) the sub-tries are those of these masks, and the
+    near pairs of small sub-tries are reported one by one, maybe repeatedly.
     """
-    n = distinct.count()
-    m = blocks_for(n, budget, trie_keys)
-    dealt = _deal(distinct, masks(m, budget))
-    found = None
-    for _ in range(6):
+    pairs = choices is not None
+    dealt = _deal(distinct, choices if pairs else masks(blocks_for(distinct.count(), budget), budget))
+    parts, found = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
+    while True:
         counts = cut(dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large), "crowded")
-        crowded = not counts.isEmpty()
-        ready = dealt.join(counts.select("mask", "value"), ["mask", "value"], "left_anti") if crowded else dealt
-        parts = int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # With few free bits a sub-trie is bounded by its own depth.
+        crowded = [m for m in (r[0] for r in counts.select("mask").distinct().collect()) if _free_bits(m) > 20]  # at most the masks of this level
+        again = counts.filter(F.col("mask").isin(crowded)).select("mask", "value")
+        ready = dealt.join(again, ["mask", "value"], "left_anti") if crowded else dealt
         links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _join_partition(b, budget, pairs), "a bigint, b bigint"), "links")
         found = links if found is None else found.unionByName(links)
         if not crowded:
-            break
-        rest = dealt.join(counts.select("mask", "value"), ["mask", "value"], "left_semi")
-        finer = None
-        for mask in [r[0] for r in counts.select("mask").distinct().collect()]:  # at most as many as the masks of this level
-            free = mask & (2**64 - 1)
-            if 64 - bin(free).count("1") <= 20:
-                part = rest.filter(F.col("mask") == mask).select("mask", "value", "fp")
-            else:
-                part = _deal(rest.filter(F.col("mask") == mask), masks(budget + 1, budget, free))
+            return found
+        rest, finer = dealt.join(again, ["mask", "value"], "left_semi"), None
+        for mask in crowded:
+            part = _deal(rest.filter(F.col("mask") == mask), masks(budget + 1, budget, mask & (2**64 - 1)))
             finer = part if finer is None else finer.unionByName(part)
         dealt = cut(finer.distinct(), "finer")
-        if all(64 - bin(r[0] & (2**64 - 1)).count("1") <= 20 for r in dealt.select("mask").distinct().collect()):
-            large = 1 << 62
-    return found
 
 
 def simhash_components(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET, large: int = LARGE_TRIE) -> DataFrame:
@@ -328,10 +361,10 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, budget: int = BUDG
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of the verified near-dedup: words in a shingle, least Jaccard similarity
-#: and the budget at which pairs of that similarity are met.
-NEAR_WIDTH, NEAR_SIMILARITY, NEAR_BUDGET = 5, 0.8, 10
-NEAR_TRIE_KEYS = 256
+#: Of the verified near-dedup: words in a shingle and least Jaccard similarity.
+NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
+#: Texts of that similarity differ in 10 bits on average and seldom in more than 14.
+NEAR_BUDGET, NEAR_BITS, NEAR_RECALL = 14, 10, 0.97
 
 
 def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
@@ -353,24 +386,26 @@ def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET) -> DataFrame:
     """doc_id, component_id: groups of texts whose shingle sets are similar.
 
-    The trie self-join proposes pairs within ``budget`` bits; the Jaccard
-    similarity of the shingle sets decides each. Equal texts are one node,
+    The trie self-join proposes pairs within ``budget`` bits in both of two
+    fingerprints; the Jaccard similarity of the shingle sets decides each. The
+    budget is too wide for the pigeonhole, so sub-tries come from sampled bits,
+    as many as the recall asks for. Equal texts are one node,
     named by their smallest doc_id; rows without one are not grouped.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
-    fps = fingerprints(texts, width)
+    fps = fingerprints(texts, width, second=True)
     digests = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     # The digest and the fingerprint of a row come from one text; equal texts agree in both.
     nodes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     firsts = cut(fps.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "firsts")
-    by_fp = cut(firsts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
-    links = near_pairs(by_fp.select("fp"), budget, pairs=True, trie_keys=NEAR_TRIE_KEYS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    name = by_fp.select(F.col("fp"), "first")
+    by_fp = cut(firsts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by("fp2", "doc_id").alias("fp2"), F.count(F.lit(1)).alias("n")), "by_fp")
+    links = near_pairs(by_fp.select("fp", "fp2"), budget, choices=sampled_masks(by_fp.count(), NEAR_BITS, NEAR_RECALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    name = by_fp.select("fp", "first")
     edges = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
     same_fp = firsts.join(by_fp.filter("n > 1").select("fp", "first"), "fp").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
     edges = cut(edges.unionByName(same_fp), "candidates")
     ends = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("y").alias("doc_id"))).distinct()
-    sets = cut(shingle_sets(texts.join(ends, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")).dropDuplicates(["node"]), "shingles")
+    sets = cut(shingle_sets(texts.join(ends.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")).dropDuplicates(["node"]), "shingles")
     met = edges.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
     both = F.size(F.array_intersect("s", "t"))
     alike = met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("x", "y")
@@ -387,7 +422,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     groups = cut(near_duplicates(docs, **options), "groups")
     stay = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     many = cut(stay, "stay")
-    kept = docs.join(many.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(many.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if not many.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))

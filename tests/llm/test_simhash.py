@@ -60,6 +60,15 @@ def test_trie_joins_all(budget, spread):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if bin(keys[i] ^ keys[j]).count("1") <= budget}
 
 
+def test_sampled_masks_reach_the_recall():
+    rng, hit = random.Random(3), 0
+    found = op.sampled_masks(50_000, 10, 0.95)
+    for _ in range(1000):
+        diff = sum(1 << b for b in rng.sample(range(64), 10))
+        hit += any(not diff & x for x in found)
+    assert hit > 930
+
+
 def test_trie_keeps_groups_apart():
     keys = np.array([5, 6, 5, 7], np.uint64)
     child, _ = op.trie_links(keys, np.array([0, 0, 1, 1]), 4)
