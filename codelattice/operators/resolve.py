@@ -52,11 +52,14 @@ def candidates(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame)
     types = receiver_types.select(F.col("symbol_id").alias("src"), F.col("var").alias("receiver_tail"), F.col("type").alias("receiver_type"))
     own = symbols.select(F.col("symbol_id").alias("src"), F.col("relpath").alias("src_path"), F.col("container").alias("src_container"))
     calls = sites.join(own, "src").join(types, ["src", "receiver_tail"], "left")
-    whole = calls.withColumn("match_name", F.col("call_name")).withColumn("whole", F.lit(True))
-    # A call name that itself ends in a definition's name.
-    ends = calls.filter(F.col("call_name").rlike("[.:]")).withColumn("match_name", F.explode(names.suffixes(F.col("call_name")))).withColumn("whole", F.lit(False))
-    defs = definitions(symbols).select(F.col("symbol_id").alias("cand_id"), F.col("name").alias("cand_name"), F.col("relpath").alias("cand_path"), F.col("container").alias("cand_container"), "match_name", "exact")
-    met = whole.unionByName(ends).join(defs, "match_name").filter("cand_id != src and (whole or exact)")
+    known = definitions(symbols).groupBy("symbol_id", "name", "relpath", "container", "match_name").agg(F.max("exact").alias("exact"))
+    defs = known.select(F.col("symbol_id").alias("cand_id"), F.col("name").alias("cand_name"), F.col("relpath").alias("cand_path"), F.col("container").alias("cand_container"), "match_name", "exact")
+    # A definition meets a plain call name once, so nothing is aggregated there.
+    dotted = F.col("call_name").rlike("[.:]")
+    whole = calls.filter(~dotted).withColumn("match_name", F.col("call_name")).join(defs, "match_name").filter("cand_id != src").withColumn("whole", F.lit(True))
+    # A dotted call name may meet a definition as a whole and by its ends.
+    both = F.explode(F.concat(F.array(F.struct(F.col("call_name").alias("m"), F.lit(True).alias("w"))), F.transform(names.suffixes(F.col("call_name")), lambda x: F.struct(x.alias("m"), F.lit(False).alias("w")))))
+    ends = calls.filter(dotted).withColumn("x", both).select("*", F.col("x.m").alias("match_name"), F.col("x.w").alias("whole")).drop("x").join(defs, "match_name").filter("cand_id != src and (whole or exact)")
     member = F.col("kind") == "member"
     has = F.col("cand_container").isNotNull()
     same_box = F.coalesce(F.col("src_container") == F.col("cand_container"), F.lit(False))
@@ -80,9 +83,11 @@ def candidates(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame)
         F.when(member & has & F.col("receiver_type").isNotNull(), F.when(typed == 130, "receiver_type_match").when(typed == 120, "python_self_container_match").otherwise("receiver_type_mismatch"))
         .when(member & (named == 90), "receiver_name_match").when(member & (named == 110), "this_container_match"),
     ))
-    scored = met.withColumn("score", score.cast("int")).withColumn("reasons", reasons)
-    best = scored.groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct("raw", "call_name", "kind", "receiver", "receiver_type", "cand_name", "cand_path", "cand_container", "score", "reasons"), "score").alias("c"))
-    return best.select("src", "call_ord", "cand_id", "c.*", F.lit("index").alias("source")).withColumn("confidence", confidence(F.col("score")))
+    scored = lambda rows: rows.withColumn("score", score.cast("int")).withColumn("reasons", reasons)
+    columns = ["raw", "call_name", "kind", "receiver", "receiver_type", "cand_name", "cand_path", "cand_container", "score", "reasons"]
+    best = scored(ends).groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct(*columns), "score").alias("c")).select("src", "call_ord", "cand_id", "c.*")
+    out = scored(whole).select("src", "call_ord", "cand_id", *columns).unionByName(best)
+    return out.withColumn("source", F.lit("index")).withColumn("confidence", confidence(F.col("score")))
 
 
 def _by_score():
@@ -95,15 +100,17 @@ def targets(cands: DataFrame, options: Resolution = Resolution()) -> DataFrame:
     A member call with any candidate in a container looks at such candidates
     only. The best is always kept; others must be near it and sure enough.
     """
-    site = Window.partitionBy("src", "call_ord")
-    order = site.orderBy(*_by_score())
-    boxed = F.max(F.col("cand_container").isNotNull()).over(site)
-    pool = cands.withColumn("boxed", boxed).filter(~(F.col("kind") == "member") | ~F.col("boxed") | F.col("cand_container").isNotNull())
-    ranked = pool.withColumn("best", F.first("score").over(order)).withColumn("rank", F.row_number().over(order))
-    sure = _rank(F.col("confidence")) >= CONFIDENCE[options.min_confidence]
-    near = F.col("score") >= F.col("best") - options.score_window
-    kept = ranked.filter((F.col("rank") == 1) | (near & sure))
-    return kept.withColumn("target_ord", F.row_number().over(order)).filter(F.col("target_ord") <= max(1, options.max_targets)).drop("boxed", "best", "rank")
+    member, has, score = F.col("kind") == "member", F.col("cand_container").isNotNull(), F.col("score")
+    # One row for each site first: what is far from its best never reaches a sort.
+    sums = cands.groupBy("src", "call_ord").agg(F.max(has).alias("boxed"), F.max(F.when(has, score)).alias("best_boxed"), F.max("score").alias("best_all"))
+    pool = cands.join(sums, ["src", "call_ord"]).filter(~member | ~F.col("boxed") | has)
+    best = F.when(member & F.col("boxed"), F.col("best_boxed")).otherwise(F.col("best_all"))
+    sure = lambda s: _rank(confidence(s)) >= CONFIDENCE[options.min_confidence]
+    near = pool.withColumn("best", best).filter((score == F.col("best")) | ((score >= F.col("best") - options.score_window) & sure(score)))
+    order = Window.partitionBy("src", "call_ord").orderBy(*_by_score())
+    top = near.withColumn("target_ord", F.row_number().over(order)).filter(F.col("target_ord") <= max(1, options.max_targets))
+    # If the best is not sure, no other is.
+    return top.filter((F.col("target_ord") == 1) | sure(F.col("best"))).drop("boxed", "best_boxed", "best_all", "best")
 
 
 def resolutions(sites: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -141,16 +148,16 @@ def merge_external(cands: DataFrame, outside: DataFrame, sites: DataFrame) -> Da
     A candidate that both have is ``mixed(index+lsp)``; the higher score wins
     with its reasons, else the first one's reasons gain ``lsp_confirmed``.
     """
+    key = ["src", "call_ord", "cand_id", "cand_name", "cand_path"]
     met = outside.join(sites.select("src", "call_ord", "raw", "call_name", "kind", "receiver"), "src").filter(names.names_match(F.col("call_name"), F.col("cand_name")))
-    columns = ["src", "call_ord", "raw", "call_name", "kind", "receiver", "cand_id", "cand_name", "cand_path", "cand_container", "source", "score", "reasons"]
-    both = cands.select(*columns, F.lit(0).alias("turn")).unionByName(met.select(*columns, F.lit(1).alias("turn")))
-    # Null ids are one key, so the group is by value.
-    grouped = both.groupBy("src", "call_ord", "raw", "call_name", "kind", "receiver", "cand_id", "cand_name", "cand_path").agg(
-        F.max_by(F.struct("cand_container", "source", "score", "reasons"), F.struct("score", -F.col("turn"))).alias("top"),
-        F.max(F.col("turn") == 0).alias("ours"), F.max(F.col("turn") == 1).alias("theirs"),
-        F.max(F.when(F.col("turn") == 0, F.col("score"))).alias("our_score"),
+    met = met.groupBy(*key, "raw", "call_name", "kind", "receiver").agg(F.max_by(F.struct("cand_container", "source", "score", "reasons"), "score").alias("t")).select(*key, "raw", "call_name", "kind", "receiver", "t.*")
+    columns = [*key, "raw", "call_name", "kind", "receiver", "cand_container", "source", "score", "reasons"]
+    theirs = met.filter("cand_id is not null").select(*key, F.col("score").alias("new_score"), F.col("reasons").alias("new_reasons"))
+    both, higher = F.col("new_score").isNotNull(), F.col("new_score") > F.col("score")
+    ours = cands.select(*columns).join(theirs, key, "left").select(
+        *columns[:-3], F.when(both, "mixed(index+lsp)").otherwise(F.col("source")).alias("source"), F.greatest("score", "new_score").alias("score"),
+        F.when(both & higher, F.col("new_reasons")).when(both, F.concat("reasons", F.array(F.lit("lsp_confirmed")))).otherwise(F.col("reasons")).alias("reasons"),
     )
-    mixed = F.col("ours") & F.col("theirs")
-    stay = mixed & (F.col("top.score") == F.col("our_score"))
-    out = grouped.select("src", "call_ord", "raw", "call_name", "kind", "receiver", "cand_id", "cand_name", "cand_path", F.col("top.cand_container").alias("cand_container"), F.when(mixed, F.lit("mixed(index+lsp)")).otherwise(F.col("top.source")).alias("source"), F.col("top.score").alias("score"), F.when(stay, F.concat(F.col("top.reasons"), F.array(F.lit("lsp_confirmed")))).otherwise(F.col("top.reasons")).alias("reasons"))
-    return out.withColumn("confidence", confidence(F.col("score")))
+    # An indexed symbol whose name matches is a candidate already, but for the caller itself.
+    fresh = met.filter("cand_id is null or cand_id = src").select(*columns)
+    return ours.unionByName(fresh).withColumn("confidence", confidence(F.col("score")))
