@@ -43,27 +43,50 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def _new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/codelattice/{tag}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This ends the lineage in replicated or shared files, so a lost executor
     costs a reread and not a recomputation of what lies before.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codelattice/{tag}-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    return _read_cut(df.sparkSession, df.schema, path)
+
+
+def _read_cut(spark: SparkSession, schema, path: str) -> DataFrame:
+    back = spark.read.schema(schema).parquet(path)
     back._cut_path = path
     return back
 
 
+def cut_by(df: DataFrame, tag: str, column: str, values: list[str]) -> list[DataFrame]:
+    """As ``cut``, a table for each value of ``column``; each can be dropped by itself."""
+    spark, path = df.sparkSession, _new_path(df.sparkSession, tag)
+    df.write.partitionBy(column).parquet(path)
+    plain, out = df.drop(column).schema, []
+    for value in values:
+        own = f"{path}/{column}={value}"
+        there, at = _file(spark, own)
+        out.append(_read_cut(spark, plain, own) if there.exists(at) else spark.createDataFrame([], plain))
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def drop_cut(df: DataFrame | None) -> None:
     """Delete the files of a table that ``cut`` made and nothing reads any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        there, at = _file(df.sparkSession, path)
+        there.delete(at, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:

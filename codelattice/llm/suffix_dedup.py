@@ -43,12 +43,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, release_shuffles, text_or_empty
+from .common import cut, cut_by, drop_cut, release_shuffles, text_or_empty
 
 MATCH = 50
 GRAM = 20
 #: Bytes of text in a batch, unless one id range holds more.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 3 << 20
 #: Bytes whose grams are hashed at once.
@@ -452,10 +452,12 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, batch_bytes: int = B
     said = rows.groupBy("batch").applyInPandas(_announce(hash_shards), HASHES)
     flags = cut(said.groupBy("shard").applyInPandas(_shared, HASHES), "shared")
     release_shuffles(spark)
-    near = cut(rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_neighbourhoods(shards, hash_shards), SPANS), "spans")
+    near = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_neighbourhoods(shards, hash_shards), SPANS)
+    spans, seen = cut_by(near, "spans", "kind", ["span", "seen"])
     drop_cut(flags)
     release_shuffles(spark)
-    hits = cut(near.filter("kind = 'span'").groupBy("shard").applyInPandas(_index, SPANS), "hits")
+    hits = cut(spans.groupBy("shard").applyInPandas(_index, SPANS), "hits")
+    drop_cut(spans)
     release_shuffles(spark)
-    facts = near.filter("kind = 'seen'").unionByName(hits)
+    facts = seen.withColumn("kind", F.lit("seen")).unionByName(hits)
     return rows.groupBy("batch").cogroup(facts.groupBy("batch")).applyInPandas(_remove(with_kept), DONE)
