@@ -43,7 +43,7 @@ TRIE_KEYS = 48
 #: Fingerprints in a sub-trie above which it is dealt again.
 LARGE_TRIE = 200_000
 #: Fingerprints in a sub-trie up to which all its near pairs may be reported.
-PAIRS_TRIE = 256
+PAIRS_TRIE = 24
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 16
 
@@ -194,10 +194,37 @@ def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, second: np.nda
     a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
     if second is None:
         return a, b
+    if len(out) > small.any():  # the last links are those of large groups
+        c, d = _to_medoids(keys, second, *out[-1])
+        a, b = np.concatenate([a[: len(a) - len(out[-1][0])], c]), np.concatenate([b[: len(b) - len(out[-1][0])], d])
     near = np.bitwise_count(second[a] ^ second[b]) <= budget
     return a[near], b[near]
 
 
+def _to_medoids(keys: np.ndarray, second: np.ndarray, child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place of links to any member of a group: links to its medoid.
+
+    Copies that were changed in different places are nearer to what they were
+    copied from than to one another; that text's fingerprint is the one
+    nearest to the majority of the group's bits.
+    """
+    order = np.argsort(parent, kind="stable")
+    child, parent = child[order], parent[order]
+    first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(child) else child[:0]
+    a, b = [child[:0]], [child[:0]]
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(child)]):
+        members = np.concatenate([parent[lo : lo + 1], child[lo:hi]])
+        away = np.zeros(len(members), np.int64)
+        for prints in (keys[members], second[members]):
+            bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1)
+            away += (bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(members))).sum(axis=1)
+        medoid = members[away.argmin()]
+        others = members[members != medoid]
+        a.append(others)
+        b.append(np.full(len(others), medoid))
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _trie(budget: int, pairs: _Pairs):
     def join(keys, groups):
         _traverse(keys, groups, budget, pairs)

@@ -54,10 +54,21 @@ def test_trie_joins_all(budget, spread):
     label[child] = parent
     want = components(keys, budget)
     assert len({(a, b) for a, b in zip(label.tolist(), want)}) == len(set(want)) == len(set(label.tolist()))
-    small, few = arr[:60], groups[:60]
+    n = op.PAIRS_TRIE
+    small, few = arr[:n], groups[:n]
     a, b = op.trie_pairs(small, few, budget)
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
-    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if bin(keys[i] ^ keys[j]).count("1") <= budget}
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if bin(keys[i] ^ keys[j]).count("1") <= budget}
+
+
+def test_changed_copies_hang_on_what_they_were_copied_from():
+    rng = random.Random(1)
+    base, other = rng.getrandbits(64), rng.getrandbits(64)
+    flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), 6))
+    prints = sorted({(base, other)} | {(flip(base), flip(other)) for _ in range(80)})
+    keys, second = np.array([p[0] for p in prints], np.uint64), np.array([p[1] for p in prints], np.uint64)
+    a, b = op.trie_pairs(keys, np.zeros(len(keys), np.int64), 14, second)
+    assert len(a) == 80 and set(keys[b].tolist()) == {base}
 
 
 def test_sampled_masks_reach_the_recall():
