@@ -42,8 +42,14 @@ SEED = 42
 TRIE_KEYS = 48
 #: Fingerprints in a sub-trie above which it is dealt again.
 LARGE_TRIE = 200_000
-#: Fingerprints in a sub-trie up to which all its near pairs may be reported.
+#: Fingerprints in a sub-trie up to which all its near pairs are reported in any case.
 PAIRS_TRIE = 24
+#: Near pairs for each text of a bucket, and texts of a bucket, up to which they are all verified at once.
+DENSE_PAIRS, DENSE_KEYS = 8, 4096
+#: Bits in which the members of a dense bucket's close sets differ from the next one.
+CLOSE_BITS = 8
+#: Pairs of fingerprints that are compared at once.
+PAIRS_AT_ONCE = 1 << 20
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 16
 
@@ -167,38 +173,65 @@ class _Forest:
         self._changes()
 
 
-class _Pairs:
-    """In place of a forest: every near pair, none skipped."""
+def _near(keys: np.ndarray, second: np.ndarray, budget: int, label: np.ndarray | None = None, most: float = math.inf):
+    """All pairs of positions within ``budget`` bits in both fingerprints, whose labels differ if there are any.
 
-    def __init__(self):
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def whole(self, lo1, hi1, lo2, hi2):
-        return np.zeros(len(lo1), bool)
-
-    def link(self, a, b):
-        self.found.append((a, b))
-
-
-def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """As ``trie_links``, but all near pairs of groups of up to ``PAIRS_TRIE`` keys.
-
-    With ``second`` fingerprints, pairs must be near in these too.
+    None if there are more than ``most``.
     """
-    small = np.bincount(groups)[groups] <= PAIRS_TRIE
+    n, found, size = len(keys), [], 0
+    order = np.arange(n) if label is None else np.argsort(label, kind="stable")
+    k, s = keys[order], second[order]
+    # Where the next label begins: what lies before it needs no comparison.
+    after = np.arange(1, n + 1) if label is None else np.searchsorted(label[order], label[order], "right")
+    i = 0
+    while i < n and after[i] < n:
+        j = min(n, i + max(1, PAIRS_AT_ONCE // (n - int(after[i]))))
+        if label is not None:
+            j = min(j, int(after[i]))  # rows of one label
+        start = int(after[i])
+        row, column = np.nonzero(np.bitwise_count(k[i:j, None] ^ k[None, start:]) <= budget)
+        row, column = row + i, column + start
+        near = (column >= after[row]) & (np.bitwise_count(s[row] ^ s[column]) <= budget)
+        found.append((order[row[near]], order[column[near]]))
+        size += len(found[-1][0])
+        if size > most:
+            return None
+        i = j
+    return np.concatenate([x[0] for x in found] or [order[:0]]), np.concatenate([x[1] for x in found] or [order[:0]])
+
+
+def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, second: np.ndarray | None = None, label: np.ndarray | None = None, dense: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of positions inside each of the sorted ``groups``; with ``second`` fingerprints, near in these too.
+
+    Without labels, a group with very many near pairs gives links to the
+    medoids of its close sets in their place, and its members are added to
+    ``dense``: they are not done. With labels (the components that the verified
+    links made), all near pairs between different labels are reported.
+    """
+    second = keys if second is None else second
+    edge = np.flatnonzero(np.diff(groups)) + 1
+    lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(groups)]])
+    many = hi - lo > 1
     out = []
-    for part, join in ((np.flatnonzero(small), _trie(budget, _Pairs())), (np.flatnonzero(~small), None)):
-        if len(part):
-            a, b = join(keys[part], groups[part]) if join else trie_links(keys[part], groups[part], budget)
-            out.append((part[a], part[b]))
-    a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    if second is None:
-        return a, b
-    if len(out) > small.any():  # the last links are those of large groups
-        c, d = _to_medoids(keys, second, *out[-1])
-        a, b = np.concatenate([a[: len(a) - len(out[-1][0])], c]), np.concatenate([b[: len(b) - len(out[-1][0])], d])
-    near = np.bitwise_count(second[a] ^ second[b]) <= budget
-    return a[near], b[near]
+    for x, y in zip(lo[many].tolist(), hi[many].tolist()):
+        k, s = keys[x:y], second[x:y]
+        if label is not None:
+            pairs = _near(k, s, budget, label[x:y])
+        else:
+            pairs = _near(k, s, budget, most=DENSE_PAIRS * max(len(k), PAIRS_TRIE)) if len(k) <= DENSE_KEYS else None
+        if pairs is None:
+            one, of = np.unique(k, return_index=True, return_inverse=True)[1:]
+            child, parent = trie_links(k[one], np.zeros(len(one), np.int64), CLOSE_BITS)
+            up = np.arange(len(one))
+            up[child] = parent
+            root, everyone = one[up[of]], np.arange(len(k))
+            lower = root != everyone
+            pairs = _to_medoids(k, s, everyone[lower], root[lower])
+            if dense is not None:
+                dense.append(everyone + x)
+        out.append((pairs[0] + x, pairs[1] + x))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(p[0] for p in out)]), np.concatenate([none, *(p[1] for p in out)])
 
 
 def _to_medoids(keys: np.ndarray, second: np.ndarray, child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,14 +258,6 @@ def _to_medoids(keys: np.ndarray, second: np.ndarray, child: np.ndarray, parent:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _trie(budget: int, pairs: _Pairs):
-    def join(keys, groups):
-        _traverse(keys, groups, budget, pairs)
-        return np.concatenate([x[0] for x in pairs.found] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in pairs.found] or [np.zeros(0, np.int64)])
-
-    return join
-
-
 def trie_links(keys: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within ``budget`` bits, group by group.
 
@@ -305,7 +330,10 @@ def _cross(keys, ones, forest, budget, bit, lo1, hi1, lo2, hi2, err):
 
 
 def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 100_000):
-    """Sorted rows (mask, value, fp and, for ``pairs``, fp2) to links (a, b), some sub-tries at a time."""
+    """Sorted rows (mask, value, fp) to links (a, b) of fingerprints, some sub-tries at a time.
+
+    For ``pairs``, rows (mask, value, fp, fp2, node and maybe label) to links of nodes.
+    """
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray):
@@ -317,12 +345,18 @@ def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 10
         order = np.lexsort((keys, groups))
         keys, groups = keys[order], groups[order]
         if pairs:
-            child, parent = trie_pairs(keys, groups, budget, np.ascontiguousarray(rows[order, 3]).view(np.uint64))
+            rows = rows[order]
+            dense = []
+            child, parent = trie_pairs(keys, groups, budget, np.ascontiguousarray(rows[:, 3]).view(np.uint64), rows[:, 5] if rows.shape[1] > 5 else None, dense)
+            # A link of a node with itself marks it as not done.
+            child, parent = np.concatenate([child, *dense]), np.concatenate([parent, *dense])
+            names = np.ascontiguousarray(rows[:, 4])
         else:
             child, parent = trie_links(keys, groups, budget)
-        if len(child):
-            signed = keys.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[parent])], ["a", "b"])
+            names = keys.view(np.int64)
+        for i in range(0, len(child), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(names[child[s]]), pa.array(names[parent[s]])], ["a", "b"])
 
     size = 0
     for batch in batches:
@@ -343,7 +377,7 @@ def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 10
 
 def _deal(rows: DataFrame, choices: list[int]) -> DataFrame:
     """Rows (mask, value, fp, ...): one for each mask."""
-    columns = [c for c in rows.columns if c.startswith("fp")]
+    columns = [c for c in rows.columns if c not in ("mask", "value")]
     return rows.select(*columns, F.explode(F.array(*[F.lit(_signed(x)) for x in choices])).alias("mask")).select("mask", F.expr("fp & mask").alias("value"), *columns)
 
 
@@ -351,14 +385,16 @@ def _free_bits(mask: int) -> int:
     return 64 - (mask & (2**64 - 1)).bit_count()
 
 
-def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE, choices: list[int] | None = None) -> DataFrame:
-    """Links (a, b) between fingerprints (fp, distinct) that connect all pairs within ``budget`` bits.
+def bucket_links(rows: DataFrame, choices: list[int], budget: int) -> DataFrame:
+    """Links (a, b) between nodes, by rows (fp, fp2, node and maybe label), in the buckets of these masks; see ``trie_pairs``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = _deal(rows, choices).repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
+    return ready.mapInArrow(lambda b: _join_partition(b, budget, True), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    With ``choices`` (and fp2) the sub-tries are those of these masks, and the
-    near pairs of small sub-tries are reported one by one, maybe repeatedly.
-    """
-    pairs = choices is not None
-    dealt = _deal(distinct, choices if pairs else masks(blocks_for(distinct.count(), budget), budget))
+
+def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE) -> DataFrame:
+    """Links (a, b) between fingerprints (fp, distinct) that connect all pairs within ``budget`` bits."""
+    dealt = _deal(distinct, masks(blocks_for(distinct.count(), budget), budget))
     parts, found = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
     while True:
         counts = cut(dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large), "crowded")
@@ -366,7 +402,7 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRI
         crowded = [m for m in (r[0] for r in counts.select("mask").distinct().collect()) if _free_bits(m) > 20]  # at most the masks of this level
         again = counts.filter(F.col("mask").isin(crowded)).select("mask", "value")
         ready = dealt.join(again, ["mask", "value"], "left_anti") if crowded else dealt
-        links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _join_partition(b, budget, pairs), "a bigint, b bigint"), "links")
+        links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _join_partition(b, budget), "a bigint, b bigint"), "links")
         found = links if found is None else found.unionByName(links)
         if not crowded:
             return found
@@ -410,14 +446,25 @@ def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def _similar(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (x, y) between texts (doc_id, text) whose shingle sets are similar."""
+    ends = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("y").alias("doc_id"))).distinct()
+    sets = cut(shingle_sets(texts.join(ends.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")).dropDuplicates(["node"]), "shingles")
+    met = edges.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
+    both = F.size(F.array_intersect("s", "t"))
+    return cut(met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("x", "y"), "alike")
+
+
 def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET) -> DataFrame:
     """doc_id, component_id: groups of texts whose shingle sets are similar.
 
-    The trie self-join proposes pairs within ``budget`` bits in both of two
-    fingerprints; the Jaccard similarity of the shingle sets decides each. The
-    budget is too wide for the pigeonhole, so sub-tries come from sampled bits,
-    as many as the recall asks for. Equal texts are one node,
-    named by their smallest doc_id; rows without one are not grouped.
+    Pairs within ``budget`` bits in both of two fingerprints are candidates;
+    the Jaccard similarity of the shingle sets decides each. The budget is too
+    wide for the pigeonhole, so buckets come from sampled bits, as many as the
+    recall asks for. Where candidates are dense, links to medoids are decided
+    first; then all other candidates that these did not connect. Equal texts
+    are one node, named by their smallest doc_id; rows without one are not
+    grouped.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
     fps = fingerprints(texts, width, second=True)
@@ -426,17 +473,18 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     nodes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     firsts = cut(fps.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "firsts")
     by_fp = cut(firsts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by("fp2", "doc_id").alias("fp2"), F.count(F.lit(1)).alias("n")), "by_fp")
-    links = near_pairs(by_fp.select("fp", "fp2"), budget, choices=sampled_masks(by_fp.count(), NEAR_BITS, NEAR_RECALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    name = by_fp.select("fp", "first")
-    edges = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
+    rows = by_fp.select("fp", "fp2", F.col("first").alias("node"))
+    choices = sampled_masks(by_fp.count(), NEAR_BITS, NEAR_RECALL)
+    links = cut(bucket_links(rows, choices, budget), "links")
     same_fp = firsts.join(by_fp.filter("n > 1").select("fp", "first"), "fp").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-    edges = cut(edges.unionByName(same_fp), "candidates")
-    ends = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("y").alias("doc_id"))).distinct()
-    sets = cut(shingle_sets(texts.join(ends.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")).dropDuplicates(["node"]), "shingles")
-    met = edges.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
-    both = F.size(F.array_intersect("s", "t"))
-    alike = met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("x", "y")
+    edges = cut(links.filter("a != b").toDF("x", "y").unionByName(same_fp), "candidates")
+    alike = _similar(edges, texts, width, similarity)
     roots = connected_components(alike, "x", "y")
+    dense = links.filter("a = b").select(F.col("a").alias("node"))
+    if not dense.isEmpty():
+        labels = rows.join(dense, "node").join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"))
+        rest = cut(bucket_links(cut(labels, "dense"), choices, budget).toDF("x", "y").join(edges.select("x", "y"), ["x", "y"], "left_anti"), "rest")
+        roots = connected_components(alike.unionByName(_similar(rest, texts, width, similarity)), "x", "y")
     classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return digests.join(classes, "digest").select("doc_id", "component_id")
 

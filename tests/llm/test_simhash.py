@@ -131,3 +131,49 @@ def test_verified_near_dedup(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, fp int")
     assert op.simhash_components(docs).count() == 0 and op.near_dedup(docs).count() == 0
+
+
+def shared_passage(rng, n, copies, passage=300, own=240):
+    """Texts on one passage, and near copies of some: similar to their original only."""
+    common = [f"c{i}" for i in range(passage)]
+    texts = [common + [f"w{rng.randrange(10**6)}" for _ in range(own)] for _ in range(n)]
+    for k in range(copies):
+        t = list(texts[k])
+        for _ in range(8):
+            t[rng.randrange(passage, len(t))] = f"x{rng.randrange(10**6)}"
+        texts.append(t)
+    return [" ".join(t) for t in texts]
+
+
+def similar_components(texts, least=0.8):
+    """Smallest position in each text's component by brute-force similarity of 5-word shingles."""
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_shared_passage_against_brute_force(spark):
+    texts = shared_passage(random.Random(5), 200, 70)
+    want = similar_components(texts)
+    got = dict(op.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    copies = [i for i, c in enumerate(want) if c != i]
+    assert len(copies) >= 60 and all(got[i] == i for i in range(200) if want[i] == i)
+    assert sum(got[i] == want[i] for i in copies) >= 0.9 * len(copies)
+
+
+def test_all_pairs_after_the_medoids():
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    keys = np.array(sorted(base ^ sum(1 << b for b in rng.sample(range(64), 4)) for _ in range(60)), np.uint64)
+    groups, dense = np.zeros(60, np.int64), []
+    a, _ = op.trie_pairs(keys, groups, 14, keys, dense=dense)
+    assert len(a) < 60 and np.concatenate(dense).tolist() == list(range(60))
+    label = np.arange(60) // 7
+    a, b = op.trie_pairs(keys, groups, 14, keys, label)
+    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    assert len(got) == len(a) and got == {(i, j) for j in range(60) for i in range(j) if label[i] != label[j] and bin(int(keys[i] ^ keys[j])).count("1") <= 14}
