@@ -85,8 +85,8 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprint_pair(text: str, width: int) -> tuple[int, int]:
-    """The fingerprint, and a second one of the same shingles under another hash."""
-    h = np.array(_hashes(text, width), dtype="<u8")
+    """The fingerprint of the distinct shingles, and a second one of these under another hash."""
+    h = np.unique(np.array(_hashes(text, width), dtype="<u8"))
     other = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return _majority(h), _majority(other ^ (other >> np.uint64(32)))
 
@@ -462,7 +462,8 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     the Jaccard similarity of the shingle sets decides each. The budget is too
     wide for the pigeonhole, so buckets come from sampled bits, as many as the
     recall asks for. Where candidates are dense, links to medoids are decided
-    first; then all other candidates that these did not connect. Equal texts
+    first; then all other candidates that these did not connect. Texts with
+    equal fingerprints are candidates like any other. Equal texts
     are one node, named by their smallest doc_id; rows without one are not
     grouped.
     """
@@ -472,18 +473,16 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     # The digest and the fingerprint of a row come from one text; equal texts agree in both.
     nodes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     firsts = cut(fps.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "firsts")
-    by_fp = cut(firsts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by("fp2", "doc_id").alias("fp2"), F.count(F.lit(1)).alias("n")), "by_fp")
-    rows = by_fp.select("fp", "fp2", F.col("first").alias("node"))
-    choices = sampled_masks(by_fp.count(), NEAR_BITS, NEAR_RECALL)
+    rows = firsts.select("fp", "fp2", F.col("doc_id").alias("node"))
+    choices = sampled_masks(firsts.count(), NEAR_BITS, NEAR_RECALL)
     links = cut(bucket_links(rows, choices, budget), "links")
-    same_fp = firsts.join(by_fp.filter("n > 1").select("fp", "first"), "fp").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-    edges = cut(links.filter("a != b").toDF("x", "y").unionByName(same_fp), "candidates")
+    edges = links.filter("a != b").toDF("x", "y")
     alike = _similar(edges, texts, width, similarity)
     roots = connected_components(alike, "x", "y")
     dense = links.filter("a = b").select(F.col("a").alias("node"))
     if not dense.isEmpty():
         labels = rows.join(dense, "node").join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"))
-        rest = cut(bucket_links(cut(labels, "dense"), choices, budget).toDF("x", "y").join(edges.select("x", "y"), ["x", "y"], "left_anti"), "rest")
+        rest = cut(bucket_links(cut(labels, "dense"), choices, budget).toDF("x", "y").join(edges, ["x", "y"], "left_anti"), "rest")
         roots = connected_components(alike.unionByName(_similar(rest, texts, width, similarity)), "x", "y")
     classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return digests.join(classes, "digest").select("doc_id", "component_id")

@@ -177,3 +177,26 @@ def test_all_pairs_after_the_medoids():
     a, b = op.trie_pairs(keys, groups, 14, keys, label)
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     assert len(got) == len(a) and got == {(i, j) for j in range(60) for i in range(j) if label[i] != label[j] and bin(int(keys[i] ^ keys[j])).count("1") <= 14}
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    rng = random.Random(6)
+    line = " ".join(f"r{i}" for i in range(13))
+    tails = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(12)]
+    texts = [" ".join([line] * 200 + t) for t in tails]
+    for t in tails[1:]:
+        texts.append(" ".join([line] * 200 + t[:100] + ["other"] + t[101:]))
+    want = similar_components(texts)
+    assert want == [*range(12), *range(1, 12)]
+    got = dict(op.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_equal_fingerprints_are_all_compared():
+    keys, groups, dense = np.full(70, 9, np.uint64), np.zeros(70, np.int64), []
+    a, _ = op.trie_pairs(keys[:20], groups[:20], 14, keys[:20])
+    assert len(a) == 190
+    a, b = op.trie_pairs(keys, groups, 14, keys, dense=dense)
+    assert len(a) == 69 and len(set(b.tolist())) == 1 and len(np.concatenate(dense)) == 70
+    a, _ = op.trie_pairs(keys, groups, 14, keys, np.arange(70))
+    assert len(a) == 70 * 69 // 2
