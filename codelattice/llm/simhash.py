@@ -45,7 +45,7 @@ LARGE_TRIE = 200_000
 #: Fingerprints in a sub-trie up to which all its near pairs are reported in any case.
 PAIRS_TRIE = 24
 #: Near pairs for each text of a bucket, and texts of a bucket, up to which they are all verified at once.
-DENSE_PAIRS, DENSE_KEYS = 8, 4096
+DENSE_PAIRS, DENSE_KEYS = 8, 8192
 #: Bits in which the members of a dense bucket's close sets differ from the next one.
 CLOSE_BITS = 8
 #: Pairs of fingerprints that are compared at once.
@@ -124,13 +124,30 @@ def masks(m: int, budget: int, free: int = 0) -> list[int]:
     return [free | sum(c) for c in combinations(blocks, m - budget)]
 
 
-def sampled_masks(n: int, bits: int, recall: float, keys: int = TRIE_KEYS, seed: int = 11) -> list[int]:
+def sampled_masks(n: int, bits: int | dict[int, float], recall: float, keys: int = TRIE_KEYS, seed: int = 11) -> list[int]:
     """Masks of some random bits each, so many that two of n fingerprints that
-    differ in ``bits`` bits agree under one of them with probability ``recall``."""
-    k = min(64 - bits - 8, max(1, math.ceil(math.log2(max(2, n / keys)))))
-    same = math.comb(64 - bits, k) / math.comb(64, k)
+    differ in ``bits`` bits agree under one of them with probability ``recall``.
+
+    ``bits`` may be a distribution; what it lacks to one counts as not found.
+    """
+    share = bits if isinstance(bits, dict) else {bits: 1.0}
+    k = min(64 - max(share) - 8, max(0, math.ceil(math.log2(max(1, n / keys)))))
+    same = np.array([math.comb(64 - b, k) / math.comb(64, k) for b in share])
+    part, number = np.array(list(share.values())), 1
+    if recall >= part.sum() and k:
+        raise ValueError(f"no number of masks has a recall of {recall}")
+    while k and part @ (1 - (1 - same) ** number) < recall:
+        number += 1
     rng = np.random.default_rng([seed, k])
-    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - same)))]
+    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(number)]
+
+
+def near_bits(similarity: float, budget: int) -> dict[int, float]:
+    """How often fingerprints of equally large sets of this similarity differ in so many bits, both fingerprints within ``budget``."""
+    apart = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    share = {b: math.comb(64, b) * apart**b * (1 - apart) ** (64 - b) for b in range(budget + 1)}
+    within = sum(share.values())
+    return {b: x * within for b, x in share.items()}
 
 
 def _signed(x: int) -> int:
@@ -426,8 +443,10 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, budget: int = BUDG
 
 #: Of the verified near-dedup: words in a shingle and least Jaccard similarity.
 NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
-#: Texts of that similarity differ in 10 bits on average and seldom in more than 14.
-NEAR_BUDGET, NEAR_BITS, NEAR_RECALL = 14, 10, 0.97
+#: Texts of that similarity differ in 10 bits on average; in 0.2 % of them it is more than 18.
+NEAR_BUDGET, NEAR_RECALL = 18, 0.97
+#: Texts in a bucket on average.
+NEAR_KEYS = 2048
 
 
 def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
@@ -461,7 +480,7 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     Pairs within ``budget`` bits in both of two fingerprints are candidates;
     the Jaccard similarity of the shingle sets decides each. The budget is too
     wide for the pigeonhole, so buckets come from sampled bits, as many as the
-    recall asks for. Where candidates are dense, links to medoids are decided
+    recall at just ``similarity`` asks for at any number of texts. Where candidates are dense, links to medoids are decided
     first; then all other candidates that these did not connect. Texts with
     equal fingerprints are candidates like any other. Equal texts
     are one node, named by their smallest doc_id; rows without one are not
@@ -474,7 +493,7 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     nodes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     firsts = cut(fps.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "firsts")
     rows = firsts.select("fp", "fp2", F.col("doc_id").alias("node"))
-    choices = sampled_masks(firsts.count(), NEAR_BITS, NEAR_RECALL)
+    choices = sampled_masks(firsts.count(), near_bits(similarity, budget), NEAR_RECALL, NEAR_KEYS)
     links = cut(bucket_links(rows, choices, budget), "links")
     edges = links.filter("a != b").toDF("x", "y")
     alike = _similar(edges, texts, width, similarity)

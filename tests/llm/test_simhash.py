@@ -200,3 +200,14 @@ def test_equal_fingerprints_are_all_compared():
     assert len(a) == 69 and len(set(b.tolist())) == 1 and len(np.concatenate(dense)) == 70
     a, _ = op.trie_pairs(keys, groups, 14, keys, np.arange(70))
     assert len(a) == 70 * 69 // 2
+
+
+@pytest.mark.parametrize("n", [9_296, 1_000_000, 9_000_000])
+def test_recall_at_every_size(n):
+    rng = np.random.default_rng(n)
+    found = np.array(op.sampled_masks(n, op.near_bits(op.NEAR_SIMILARITY, op.NEAR_BUDGET), op.NEAR_RECALL, op.NEAR_KEYS), np.uint64)
+    apart = np.arccos(2 * 0.8 / 1.8) / np.pi
+    differ = rng.random((4000, 2, 64)) < apart
+    fp = (differ[:, 0] * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    hit = (differ.sum(axis=2) <= op.NEAR_BUDGET).all(axis=1) & ((fp[:, None] & found) == 0).any(axis=1)
+    assert hit.mean() > 0.95
