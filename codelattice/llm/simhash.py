@@ -465,60 +465,79 @@ def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _similar(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges (x, y) between texts (doc_id, text) whose shingle sets are similar."""
-    ends = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("y").alias("doc_id"))).distinct()
-    sets = cut(shingle_sets(texts.join(ends.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")).dropDuplicates(["node"]), "shingles")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, digest, node of each row: equal texts are one node, named by 60 bits of their digest."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
+    return texts.withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint"))
+
+
+def _similar(edges: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (x, y) between nodes whose texts' shingle sets are similar."""
+    ends = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
+    firsts = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("end"), "first")
+    asked = texts.join(firsts.hint("merge"), (F.col("node") == F.col("end")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    sets = cut(shingle_sets(asked).dropDuplicates(["node"]), "shingles")
     met = edges.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
     both = F.size(F.array_intersect("s", "t"))
     return cut(met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("x", "y"), "alike")
 
 
-def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET) -> DataFrame:
-    """doc_id, component_id: groups of texts whose shingle sets are similar.
+def _near_groups(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET) -> DataFrame:
+    """node, first (its smallest doc_id), n (rows with both), root: groups of texts whose shingle sets are similar.
 
     Pairs within ``budget`` bits in both of two fingerprints are candidates;
     the Jaccard similarity of the shingle sets decides each. The budget is too
     wide for the pigeonhole, so buckets come from sampled bits, as many as the
-    recall at just ``similarity`` asks for at any number of texts. Where candidates are dense, links to medoids are decided
-    first; then all other candidates that these did not connect. Texts with
-    equal fingerprints are candidates like any other. Equal texts
-    are one node, named by their smallest doc_id; rows without one are not
-    grouped.
+    recall at just ``similarity`` asks for at any number of texts. Where
+    candidates are dense, links to medoids are decided first; then all other
+    candidates that these did not connect. Texts with equal fingerprints are
+    candidates like any other.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
-    fps = fingerprints(texts, width, second=True)
-    digests = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    # The digest and the fingerprint of a row come from one text; equal texts agree in both.
-    nodes = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    firsts = cut(fps.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "firsts")
-    rows = firsts.select("fp", "fp2", F.col("doc_id").alias("node"))
+    rows = texts.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "nodes")
+    if not nodes.filter("low != high").isEmpty():
+        raise RuntimeError("two texts agree in 60 bits of their digests")
+    nodes = nodes.select("node", "first", "n")
+    prints = fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), width, second=True)
+    firsts = cut(prints.dropDuplicates(["doc_id"]).select("fp", "fp2", F.col("doc_id").alias("node")), "firsts")
     choices = sampled_masks(firsts.count(), near_bits(similarity, budget), NEAR_RECALL, NEAR_KEYS)
-    links = cut(bucket_links(rows, choices, budget), "links")
+    links = cut(bucket_links(firsts, choices, budget), "links")
     edges = links.filter("a != b").toDF("x", "y")
-    alike = _similar(edges, texts, width, similarity)
+    alike = _similar(edges, texts, nodes, width, similarity)
     roots = connected_components(alike, "x", "y")
     dense = links.filter("a = b").select(F.col("a").alias("node"))
     if not dense.isEmpty():
-        labels = rows.join(dense, "node").join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"))
+        labels = firsts.join(dense, "node").join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"))
         rest = cut(bucket_links(cut(labels, "dense"), choices, budget).toDF("x", "y").join(edges, ["x", "y"], "left_anti"), "rest")
-        roots = connected_components(alike.unionByName(_similar(rest, texts, width, similarity)), "x", "y")
-    classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return digests.join(classes, "digest").select("doc_id", "component_id")
+        roots = connected_components(alike.unionByName(_similar(rest, texts, nodes, width, similarity)), "x", "y")
+    return cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, component_id (the group's smallest doc_id) of each row; see ``_near_groups``.
+
+    The component of texts without any doc_id has none.
+    """
+    texts = _keyed(docs)
+    groups = _near_groups(texts, **options)
+    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
+    return texts.select("doc_id", "node").join(groups.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the smallest doc_id stays.
+    """The rows of ``docs`` without near duplicates: of each group a row with the smallest doc_id stays.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id that stays, one does.
+    Different texts under one doc_id are decided each by itself. A row without
+    a doc_id stays if no row of its group has one, and one such row does. Of
+    equal rows one stays.
     """
-    groups = cut(near_duplicates(docs, **options), "groups")
-    stay = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    many = cut(stay, "stay")
-    kept = docs.join(many.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    if not many.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    groups = _near_groups(_keyed(docs), **options)
+    stay = cut(groups.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node", "n")).alias("s")).select(F.col("s.node").alias("_stays"), F.col("s.first").alias("_first"), F.col("s.n").alias("_n")), "stay")
+    node = F.conv(F.substring(F.sha2(text_or_empty(), 256), 1, 15), 16, 10).cast("bigint")
+    kept = docs.withColumn("_node", node).join(stay.hint("merge"), (F.col("_node") == F.col("_stays")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first")), "left_semi")
+    if not stay.filter("_n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_node"])
+    return kept.select(docs.columns)
 
 
 def hex_fingerprint(fp="fp"):

@@ -211,3 +211,11 @@ def test_recall_at_every_size(n):
     fp = (differ[:, 0] * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
     hit = (differ.sum(axis=2) <= op.NEAR_BUDGET).all(axis=1) & ((fp[:, None] & found) == 0).any(axis=1)
     assert hit.mean() > 0.95
+
+
+def test_texts_under_one_id_are_decided_each(spark):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(9999)}" for _ in range(100)) for _ in range(4)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[1]), (3, text[2]), (None, text[2]), (None, text[3]), (None, text[3])]
+    kept = op.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, text.index(r["text"])) for r in kept) == [(0, 3), (1, 0), (1, 1), (3, 2)]
