@@ -2,7 +2,7 @@
 
 import corpus_pipeline as pipeline
 
-from codelattice.llm import decontaminate, sharding
+from codelattice.llm import decontaminate, sharding, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,3 +32,29 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_near_dedup_against_brute_force(spark):
+    """Groups of the test table are those of all pairs with a 5-word similarity of 0.8 or more."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"] or "", r["doc_id"])
+    words = [(i, t.encode("utf-8", "surrogatepass").lower().split()) for t, i in first.items()]
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words}
+    label = {i: i for i in grams}
+    pairs = []
+    ids = sorted(grams)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            small, large = sorted((len(grams[a]), len(grams[b])))
+            if small >= 0.8 * large and (both := len(grams[a] & grams[b])) >= 0.8 * (small + large - both):
+                pairs.append((a, b))
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if c == old else c for i, c in label.items()}
+    got = dict(simhash.near_duplicates(spark.createDataFrame([(i, t) for t, i in first.items()], "doc_id bigint, text string")).collect())
+    met = sum(got[a] == got[b] for a, b in pairs)
+    print("pairs", len(pairs), "in one group", met)
+    assert pairs and met >= 0.97 * len(pairs)
+    # Nothing is joined that brute force keeps apart.
+    assert all(label[i] == label[c] for i, c in got.items())
