@@ -4,19 +4,22 @@ The history is the set of distinct SHA-256 digests seen so far. It is dealt
 into buckets of bounded size, and every bucket gets a minimal perfect hash (a
 cascade of bit arrays: a key that is alone on its bit at a level keeps that
 bit, the others go one level down; the rank of the bit is the slot). A slot
-holds the whole digest and the locator of the winner (its doc_id) with the
-group's size. A lookup hashes to a slot and compares all 32 bytes, so a
-stranger that falls on a slot is recognised; strangers form groups of their
-own.
+holds the whole digest and the locator of the winner (its doc_id and the
+number of its row) with the group's size. A lookup hashes to a slot and
+compares all 32 bytes, so a stranger that falls on a slot is recognised;
+strangers form groups of their own. The index is a table: it is saved, loaded
+and extended by batches that come later.
 
-Only digests and ids are shuffled, never texts. Both sides are aggregated by
-digest before they meet, so a text that holds a third of all rows is one row
-for each map task.
+Only digests, ids and row numbers are shuffled, never texts. Both sides are
+aggregated by digest before they meet, so a text that holds a third of all
+rows is one row for each map task, and so is a doc_id that does.
 
 Defined results. Null text counts as empty. Rows that repeat (doc_id, text)
-count in ``group_size``, and exactly one row of the winner's doc_id is kept.
-A null doc_id loses against any other; in a group that has only null ids one
-row stays. Empty tables give empty results. Extra columns are not read.
+count in ``group_size``, and exactly one row of the winner's doc_id is kept;
+where the history and the batch both have it, that of the history. A null
+doc_id loses against any other; in a group that has only null ids one row
+stays. Ids are integers from end to end, so ids over 2^53 are exact. Empty
+tables give empty results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -36,8 +39,9 @@ BUCKET_KEYS = 50_000
 GAMMA = 2.0
 MAX_LEVELS = 48
 
-INDEX_SCHEMA = "bucket bigint, sizes array<bigint>, bits binary, rest binary, digests binary, winners binary, has_winner binary, counts binary"
-GROUP_SCHEMA = "digest binary, keep_id bigint, group_size bigint, known boolean"
+INDEX_SCHEMA = "bucket bigint, buckets bigint, sizes array<bigint>, bits binary, rest binary, digests binary, winners binary, has_winner binary, rows binary, counts binary"
+#: The winner of a group: its id, whether it has one, its row, whether it is of the batch; ``known``: the index had the digest.
+GROUP_SCHEMA = "digest binary, winner bigint, has_winner boolean, row bigint, n bigint, known boolean, of_batch boolean"
 
 
 def _mix(words: np.ndarray, level: int) -> np.ndarray:
@@ -96,90 +100,153 @@ def _flat(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8)
 
 
-def _build_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    digests = _flat(rows["digest"])
-    phash = PerfectHash.build(digests)
-    order = np.empty(len(rows), np.int64)
-    order[phash.slots(digests)] = np.arange(len(rows))
-    winners = rows["winner"].to_numpy(dtype="float64", na_value=np.nan)
-    ids = pd.to_numeric(rows["winner"]).astype("Int64").fillna(0).to_numpy(np.int64)
-    return pd.DataFrame({
-        "bucket": [int(rows["bucket"].iloc[0])], "sizes": [phash.sizes], "bits": [np.packbits(phash.bits).tobytes()], "rest": [phash.rest.tobytes()],
-        "digests": [digests.reshape(-1, 32)[order].tobytes()], "winners": [ids[order].tobytes()],
-        "has_winner": [(~np.isnan(winners))[order].astype(np.uint8).tobytes()], "counts": [rows["n"].to_numpy(np.int64)[order].tobytes()],
-    })
+def _build_bucket(buckets: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        digests = _flat(rows["digest"])
+        phash = PerfectHash.build(digests)
+        order = np.empty(len(rows), np.int64)
+        order[phash.slots(digests)] = np.arange(len(rows))
+        number = lambda c: rows[c].to_numpy(np.int64)[order].tobytes()
+        return pd.DataFrame({
+            "bucket": [int(rows["bucket"].iloc[0])], "buckets": [buckets], "sizes": [phash.sizes], "bits": [np.packbits(phash.bits).tobytes()], "rest": [phash.rest.tobytes()],
+            "digests": [digests.reshape(-1, 32)[order].tobytes()], "winners": [number("winner")], "has_winner": [rows["has_winner"].to_numpy(bool)[order].astype(np.uint8).tobytes()],
+            "rows": [number("row")], "counts": [number("n")],
+        })
+
+    return run
 
 
 def build_index(groups: DataFrame, buckets: int) -> DataFrame:
-    """One row for each bucket of ``groups`` (digest, winner, n: distinct digests)."""
-    return groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets))).groupBy("bucket").applyInPandas(_build_bucket, INDEX_SCHEMA)
+    """One row for each bucket of ``groups`` (digest, winner, has_winner, row, n: distinct digests)."""
+    return groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets))).groupBy("bucket").applyInPandas(_build_bucket(buckets), INDEX_SCHEMA)
 
 
-def _lookup(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-    empty = np.zeros(0, np.uint8)
-    if len(index):
-        row = index.iloc[0]
+class _Bucket:
+    """A bucket of the index as arrays; an empty one for no row."""
+
+    def __init__(self, row=None):
+        if row is None:
+            empty = np.zeros(0, np.uint8)
+            self.phash, self.held = PerfectHash.build(empty), empty.reshape(-1, 32)
+            self.winners = self.rows = self.counts = np.zeros(0, np.int64)
+            self.has = np.zeros(0, bool)
+            return
         sizes = [int(x) for x in row["sizes"]]
-        phash = PerfectHash(sizes, np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool), np.frombuffer(row["rest"], np.uint8))
-        held = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
-        winners, counts = np.frombuffer(row["winners"], np.int64).copy(), np.frombuffer(row["counts"], np.int64).copy()
-        known = np.frombuffer(row["has_winner"], np.uint8).astype(bool)
-    else:
-        phash, held = PerfectHash.build(empty), empty.reshape(-1, 32)
-        winners, counts, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    asked = _flat(batch["digest"]) if len(batch) else empty
-    slots, keys = phash.slots(asked), asked.reshape(-1, 32)
+        self.phash = PerfectHash(sizes, np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool), np.frombuffer(row["rest"], np.uint8))
+        self.held = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
+        self.winners, self.rows, self.counts = (np.frombuffer(row[c], np.int64).copy() for c in ("winners", "rows", "counts"))
+        self.has = np.frombuffer(row["has_winner"], np.uint8).astype(bool)
+
+
+def _lookup(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+    b = _Bucket(index.iloc[0]) if len(index) else _Bucket()
+    asked = _flat(batch["digest"]) if len(batch) else np.zeros(0, np.uint8)
+    slots, keys = b.phash.slots(asked), asked.reshape(-1, 32)
     member = slots >= 0
-    member[member] = (held[slots[member]] == keys[member]).all(axis=1)
-    ids = pd.to_numeric(batch["winner"]).astype("Int64") if len(batch) else pd.Series([], dtype="Int64")
-    there, ids = ids.notna().to_numpy(bool), ids.fillna(0).to_numpy(np.int64)
-    n = batch["n"].to_numpy(np.int64) if len(batch) else np.zeros(0, np.int64)
+    member[member] = (b.held[slots[member]] == keys[member]).all(axis=1)
+    ids, row, n = (batch[c].to_numpy(np.int64) for c in ("winner", "row", "n"))
+    there = batch["has_winner"].to_numpy(bool)
     to = slots[member]
-    counts[to] += n[member]
-    newer = there[member] & (~known[to] | (ids[member] > winners[to]))
-    winners[to[newer]] = ids[member][newer]
-    known[to[newer]] = True
-    out_ids = np.concatenate([winners, ids[~member]])
-    out_known = np.concatenate([known, there[~member]])
+    b.counts[to] += n[member]
+    newer = there[member] & (~b.has[to] | (ids[member] > b.winners[to]))
+    at = to[newer]
+    b.winners[at], b.rows[at], b.has[at] = ids[member][newer], row[member][newer], True
+    of_batch = np.zeros(len(b.held), bool)
+    of_batch[at] = True
+    new = ~member
+    both = lambda x, y: np.concatenate([x, y[new]])
     return pd.DataFrame({
-        "digest": [x.tobytes() for x in held] + [x.tobytes() for x in keys[~member]],
-        "keep_id": pd.array(out_ids, dtype="Int64").astype("Int64") if out_known.all() else pd.Series(pd.array(out_ids, dtype="Int64")).mask(~out_known),
-        "group_size": np.concatenate([counts, n[~member]]),
-        "known": np.concatenate([np.ones(len(held), bool), np.zeros(int((~member).sum()), bool)]),
+        "digest": [x.tobytes() for x in b.held] + [x.tobytes() for x in keys[new]], "winner": both(b.winners, ids), "has_winner": both(b.has, there), "row": both(b.rows, row),
+        "n": both(b.counts, n), "known": both(np.ones(len(b.held), bool), np.zeros(len(keys), bool)), "of_batch": both(of_batch, np.ones(len(keys), bool)),
     })
 
 
 def _groups(digests: DataFrame) -> DataFrame:
-    return digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
+    """Distinct digests with their winner; of rows that repeat the winner's id any one."""
+    best = F.coalesce(F.max_by("row", "doc_id"), F.min("row"))
+    found = digests.groupBy("digest").agg(F.max("doc_id").alias("w"), best.alias("row"), F.count(F.lit(1)).alias("n"))
+    return found.select("digest", F.coalesce("w", F.lit(0).cast("bigint")).alias("winner"), F.col("w").isNotNull().alias("has_winner"), "row", "n")
+
+
+def _buckets_for(*counts: int) -> int:
+    return max(1, math.ceil(sum(counts) / BUCKET_KEYS))
+
+
+def index_of(digests: DataFrame, more: int = 0) -> DataFrame:
+    """The index of rows (doc_id, digest, row), with room for ``more`` digests."""
+    groups = cut(_groups(digests), "history")
+    return cut(build_index(groups, _buckets_for(groups.count(), more)), "index")
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    index.write.mode("overwrite").parquet(path)
 
 
-def merge_batch(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """Groups of both (digest, keep_id, group_size, known): every digest once.
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
-    ``history`` and ``batch`` have doc_id and digest. Members of the index
-    are folded into their slots; nonmembers are groups of their own.
+
+def merge_batch(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """Groups of the index and of ``batch`` (doc_id, digest, row), every digest once.
+
+    Members of the index are folded into their slots; nonmembers are groups
+    of their own. See ``GROUP_SCHEMA``.
     """
-    old, new = _groups(history), _groups(batch)
-    rows = old.agg(F.count(F.lit(1)).alias("n")).unionByName(new.agg(F.count(F.lit(1)).alias("n"))).agg(F.sum("n")).first()[0]
-    buckets = max(1, math.ceil(rows / BUCKET_KEYS))
-    index = build_index(old, buckets)
+    new = cut(_groups(batch), "batch")
+    size = new.count()
+    first = index.select("buckets").first()
+    buckets = first[0] if first else _buckets_for(size)
+    if size > 2 * BUCKET_KEYS * buckets:
+        # A batch that is much larger than the history: deal the index anew, so no bucket is crowded.
+        held = cut(index_groups(index), "held")
+        buckets = _buckets_for(held.count(), size)
+        index = build_index(held, buckets)
     asked = new.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
     return index.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_lookup, GROUP_SCHEMA)
 
 
+def index_groups(index: DataFrame) -> DataFrame:
+    """The slots of an index as rows (digest, winner, has_winner, row, n)."""
+
+    def run(batches):
+        for frame in batches:
+            for _, row in frame.iterrows():
+                b = _Bucket(row)
+                yield pd.DataFrame({"digest": [x.tobytes() for x in b.held], "winner": b.winners, "has_winner": b.has, "row": b.rows, "n": b.counts})
+
+    return index.mapInPandas(run, "digest binary, winner bigint, has_winner boolean, row bigint, n bigint")
+
+
+def extend_index(groups: DataFrame) -> DataFrame:
+    """The index for the next batch, from the groups of ``merge_batch``."""
+    groups = cut(groups.select("digest", "winner", "has_winner", "row", "n"), "history")
+    return cut(build_index(groups, _buckets_for(groups.count())), "index")
+
+
+def digests_of(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, row of each row; row numbers are written, so they stay."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(text_or_empty(), 256)).alias("digest"), *[c for c in ("in_history",) if c in docs.columns])
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+
+
+def decide(digests: DataFrame, groups: DataFrame, of_batch=True) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of rows (doc_id, digest, row).
+
+    ``of_batch`` says which rows came as the batch: a row stays if it is the
+    winner's, and a winner of the history is no row of the batch.
+    """
+    stays = (F.col("row") == F.col("winner_row")) & (F.lit(of_batch) == F.col("of_batch") if isinstance(of_batch, bool) else of_batch == F.col("of_batch"))
+    met = digests.join(groups.select("digest", "winner", "has_winner", F.col("row").alias("winner_row"), "n", "of_batch"), "digest", "left")
+    return met.select("doc_id", F.when(F.col("has_winner"), F.col("winner")).alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *[c for c in ("in_history",) if c in digests.columns])
+
+
 def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
     """Decide every row of ``history`` and ``batch`` (doc_id, text).
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, in_history.
     """
-    digest = F.unhex(F.sha2(text_or_empty(), 256)).alias("digest")
-    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
-    both = cut(history.select(doc_id, digest, F.lit(True).alias("in_history")).unionByName(batch.select(doc_id, digest, F.lit(False).alias("in_history"))), "digests")
-    groups = cut(merge_batch(both.filter("in_history"), both.filter("not in_history")), "groups")
-    # Repeated (doc_id, text) rows: one of them carries the decision. The key
-    # is as good as unique, so no partition of this window is hot.
-    turn = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.col("in_history").desc()))
-    return both.withColumn("turn", turn).join(groups.select("digest", "keep_id", "group_size"), "digest", "left").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "in_history",
-    )
+    pick = lambda df, old: df.select("doc_id", "text", F.lit(old).alias("in_history"))
+    both = digests_of(pick(history, True).unionByName(pick(batch, False)))
+    new = both.filter("not in_history")
+    groups = cut(merge_batch(index_of(both.filter("in_history"), new.count()), new), "groups")
+    return decide(both, groups, ~F.col("in_history"))
