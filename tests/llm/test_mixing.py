@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from codelattice.llm import mixing as op
@@ -48,7 +50,49 @@ def test_totals_near_their_targets(spark, monkeypatch, block):
         taken, target, longest = by.get(r["source"], (0, r["target"], 0))
         by[r["source"]] = (taken + r["copies"] * r["size"], target, max(longest, r["size"]))
         assert 0 <= r["copies"] <= 3
-    assert len(by) == 4 and all(abs(taken - target) <= longest / 10 + 1 for taken, target, longest in by.values())
+    assert len(by) == 4 and all(abs(taken - target) <= max(1, 0.001 * target) for taken, target, longest in by.values())
+
+
+def test_one_long_document_among_short_ones():
+    """It is decided first, and the short ones make up for it."""
+    rng = np.random.default_rng(3)
+    size = np.concatenate([[20000], rng.integers(20, 200, 999)])
+    ups = 0
+    for seed in range(200):
+        rows = pd.DataFrame({"row_id": range(1000), "doc_id": range(1000), "source_no": 0, "size": size, "base": 0, "pi": 0.5, "words": size.sum() / 2, "block": seed, "copies": -1})
+        out = op._block(rows, True)
+        assert abs((out["size"] * out["copies"]).sum() - size.sum() / 2) <= op.MISS * size.sum() / 2 + 1
+        ups += int(out.loc[out["size"] == 20000, "copies"].iloc[0])
+    assert 70 <= ups <= 130
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_source_near_its_target(spark, sf):
+    """Sums of a brute-force count of words, against targets that were shared by hand."""
+    path = f"/root/testdata/{sf}/documents.parquet"
+    size = {r["doc_id"]: (len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in spark.read.parquet(path).select("doc_id", "text", "source").collect()}
+    whole, taken, goal = {}, {}, {}
+    for n, source in size.values():
+        whole[source] = whole.get(source, 0) + n
+    for r in op.mix(spark.read.parquet(path)).collect():
+        assert (r["size"], r["source"]) == size[r["doc_id"]] and r["source_size"] == whole[r["source"]] and 0 <= r["copies"] <= 3
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        goal[r["source"]] = r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 0.001 * goal[s] for s in whole)
+    order = sorted(whole, key=lambda s: (s is None, s or ""))
+    level = [goal[s] / (1 + i % 3) for i, s in enumerate(order) if goal[s] < 3 * whole[s] - 1e-6]
+    assert max(level) - min(level) < 1e-6 * max(level)
+    assert all(goal[s] <= 3 * whole[s] + 1e-6 for s in whole)
+
+
+def test_repeated_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_ROWS", 40)
+    rows = [(None, "a b c", "x")] * 200 + [(i, "d " * (i % 9 + 1), "y") for i in range(200)]
+    got = op.mix(frame(spark, rows)).collect()
+    assert len(got) == 400
+    for source in "xy":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 4
 
 
 def test_reruns_agree(spark):
