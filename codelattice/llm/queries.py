@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, url_filter
-from .common import read
+from .common import WORD, read, text_or_empty
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,25 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Bytes of a shard in op9: small objects for random access, so that every table is split.
+SMALL_SHARDS = 256 << 10
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), SMALL_SHARDS).drop("text")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 by source: whether the words taken miss the target by 0.1 % or one shortest document at most."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    sums = mixed.groupBy("source", "source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most"), F.min("size").alias("least"), F.count(F.lit(1)).alias("n_docs"))
+    return sums.select("source", "n_docs", "source_size", "target", (F.abs(F.col("taken") - F.col("target")) <= 0.001 * F.col("target") + F.col("least")).alias("near"), (F.col("most") <= 3).alias("within_cap"))
+
+
+def word_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of operator 4 over lengths in words, which SQL can count."""
+    lengths = read(spark, sf_dir, "documents").select(F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("length"))
+    return token_counts.length_histogram(lengths)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_quality_classifier, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op8_benchmark_decontamination, op9_sharding, op10_url_filter)
+    f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_quality_classifier, op4_token_counts, op5_chat_formatting, op6_suffix_dedup, op7_simhash_dedup, op8_benchmark_decontamination, op9_sharding, op10_url_filter, mixing_targets, word_length_histogram)
 }
 
 ORACLES: dict[str, str] = {
@@ -92,13 +109,35 @@ WITH d AS (
          CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents
 ), p AS (SELECT doc_id, h, n_bytes, k.depth, h >> (60 - k.depth)::BIGINT AS prefix FROM d, (SELECT unnest(range(0, 33)) AS depth) k),
 s AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes FROM p GROUP BY depth, prefix
-      HAVING sum(n_bytes) <= {sharding.SHARD_BYTES} OR min(h) = max(h)),
+      HAVING sum(n_bytes) <= {SMALL_SHARDS} OR min(h) = max(h)),
 f AS (SELECT p.doc_id, p.n_bytes, p.depth, p.prefix, s.shard_bytes,
              row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS rn
       FROM p JOIN s ON p.depth = s.depth AND p.prefix = s.prefix)
 SELECT doc_id, CASE WHEN depth = 0 THEN '-' ELSE lpad(bin(prefix), depth::INTEGER, '0') END AS shard,
        CAST(depth AS INTEGER) AS depth, n_bytes, CAST(shard_bytes AS BIGINT) AS shard_bytes
 FROM f WHERE rn = 1
+""",
+    "mixing_targets": r"""
+WITH d AS (SELECT source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, count(*) AS n_docs, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0) AS full_before, coalesce(sum(weight) OVER before, 0) AS weight_before, sum(weight) OVER () AS weights
+      FROM w WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (total - full_before) * weight / (weights - weight_before) > 3.0::DOUBLE * source_size AS full_ FROM o),
+r AS (SELECT total - coalesce(sum(3.0::DOUBLE * source_size) FILTER (full_), 0) AS rest, sum(weight) FILTER (NOT full_) AS open_ FROM c GROUP BY total)
+SELECT source, n_docs, CAST(source_size AS BIGINT) AS source_size,
+       CASE WHEN full_ THEN 3.0::DOUBLE * source_size ELSE rest * weight / open_ END AS target, TRUE AS near, TRUE AS within_cap
+FROM c, r
+""",
+    "word_length_histogram": r"""
+WITH d AS (SELECT CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS length FROM documents),
+l AS (SELECT length, count(*) AS n_docs FROM d GROUP BY length)
+SELECT a.length, a.n_docs, a.length * a.n_docs AS n_tokens,
+       (SELECT CAST(count(*) AS BIGINT) FROM d WHERE d.length >= a.length) AS docs_from,
+       (SELECT CAST(sum(d.length) AS BIGINT) FROM d WHERE d.length >= a.length) AS tokens_from,
+       (SELECT CAST(sum(least(d.length, a.length)) AS BIGINT) FROM d) AS truncated_tokens,
+       (SELECT count(*) FROM d WHERE d.length <= a.length)::DOUBLE / (SELECT count(*) FROM d) AS quantile
+FROM l a
 """,
     "op10_url_filter": """
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),

@@ -7,19 +7,27 @@ histogram of bytes by directory entry, from which the sums of all shorter
 prefixes follow, decides all splits down to its depth, and only entries that
 are still too large are looked at again with more bits.
 
-Rows are never moved for the decision; texts do not enter a shuffle here.
+Keys are cut once from the texts (hash and size, 16 bytes a row); a second and
+last look at the texts adds the shards. The compact directory has one entry
+for each shard. Up to ``DIRECTORY_ENTRIES`` of them (checked) it travels to
+the tasks, which search it by hash, so texts enter no shuffle; a larger
+directory is joined.
 
 Defined results. Null text has zero bytes. A document that alone exceeds the
 limit gets a shard of its own. Rows with one key (repeated rows) cannot be
 told apart by more bits; if together they exceed the limit, they go to
-numbered overflow pages of their bucket, each at the limit or below. A null
-key hashes as the empty string. An empty table gives no rows.
+numbered overflow pages of their bucket, each at the limit or below unless a
+single row is larger. A null key hashes as the empty string. Columns of the
+input that are called like those added (shard, depth, n_bytes, shard_bytes)
+are replaced; all others stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +38,12 @@ SHARD_BYTES = 64 * 1024 * 1024
 HASH_BITS = 60
 #: Levels that each further look adds.
 STEP = 8
-#: Directory entries (16 bytes each) up to which the directory is broadcast.
-BROADCAST_ENTRIES = 1 << 16
+#: Shards (25 bytes each) up to which the directory travels to the tasks: 50 MB.
+DIRECTORY_ENTRIES = 1 << 21
+#: Pages that rows of one key fill in one group of a window.
+PAGES_AT_ONCE = 64
+
+ADDED = ("shard", "depth", "n_bytes", "shard_bytes")
 
 
 def hash_bits(key):
@@ -39,70 +51,88 @@ def hash_bits(key):
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
-def _prefix(h, depth):
-    return F.shiftright(h, HASH_BITS - depth) if isinstance(depth, int) else F.expr(f"shiftright(h, {HASH_BITS} - {depth})")
-
-
-def directory(keys: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """The directory of ``keys`` (h, n_bytes), in pieces of growing depth.
+def directory(keys: DataFrame, limit: int) -> DataFrame:
+    """One row for each shard of ``keys`` (h, n_bytes): first (its smallest hash), depth, shard_bytes, shard_rows, alone.
 
-    Each piece is (bits, table of entry, depth, shard_bytes, alone): the shard
-    of a hash is at ``depth`` bits. ``alone`` marks shards of one single key.
+    A shard has the hashes from ``first`` on that agree with it in ``depth``
+    bits. ``alone`` marks shards of one single key.
     """
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + 3))
-    done, base, left = [], 0, keys
+    found, base, left = None, 0, keys
     while True:
-        leaf = left.groupBy(F.shiftright("h", HASH_BITS - bits).alias("entry")).agg(F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        leaf = left.groupBy(F.shiftright("h", HASH_BITS - bits).alias("entry")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         leaf = cut(leaf, "entries")
-        every = leaf.select("entry", "b", "lo", "hi", F.explode(F.sequence(F.lit(base), F.lit(bits))).alias("depth")).withColumn("p", F.expr(f"shiftright(entry, {bits} - depth)"))
-        sums = every.groupBy("depth", "p").agg(F.sum("b").alias("shard_bytes"), (F.min("lo") == F.max("hi")).alias("alone"))
+        every = leaf.select("entry", "b", "n", "lo", "hi", F.explode(F.sequence(F.lit(base), F.lit(bits))).alias("depth")).withColumn("p", F.expr(f"shiftright(entry, {bits} - depth)"))
+        sums = every.groupBy("depth", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"), (F.min("lo") == F.max("hi")).alias("alone"))
         fits = sums.filter((F.col("shard_bytes") <= limit) | F.col("alone") | (F.col("depth") == HASH_BITS))
-        first = every.select("entry", "depth", "p").join(fits, ["depth", "p"]).groupBy("entry").agg(F.min_by(F.struct("depth", "shard_bytes", "alone"), "depth").alias("s"))
-        piece = cut(leaf.select("entry").join(first, "entry", "left").select("entry", "s.*"), "directory")
-        done.append((bits, piece))
-        over = piece.filter("depth is null").select("entry")
+        # Of an entry's prefixes that fit the shortest is its shard.
+        met = every.select("entry", "depth", "p").join(fits, ["depth", "p"])
+        piece = cut(met.groupBy("entry").agg(F.min_by(F.struct("depth", "p", "shard_bytes", "shard_rows", "alone"), "depth").alias("s")), "directory")
+        shards = piece.select("s.*").distinct().select(F.expr(f"shiftleft(p, {HASH_BITS} - depth)").alias("first"), "depth", "shard_bytes", "shard_rows", "alone")
+        found = shards if found is None else found.unionByName(shards)
+        over = leaf.select("entry").join(piece, "entry", "left_anti")
         if bits == HASH_BITS or over.isEmpty():
-            return done
+            return cut(found, "shards")
         left = left.withColumn("entry", F.shiftright("h", HASH_BITS - bits)).join(over, "entry", "left_semi").select("h", "n_bytes")
         base, bits = bits + 1, min(HASH_BITS, bits + STEP)
 
 
-def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id") -> DataFrame:
+PLACE = "first long, depth int, shard_bytes long, shard_rows long, alone boolean"
+
+
+def _searched(marked: DataFrame, shards: DataFrame) -> DataFrame:
+    """``marked`` (__h) with __s, its shard, found by each task in the whole directory."""
+    rows = shards.toPandas().sort_values("first")  # at most DIRECTORY_ENTRIES, as the caller checked
+    held = marked.sparkSession.sparkContext.broadcast({c: rows[c].to_numpy() for c in rows.columns})
+
+    @F.pandas_udf(PLACE)
+    def place(h: pd.Series) -> pd.DataFrame:
+        table = held.value
+        at = np.searchsorted(table["first"], h.to_numpy(np.int64), "right") - 1
+        return pd.DataFrame({c: table[c][at] for c in ("first", "depth", "shard_bytes", "shard_rows", "alone")})
+
+    return marked.withColumn("__s", place("__h"))
+
+
+def _joined(marked: DataFrame, shards: DataFrame) -> DataFrame:
+    """As ``_searched``, for directories that are too large: one join on the depths that occur."""
+    depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 61
+    of = F.explode(F.array(*[F.struct(F.lit(d).cast("int").alias("depth"), F.shiftright("__h", HASH_BITS - d).alias("p")) for d in depths]))
+    # Hashes alone look for their shard; the texts meet it by the hash.
+    asked = marked.select("__h").distinct().select("__h", of.alias("k")).select("__h", "k.*")
+    named = shards.select(F.col("depth").cast("int").alias("depth"), F.expr(f"shiftright(first, {HASH_BITS} - depth)").alias("p"), F.struct("first", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows", "alone").alias("__s"))
+    return marked.join(asked.join(named, ["depth", "p"]).select("__h", "__s"), "__h")
+
+
+def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", entries: int = DIRECTORY_ENTRIES) -> DataFrame:
     """``docs`` with shard, depth, n_bytes, shard_bytes.
 
     ``shard`` names prefix bits and overflow page, like ``0101`` or
     ``0101.1``; the root bucket is ``-``.
     """
-    n_bytes = F.octet_length(text_or_empty()).cast("bigint")
-    marked = docs.withColumn("__h", hash_bits(docs[key])).withColumn("__b", n_bytes)
-    keys = marked.select(F.col("__h").alias("h"), F.col("__b").alias("n_bytes"))
-    pieces = directory(keys, limit)
-    out = marked
-    for i, (bits, piece) in enumerate(pieces):
-        named = piece.select(F.col("entry").alias("__e"), F.struct("depth", "shard_bytes", "alone").alias(f"__s{i}")).filter(f"__s{i}.depth is not null")
-        small = bits <= 16 and (1 << bits) <= BROADCAST_ENTRIES
-        out = out.withColumn("__e", F.shiftright("__h", HASH_BITS - bits)).join(F.broadcast(named) if small else named, "__e", "left").drop("__e")
-    s = F.coalesce(*[F.col(f"__s{i}") for i in range(len(pieces))])
-    out = out.withColumn("__s", s).drop(*[f"__s{i}" for i in range(len(pieces))])
-    # Overflow pages: only rows whose key fills more than a shard by itself.
-    crowded = F.col("__s.alone") & (F.col("__s.shard_bytes") > limit)
-    tight = keys.groupBy("h").agg(F.sum("n_bytes").alias("all"), F.count(F.lit(1)).alias("rows")).filter((F.col("all") > limit) & (F.col("rows") > 1))
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    marked = docs.select(*[docs[f"`{c}`"] for c in keep], hash_bits(docs[f"`{key}`"]).alias("__h"), F.octet_length(text_or_empty()).cast("bigint").alias("__b"))
+    keys = cut(marked.select(F.col("__h").alias("h"), F.col("__b").alias("n_bytes")), "keys")
+    shards = directory(keys, limit)
+    out = _searched(marked, shards) if shards.count() <= entries else _joined(marked, shards)
     name = F.when(F.col("__s.depth") == 0, F.lit("-")).otherwise(F.expr(f"lpad(bin(shiftright(__h, {HASH_BITS} - __s.depth)), __s.depth, '0')"))
-    keep = [c for c in docs.columns]
-    plain = out.withColumn("shard", name)
-    if tight.isEmpty():
-        paged = plain.withColumn("page_bytes", F.col("__s.shard_bytes"))
-    else:
-        # Rows of a page: greedy by size would need an order over all; equal
-        # keys have equal texts as a rule, so pages are filled by position.
-        order = Window.partitionBy("__h").orderBy("__b", F.xxhash64(text_or_empty()))
-        some = plain.filter(crowded).withColumn("__n", F.row_number().over(order) - 1).withColumn("__most", F.max("__b").over(Window.partitionBy("__h")))
-        per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("__most")))
-        some = some.withColumn("__page", F.floor(F.col("__n") / per)).withColumn("shard", F.concat_ws(".", "shard", F.col("__page").cast("string")))
-        some = some.withColumn("page_bytes", F.sum("__b").over(Window.partitionBy("__h", "__page"))).drop("__n", "__most", "__page")
-        paged = plain.filter(~crowded).withColumn("page_bytes", F.col("__s.shard_bytes")).unionByName(some)
-    return paged.select(*[F.col(f"`{c}`") for c in keep if c not in ("shard", "depth", "n_bytes", "shard_bytes")], "shard", F.col("__s.depth").cast("int").alias("depth"), F.col("__b").alias("n_bytes"), F.col("page_bytes").alias("shard_bytes"))
+    plain = out.withColumn("__name", name).withColumn("__page", F.col("__s.shard_bytes"))
+    # Overflow pages: shards of one key with more than a shard's bytes, in several rows.
+    crowded = F.col("__s.alone") & (F.col("__s.shard_bytes") > limit) & (F.col("__s.shard_rows") > 1)
+    if not shards.filter(F.col("alone") & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)).isEmpty():
+        # Rows of one key are dealt to groups of some pages each, so a key with
+        # a third of all rows is no single window.
+        groups = F.ceil(F.col("__s.shard_bytes") / F.lit(PAGES_AT_ONCE * limit))
+        some = plain.filter(crowded).withColumn("__g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), text_or_empty()), groups))
+        mine = Window.partitionBy("__h", "__g")
+        some = some.withColumn("__n", F.row_number().over(mine.orderBy("__b", F.xxhash64(text_or_empty()))) - 1).withColumn("__most", F.max("__b").over(mine))
+        some = some.withColumn("__p", F.floor(F.col("__n") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("__most", F.lit(1))))))
+        some = some.withColumn("__page", F.sum("__b").over(Window.partitionBy("__h", "__g", "__p")))
+        number = F.when(groups > 1, F.concat_ws("-", "__g", "__p")).otherwise(F.col("__p").cast("string"))
+        some = some.withColumn("__name", F.concat_ws(".", "__name", number)).select(*plain.columns)
+        plain = plain.filter(~crowded).unionByName(some)
+    return plain.select(*[F.col(f"`{c}`") for c in keep], F.col("__name").alias("shard"), F.col("__s.depth").cast("int").alias("depth"), F.col("__b").alias("n_bytes"), F.col("__page").alias("shard_bytes"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -27,11 +27,12 @@ def brute(rows, limit):
     return out
 
 
+@pytest.mark.parametrize("entries", [op.DIRECTORY_ENTRIES, 0])
 @pytest.mark.parametrize("limit", [10**9, 4000, 300, 30])
-def test_against_brute_force(spark, limit):
+def test_against_brute_force(spark, limit, entries):
     rng = random.Random(limit)
     rows = [(i, "x" * rng.choice([0, 5, 50, 200, 900])) for i in range(250)] + [(900, None), (None, "é" * 9)]
-    got = op.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), limit).collect()
+    got = op.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), limit, entries=entries).collect()
     want = brute(rows, limit)
     assert len(got) == len(rows)
     size = {}
@@ -52,6 +53,16 @@ def test_repeated_rows_overflow_to_pages(spark):
     assert len(got) == 11 and max(size.values()) <= 100
 
 
+def test_a_key_with_most_rows_and_a_very_long_text(spark):
+    rows = [(None, "x" * (k % 40 + 1)) for k in range(600)] + [(1, "y" * 200_000), (2, None)] + [(i, "z" * 30) for i in range(3, 90)]
+    got = op.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 100).collect()
+    size = {}
+    for r in got:
+        size.setdefault(r["shard"], []).append(r["n_bytes"])
+    assert len(got) == len(rows) and all(sum(x) <= 100 or len(x) == 1 for x in size.values())
+    assert {r["shard"]: r["shard_bytes"] for r in got} == {k: sum(x) for k, x in size.items()}
+
+
 def test_clashing_columns_and_empty(spark, tmp_path):
     odd = spark.createDataFrame([(1, "a", "s", 2, 3)], "doc_id bigint, text string, shard string, h int, entry int")
     out = op.shard_documents(odd)
