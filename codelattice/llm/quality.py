@@ -7,16 +7,20 @@ weighs the passages, and the weighted passage representation is scored
 (Ilse, Tomczak and Welling, 2018). Scoring streams the documents through one
 map without any shuffle.
 
-The model is fitted on the driver on a bounded sample: ``TRAIN_DOCS`` labelled
-documents of each class at most, chosen by a hash of the id, with at most
-``TRAIN_PASSAGES`` evenly spaced passages each. Only rows whose crc32(doc_id)
-mod 3 is not 1 are used. Scores look at the text alone.
+The model is fitted on the driver on a bounded sample of labelled rows: at
+most ``TRAIN_DOCS`` documents of each class in the order of a hash of the id,
+while all their passages together stay within ``TRAIN_PASSAGES`` for a class
+(a document that no longer fits is passed over; one that is used is used
+whole). Only rows whose crc32(doc_id) mod 3 is not 1 are used. Scores look at
+the text alone, at all of it; a very long text is encoded piece by piece, and
+its attention weights are summed as the pieces come.
 
 Defined results. Null and empty texts have one empty passage and a score like
 any other. Labels without a class are not used; of repeated labels the mean
 decides, a tie for class 1. If only one class (or no label) is known, the
 score is its share, 1 if nothing is known. An empty table gives no rows.
-Repeated rows score alike.
+Repeated rows score alike. Columns of the input that are called like those
+added (score, top_passage, top_weight) are replaced; ``keep`` adds none.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import text_or_empty
 from .decontaminate import _chunks, words_of
@@ -35,11 +40,11 @@ from .decontaminate import _chunks, words_of
 PASSAGE = 768
 #: Labelled documents of each class the model is fitted on, at most.
 TRAIN_DOCS = 2000
-#: Passages of one document the model is fitted on, at most.
-TRAIN_PASSAGES = 256
+#: Passages of the documents of each class the model is fitted on, at most (528 bytes each).
+TRAIN_PASSAGES = 60_000
 HIDDEN = 32
-#: Bytes of text that are encoded together.
-CHUNK = 512 << 10
+#: Bytes of text that are encoded together: whole passages.
+CHUNK = 680 * PASSAGE
 EPOCHS = 20
 BATCH_DOCS = 128
 
@@ -67,6 +72,9 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return out, many
     doc = np.repeat(np.arange(len(starts)), ends - starts)
     passage = (base[doc] + (np.arange(len(data)) - starts[doc]) // PASSAGE).astype(np.int64)
+    # Words end with their passage, so no passage depends on its neighbours.
+    of_doc = np.repeat(np.arange(len(starts)), many)
+    first = starts[of_doc] + PASSAGE * (np.arange(total) - base[of_doc])
     size = np.bincount(passage, minlength=total)
     kind = _CLASS[data].astype(np.int64)
     k2 = N_CLASSES * N_CLASSES
@@ -75,7 +83,7 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     moves = np.bincount(key, minlength=total * k2).reshape(total, k2)
     per = np.maximum(size, 1)[:, None]
     out[:, :k2] = np.sqrt(moves / per)
-    h, at, to = words_of(data, starts)
+    h, at, to = words_of(data, first)
     if len(h):
         of = passage[at]
         words = np.bincount(of, minlength=total)
@@ -110,12 +118,17 @@ class AttentionMIL:
         z = lambda *n: np.zeros(n, np.float32)
         return cls({"mean": mean, "std": std, "W": w(N_FEATURES, HIDDEN), "b": z(HIDDEN), "V": w(HIDDEN, HIDDEN), "U": w(HIDDEN, HIDDEN), "w": w(HIDDEN, 1)[:, 0], "c": w(HIDDEN, 1)[:, 0], "d": z(1), "shift": z(1)})
 
+    def attend(self, x: np.ndarray):
+        """Representation, the two halves of the gate, and attention logit of each passage."""
+        p = self.p
+        h = np.tanh(x @ p["W"] + p["b"])
+        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
+        return h, t, s, (t * s) @ p["w"]
+
     def forward(self, x: np.ndarray, many: np.ndarray):
         p, first = self.p, np.cumsum(many) - many
         doc = np.repeat(np.arange(len(many)), many)
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        a = (t * s) @ p["w"]
+        h, t, s, a = self.attend(x)
         a = np.exp(a - np.maximum.reduceat(a, first)[doc])
         a = a / np.add.reduceat(a, first)[doc]
         z = np.add.reduceat(a[:, None] * h, first, axis=0)
@@ -159,6 +172,21 @@ class AttentionMIL:
         _, _, _, a, _, logit, _, _ = self.forward(self.norm(x).astype(np.float32), many)
         return _sigmoid(logit.astype(np.float64) + float(self.p["shift"][0])), a
 
+    def score_pieces(self, pieces) -> tuple[float, int, float]:
+        """(score, passage that weighs most, its weight) of one document, whose features come in pieces."""
+        high, total, z, at, best, best_a = -math.inf, 0.0, np.zeros(HIDDEN), 0, 0, -math.inf
+        for x in pieces:
+            h, _, _, a = self.attend(self.norm(x).astype(np.float32))
+            a = a.astype(np.float64)
+            now = max(high, float(a.max()))
+            e = np.exp(a - now)
+            total, z, high = total * math.exp(high - now) + e.sum(), z * math.exp(high - now) + e @ h, now
+            if a.max() > best_a:
+                best, best_a = at + int(a.argmax()), float(a.max())
+            at += len(a)
+        logit = z / total @ self.p["c"].astype(np.float64) + float(self.p["d"][0]) + float(self.p["shift"][0])
+        return float(_sigmoid(logit)), best, math.exp(best_a - high) / total
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, **self.p)
@@ -174,31 +202,52 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+def _pieces(data: np.ndarray):
+    """Features of one document, some whole passages at a time."""
+    for i in range(0, max(1, len(data)), CHUNK):
+        yield encode(data[i : i + CHUNK], np.zeros(1, np.int64))[0]
+
+
 def _sample_features(batches):
     for batch in batches:
         ids, labels, out = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), []
         for data, starts, base in _chunks(batch.column("text"), CHUNK):
+            if len(starts) == 1:
+                out.append((ids[base], labels[base], b"".join(x.astype(np.float16).tobytes() for x in _pieces(data))))
+                continue
             x, many = encode(data, starts)
             first = np.cumsum(many) - many
             for k, n in enumerate(many.tolist()):
-                at = first[k] + (np.arange(n) if n <= TRAIN_PASSAGES else np.linspace(0, n - 1, TRAIN_PASSAGES).astype(np.int64))
-                out.append((ids[base + k], labels[base + k], x[at].astype(np.float16).tobytes()))
+                out.append((ids[base + k], labels[base + k], x[first[k] : first[k] + n].astype(np.float16).tobytes()))
         if out:
             a, b, c = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["doc_id", "label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> AttentionMIL | float:
+def _sample(texts: DataFrame, known: DataFrame, train_docs: int, passages: int) -> DataFrame:
+    """The labelled ids (doc_id, label) that the model is fitted on."""
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    picked = known.filter("label = 0").orderBy(*order).limit(train_docs).unionByName(known.filter("label = 1").orderBy(*order).limit(train_docs))
+    # At most 2 * train_docs ids: bounded, so it may be broadcast, and their sums may come to the driver.
+    many = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(PASSAGE)))
+    sizes = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.sum(many).alias("n")).withColumn("h", F.xxhash64("doc_id")).collect()
+    left, chosen = {0: passages, 1: passages}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left[r["label"]]:
+            left[r["label"]] -= r["n"]
+            chosen.append((r["doc_id"], r["label"]))
+    return texts.sparkSession.createDataFrame(chosen, "doc_id bigint, label int")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, passages: int = TRAIN_PASSAGES) -> AttentionMIL | float:
     """The fitted model; the share of class 1 if there are not two classes."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("q")).filter("doc_id is not null and q is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
     if len(counts) < 2:
         return float(next(iter(counts), 1))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = known.filter("label = 0").orderBy(*order).limit(train_docs).unionByName(known.filter("label = 1").orderBy(*order).limit(train_docs))
-    # At most 2 * train_docs ids: bounded, so it may be broadcast.
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    some = texts.join(F.broadcast(_sample(texts, known, train_docs, passages)), "doc_id").select("doc_id", "label", "text")
     rows = sorted(some.mapInArrow(_sample_features, "doc_id bigint, label int, features binary").collect(), key=lambda r: (r[0], bytes(r[2])))
     x = [np.frombuffer(r[2], np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in rows]
     y = np.array([r[1] for r in rows], np.float32)
@@ -214,37 +263,65 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> A
     return model
 
 
-def with_scores(docs: DataFrame, model: AttentionMIL | float, least: float | None = None, attention: bool = False) -> DataFrame:
-    """``docs`` and score; only rows of ``least`` or more if that is given.
-
-    With ``attention`` also the passage that weighs most and its weight.
-    """
+def _scorer(model: AttentionMIL | float):
+    """A function from a column of texts to score, top passage and its weight of each."""
     raw = model.to_bytes() if isinstance(model, AttentionMIL) else model
-    columns = docs.columns
-    place = columns.index("text")
+    held = []
+
+    def score(texts):
+        if not held:
+            held.append(AttentionMIL.from_bytes(raw) if isinstance(raw, bytes) else None)
+        own, n = held[0], len(texts)
+        if own is None:
+            return np.full(n, raw), np.zeros(n, np.int32), np.ones(n)
+        out, top, weight = np.zeros(n), np.zeros(n, np.int32), np.ones(n)
+        for data, starts, base in _chunks(texts, CHUNK):
+            if len(starts) == 1:
+                out[base], top[base], weight[base] = own.score_pieces(_pieces(data))
+                continue
+            x, many = encode(data, starts)
+            out[base : base + len(starts)], a = own.score(x, many)
+            first = np.cumsum(many) - many
+            high = np.maximum.reduceat(a, first)
+            at = np.flatnonzero(a == np.repeat(high, many))
+            doc = np.searchsorted(first, at, "right") - 1
+            one = np.unique(doc, return_index=True)[1]
+            top[base : base + len(starts)], weight[base : base + len(starts)] = at[one] - first, high
+        return out, top, weight
+
+    return score
+
+
+def _nullable(fields) -> list[StructField]:
+    return [StructField(f.name, f.dataType, True) for f in fields]
+
+
+def keep(docs: DataFrame, model: AttentionMIL | float, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with their columns as they are."""
+    place, score = docs.columns.index("text"), _scorer(model)
 
     def run(batches):
-        own = AttentionMIL.from_bytes(raw) if isinstance(raw, bytes) else None
         for batch in batches:
-            texts = batch.column(place).fill_null("")
-            score, top, weight = np.full(len(texts), raw if own is None else 0.0), np.zeros(len(texts), np.int32), np.ones(len(texts))
-            for data, starts, base in _chunks(texts, CHUNK) if own is not None else ():
-                x, many = encode(data, starts)
-                score[base : base + len(starts)], a = own.score(x, many)
-                if attention:
-                    first = np.cumsum(many) - many
-                    for k, n in enumerate(many.tolist()):
-                        best = int(a[first[k] : first[k] + n].argmax())
-                        top[base + k], weight[base + k] = best, a[first[k] + best]
-            arrays = [*batch.columns, pa.array(score)] + ([pa.array(top), pa.array(weight)] if attention else [])
-            out = pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "score", *(["top_passage", "top_weight"] if attention else [])])
-            yield out if least is None else out.filter(pa.array(score >= least))
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", *(["top_passage int", "top_weight double"] if attention else [])])
-    return docs.mapInArrow(run, fields)
+            yield batch.filter(pa.array(score(batch.column(place).fill_null(""))[0] >= least))
+
+    return docs.mapInArrow(run, StructType(_nullable(docs.schema.fields)))
+
+
+def with_scores(docs: DataFrame, model: AttentionMIL | float) -> DataFrame:
+    """``docs`` with score, top_passage (the one that weighs most) and top_weight."""
+    added = [StructField("score", DoubleType()), StructField("top_passage", IntegerType()), StructField("top_weight", DoubleType())]
+    docs = docs.drop(*[f.name for f in added])
+    place, score = docs.columns.index("text"), _scorer(model)
+
+    def run(batches):
+        for batch in batches:
+            more = [pa.array(x) for x in score(batch.column(place).fill_null(""))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f.name for f in added)])
+
+    return docs.mapInArrow(run, StructType(_nullable(docs.schema.fields) + added))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, top_passage, top_weight for each row."""
-    scored = with_scores(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")), train(docs, labels), attention=True)
+    scored = with_scores(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "top_passage", "top_weight")

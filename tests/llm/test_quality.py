@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -78,3 +79,58 @@ def test_edge_rows(spark):
     assert op.quality_scores(docs.limit(0), labels).count() == 0
     one = spark.createDataFrame([(i, 0) for i in range(9)] + [(3, None)], "doc_id bigint, quality int")
     assert op.train(docs, one) == 0.0
+
+
+def test_scores_of_an_independent_forward_pass(spark):
+    """Each document by plain loops over its passages."""
+    docs, labels, _ = data(spark)
+    docs = docs.unionByName(spark.createDataFrame([(1000, "long " * 400_000), (1001, ""), (1002, None)], "doc_id bigint, text string"))
+    model = op.train(docs, labels)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    rows = {r["doc_id"]: r for r in op.with_scores(docs, model).collect()}
+    for i, text in docs.collect():
+        if i % 9 and i < 1000:
+            continue
+        raw, hs, logits = (text or "").encode(), [], []
+        for k in range(0, max(1, len(raw)), op.PASSAGE):
+            x = op.encode(np.frombuffer(raw[k : k + op.PASSAGE], np.uint8), np.zeros(1, np.int64))[0][0]
+            x = np.clip((x - p["mean"]) / p["std"], -8, 8)
+            h = np.tanh(x @ p["W"] + p["b"])
+            hs.append(h)
+            logits.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+        e = [math.exp(a - max(logits)) for a in logits]
+        z = sum(w * h for w, h in zip(e, hs)) / sum(e)
+        want = 1 / (1 + math.exp(-(float(z @ p["c"]) + p["d"][0] + p["shift"][0])))
+        assert abs(rows[i]["score"] - want) < 1e-4
+        assert abs(rows[i]["top_weight"] - max(e) / sum(e)) < 1e-4
+
+
+def test_held_out_figures_of_the_test_table(spark):
+    path = "/root/testdata/sf0.01"
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    rows = op.quality_scores(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")).collect()
+    held = [(r["score"], marks[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in marks]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    auc = np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+    accuracy = np.mean([(s >= 0.5) == bool(q) for s, q in held])
+    print("held out", len(held), "AUC", auc, "accuracy", accuracy)
+    assert len(held) > 80 and auc > 0.97 and accuracy > 0.95
+
+
+def test_clashing_columns(spark):
+    docs, labels, _ = data(spark, 60)
+    odd = docs.selectExpr("doc_id", "text", "1 as score", "'x' as top_weight", "2 as `a b`", "array(1) as label")
+    model = op.train(odd, labels)
+    assert op.keep(odd, model).columns == odd.columns and {r["score"] for r in op.keep(odd, model).collect()} == {1}
+    out = op.with_scores(odd, model)
+    assert out.columns == ["doc_id", "text", "a b", "label", "score", "top_passage", "top_weight"] and out.count() == 60
+    plain = {r["doc_id"]: r["score"] for r in op.with_scores(docs, model).collect()}
+    assert {r["doc_id"] for r in op.keep(odd, model, 0.5).collect()} == {i for i, s in plain.items() if s >= 0.5}
+
+
+def test_the_sample_is_bounded_by_passages_of_whole_rows(spark):
+    docs, labels, _ = data(spark, 120)
+    known = labels.selectExpr("doc_id", "quality as label")
+    got = op._sample(docs, known, 100, 20).join(docs, "doc_id").collect()
+    for label in (0, 1):
+        assert 0 < sum(max(1, -(-len(r["text"].encode()) // op.PASSAGE)) for r in got if r["label"] == label) <= 20
