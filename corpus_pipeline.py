@@ -13,7 +13,7 @@ from codelattice.llm.common import read, shared_dir
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier scores below one half go."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model, least=0.5).drop("score")
+    return quality.keep(docs, model, 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
