@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, drop_cut, text_or_empty
 from .components import connected_components
 
 SHINGLE = 4
@@ -70,39 +70,59 @@ def _hashes(text: str, width: int) -> list[int]:
     return [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes."""
-    n, ones = len(hashes), np.zeros(64, np.int64)
-    packed = hashes.view(np.uint8).reshape(n, 8)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(packed[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes, by column: (n,) or (n, words) to (words,)."""
+    rows = hashes.reshape(len(hashes), hashes.shape[1] if hashes.ndim > 1 else 1)
+    n, words = rows.shape
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, n, 255):
+        # Bits as bytes, added eight at a time; 255 of them fit a byte.
+        bits = np.unpackbits(rows[i : i + 255].view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits.view(np.uint64), axis=0).view(np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
     """The fingerprint of one text, as an unsigned integer."""
-    return _majority(np.array(_hashes(text, width), dtype="<u8"))
+    return int(_majority(np.array(_hashes(text, width), dtype="<u8"))[0])
 
 
-def fingerprint_pair(text: str, width: int) -> tuple[int, int]:
-    """The fingerprint of the distinct shingles, and a second one of these under another hash."""
+def sketch(text: str, width: int, words: int) -> tuple[np.ndarray, int]:
+    """Fingerprints of the distinct shingles under ``words`` hashes, and how many shingles these are."""
     h = np.unique(np.array(_hashes(text, width), dtype="<u8"))
-    other = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return _majority(h), _majority(other ^ (other >> np.uint64(32)))
+    salt = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (h ^ (h >> np.uint64(29)))[:, None] * (np.uint64(0xBF58476D1CE4E5B9) + salt * np.uint64(2))
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return _majority(x ^ (x >> np.uint64(29))), len(h)
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, second: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed bigint) of each row; fp2 too if ``second``."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed bigint) of each row."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [fingerprint_pair(t, width) if second else (fingerprint(t, width),) for t in texts]
-            columns = np.array(found, dtype=np.uint64).reshape(len(texts), 2 if second else 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], ["doc_id", "fp", "fp2"][: 3 if second else 2])
+            found = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    fields = "doc_id bigint, fp bigint" + (", fp2 bigint" if second else "")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+
+
+#: 64-bit words of the sketch that near-dedup decides candidates by; the first is the one that is sampled.
+WORDS = 8
+PRINTS = [f"fp{i}" for i in range(WORDS)]
+
+
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """node, fp0 to fp7, size (distinct shingles) of each row (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sketch(t, width, WORDS) for t in batch.column("text").to_pylist()]
+            words = np.array([f[0] for f in found], dtype=np.uint64).reshape(len(found), WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(c)) for c in words.T), pa.array([f[1] for f in found], pa.int64())], ["node", *PRINTS, "size"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, " + ", ".join(f"{c} bigint" for c in PRINTS) + ", size bigint")
 
 
 def blocks_for(n: int, budget: int = BUDGET) -> int:
@@ -190,65 +210,100 @@ class _Forest:
         self._changes()
 
 
-def _near(keys: np.ndarray, second: np.ndarray, budget: int, label: np.ndarray | None = None, most: float = math.inf):
-    """All pairs of positions within ``budget`` bits in both fingerprints, whose labels differ if there are any.
-
-    None if there are more than ``most``.
-    """
-    n, found, size = len(keys), [], 0
-    order = np.arange(n) if label is None else np.argsort(label, kind="stable")
-    k, s = keys[order], second[order]
-    # Where the next label begins: what lies before it needs no comparison.
-    after = np.arange(1, n + 1) if label is None else np.searchsorted(label[order], label[order], "right")
-    i = 0
+def _pair_chunks(after: np.ndarray):
+    """(first row, end) of rows that are compared together with all from ``after`` of the first on."""
+    n, i = len(after), 0
     while i < n and after[i] < n:
         j = min(n, i + max(1, PAIRS_AT_ONCE // (n - int(after[i]))))
-        if label is not None:
-            j = min(j, int(after[i]))  # rows of one label
-        start = int(after[i])
-        row, column = np.nonzero(np.bitwise_count(k[i:j, None] ^ k[None, start:]) <= budget)
-        row, column = row + i, column + start
-        near = (column >= after[row]) & (np.bitwise_count(s[row] ^ s[column]) <= budget)
-        found.append((order[row[near]], order[column[near]]))
+        yield i, j
+        i = j
+
+
+def _near(keys: np.ndarray, second: np.ndarray, budget: int, most: float):
+    """All pairs of positions within ``budget`` bits in both fingerprints; None if there are more than ``most``."""
+    found, size, after = [], 0, np.arange(1, len(keys) + 1)
+    for i, j in _pair_chunks(after):
+        row, column = np.nonzero(np.bitwise_count(keys[i:j, None] ^ keys[None, i + 1 :]) <= budget)
+        row, column = row + i, column + i + 1
+        near = (column > row) & (np.bitwise_count(second[row] ^ second[column]) <= budget)
+        found.append((row[near], column[near]))
         size += len(found[-1][0])
         if size > most:
             return None
-        i = j
-    return np.concatenate([x[0] for x in found] or [order[:0]]), np.concatenate([x[1] for x in found] or [order[:0]])
+    return np.concatenate([x[0] for x in found] or [after[:0]]), np.concatenate([x[1] for x in found] or [after[:0]])
 
 
-def trie_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, second: np.ndarray | None = None, label: np.ndarray | None = None, dense: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs of positions inside each of the sorted ``groups``; with ``second`` fingerprints, near in these too.
+def close_pairs(rows: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of a bucket between different labels, with their distance.
 
-    Without labels, a group with very many near pairs gives links to the
-    medoids of its close sets in their place, and its members are added to
-    ``dense``: they are not done. With labels (the components that the verified
-    links made), all near pairs between different labels are reported.
+    ``rows``: sketch (``WORDS`` columns), node, size, label, block. A pair is a
+    candidate if its first two words are within ``budget`` and the whole
+    sketch is within ``sketch_budget`` bits. Where rows have blocks, only pairs
+    of the block pair this bucket stands for are looked at.
     """
-    second = keys if second is None else second
-    edge = np.flatnonzero(np.diff(groups)) + 1
-    lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(groups)]])
-    many = hi - lo > 1
-    out = []
-    for x, y in zip(lo[many].tolist(), hi[many].tolist()):
-        k, s = keys[x:y], second[x:y]
-        if label is not None:
-            pairs = _near(k, s, budget, label[x:y])
-        else:
-            pairs = _near(k, s, budget, most=DENSE_PAIRS * max(len(k), PAIRS_TRIE)) if len(k) <= DENSE_KEYS else None
-        if pairs is None:
-            one, of = np.unique(k, return_index=True, return_inverse=True)[1:]
-            child, parent = trie_links(k[one], np.zeros(len(one), np.int64), CLOSE_BITS)
-            up = np.arange(len(one))
-            up[child] = parent
-            root, everyone = one[up[of]], np.arange(len(k))
-            lower = root != everyone
-            pairs = _to_medoids(k, s, everyone[lower], root[lower])
-            if dense is not None:
-                dense.append(everyone + x)
-        out.append((pairs[0] + x, pairs[1] + x))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *(p[0] for p in out)]), np.concatenate([none, *(p[1] for p in out)])
+    order = np.argsort(rows[:, WORDS + 2], kind="stable")
+    rows = rows[order]
+    words, size, label, block = np.ascontiguousarray(rows[:, :WORDS]).view(np.uint64), rows[:, WORDS + 1], rows[:, WORDS + 2], rows[:, WORDS + 3]
+    # Where the next label begins: what lies before it needs no comparison.
+    after = np.searchsorted(label, label, "right")
+    apart = block.min() != block.max()
+    a, b, far = [order[:0]], [order[:0]], [order[:0]]
+    for i, j in _pair_chunks(after):
+        start = int(after[i])
+        row, column = np.nonzero(np.bitwise_count(words[i:j, None, 0] ^ words[None, start:, 0]) <= budget)
+        row, column = row + i, column + start
+        near = column >= after[row]
+        if apart:
+            near &= block[row] != block[column]
+        row, column = row[near], column[near]
+        near = np.bitwise_count(words[row, 1] ^ words[column, 1]) <= budget
+        row, column = row[near], column[near]
+        bits = np.bitwise_count(words[row] ^ words[column]).sum(axis=1, dtype=np.int64)
+        near = bits <= sketch_budget(np.minimum(size[row], size[column]))
+        a.append(order[row[near]])
+        b.append(order[column[near]])
+        far.append(bits[near])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(far)
+
+
+def sketch_budget(size: np.ndarray) -> np.ndarray:
+    """Bits in which sketches of similar sets may differ: the mean at just ``NEAR_SIMILARITY`` and 2.5 deviations.
+
+    In sets of few shingles majorities are often ties, which adds to the mean.
+    """
+    p = np.minimum(0.5, math.acos(2 * NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) / math.pi + 0.2 / np.maximum(size, 1))
+    bits = 64 * WORDS
+    return bits * p + 2.5 * np.sqrt(bits * p * (1 - p))
+
+
+def nearest_first(a: np.ndarray, b: np.ndarray, far: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a pair is among the ``keep`` nearest of an end, positions that have further ones)."""
+    ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, far[pair], ends))
+    e = ends[order]
+    first = np.concatenate([[True], e[1:] != e[:-1]]) if len(e) else np.zeros(0, bool)
+    rank = np.arange(len(e)) - np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
+    chosen = np.zeros(len(a), bool)
+    chosen[pair[order[rank < keep]]] = True
+    return chosen, np.unique(np.concatenate([a[~chosen], b[~chosen]]))
+
+
+def first_links(keys: np.ndarray, second: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Near pairs of positions of a bucket, and whether these are all.
+
+    A bucket with very many near pairs gives links to the medoids of its close
+    sets in their place; its members are not done.
+    """
+    pairs = _near(keys, second, budget, DENSE_PAIRS * max(len(keys), PAIRS_TRIE)) if len(keys) <= DENSE_KEYS else None
+    if pairs is not None:
+        return *pairs, True
+    one, of = np.unique(keys, return_index=True, return_inverse=True)[1:]
+    child, parent = trie_links(keys[one], np.zeros(len(one), np.int64), CLOSE_BITS)
+    up = np.arange(len(one))
+    up[child] = parent
+    root, everyone = one[up[of]], np.arange(len(keys))
+    lower = root != everyone
+    return *_to_medoids(keys, second, everyone[lower], root[lower]), False
 
 
 def _to_medoids(keys: np.ndarray, second: np.ndarray, child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,35 +401,9 @@ def _cross(keys, ones, forest, budget, bit, lo1, hi1, lo2, hi2, err):
             todo.append((bit - 1, n1[s], n2[s], k1[s], k2[s], e[s]))
 
 
-def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 100_000):
-    """Sorted rows (mask, value, fp) to links (a, b) of fingerprints, some sub-tries at a time.
-
-    For ``pairs``, rows (mask, value, fp, fp2, node and maybe label) to links of nodes.
-    """
+def _in_groups(batches, links, at_once: int = 100_000):
+    """Rows sorted by their leading (mask, value) columns to ``links`` of whole groups, some groups at a time."""
     held: list[np.ndarray] = []
-
-    def links(rows: np.ndarray):
-        if not len(rows):
-            return
-        new = np.concatenate([[False], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-        groups = np.cumsum(new)
-        keys = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
-        order = np.lexsort((keys, groups))
-        keys, groups = keys[order], groups[order]
-        if pairs:
-            rows = rows[order]
-            dense = []
-            child, parent = trie_pairs(keys, groups, budget, np.ascontiguousarray(rows[:, 3]).view(np.uint64), rows[:, 5] if rows.shape[1] > 5 else None, dense)
-            # A link of a node with itself marks it as not done.
-            child, parent = np.concatenate([child, *dense]), np.concatenate([parent, *dense])
-            names = np.ascontiguousarray(rows[:, 4])
-        else:
-            child, parent = trie_links(keys, groups, budget)
-            names = keys.view(np.int64)
-        for i in range(0, len(child), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(names[child[s]]), pa.array(names[parent[s]])], ["a", "b"])
-
     size = 0
     for batch in batches:
         if not batch.num_rows:
@@ -385,11 +414,80 @@ def _join_partition(batches, budget: int, pairs: bool = False, at_once: int = 10
             rows = np.concatenate(held)
             last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
             cut_at = int(last[-1]) + 1 if len(last) else 0
-            yield from links(rows[:cut_at])
+            if cut_at:
+                yield from _edges(links(rows[:cut_at]))
             held, size = [rows[cut_at:]], len(rows) - cut_at
             at_once = max(at_once, 2 * size)
     if held:
-        yield from links(np.concatenate(held))
+        yield from _edges(links(np.concatenate(held)))
+
+
+def _edges(pairs):
+    a, b = pairs
+    for i in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
+
+
+def _edge_list(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])) + 1, [len(rows)]])
+
+
+def _trie_rows(budget: int):
+    """Rows (mask, value, fp) to links of fingerprints."""
+
+    def links(rows: np.ndarray):
+        groups = np.repeat(np.arange(len(_edge_list(rows)) - 1), np.diff(_edge_list(rows)))
+        keys = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+        order = np.lexsort((keys, groups))
+        keys = keys[order]
+        child, parent = trie_links(keys, groups[order], budget)
+        return keys.view(np.int64)[child], keys.view(np.int64)[parent]
+
+    return links
+
+
+def _first_rows(budget: int):
+    """Rows (mask, value, fp0, fp1, node) to links of nodes; a link of a node with itself marks it as not done."""
+
+    def links(rows: np.ndarray):
+        edge, a, b = _edge_list(rows), [rows[:0, 4]], [rows[:0, 4]]
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if y - x < 2:
+                continue
+            keys = np.ascontiguousarray(rows[x:y, 2:4]).view(np.uint64)
+            order = np.argsort(keys[:, 0], kind="stable")
+            child, parent, done = first_links(np.ascontiguousarray(keys[order, 0]), np.ascontiguousarray(keys[order, 1]), budget)
+            node = rows[x:y, 4][order]
+            a.append(node[child])
+            b.append(node[parent])
+            if not done:
+                a.append(node)
+                b.append(node)
+        return np.concatenate(a), np.concatenate(b)
+
+    return links
+
+
+def _close_rows(budget: int, keep: int | None):
+    """Rows (mask, value, sketch, node, size, label, block) to links of nodes; a link of a node with itself marks that it has further candidates."""
+
+    def links(rows: np.ndarray):
+        edge, none = _edge_list(rows), rows[:0, 0]
+        a, b = [none], [none]
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            mine = rows[x:y, 2:]
+            node = mine[:, WORDS]
+            p, q, far = close_pairs(mine, budget)
+            if keep is not None:
+                chosen, more = nearest_first(p, q, far, keep)
+                p, q = p[chosen], q[chosen]
+                a.append(node[more])
+                b.append(node[more])
+            a.append(node[p])
+            b.append(node[q])
+        return np.concatenate(a), np.concatenate(b)
+
+    return links
 
 
 def _deal(rows: DataFrame, choices: list[int]) -> DataFrame:
@@ -402,11 +500,41 @@ def _free_bits(mask: int) -> int:
     return 64 - (mask & (2**64 - 1)).bit_count()
 
 
-def bucket_links(rows: DataFrame, choices: list[int], budget: int) -> DataFrame:
-    """Links (a, b) between nodes, by rows (fp, fp2, node and maybe label), in the buckets of these masks; see ``trie_pairs``."""
+def _buckets(rows: DataFrame, choices: list[int], columns: list[str], links, blocks: DataFrame | None = None, across: bool = False) -> DataFrame:
+    """Links (a, b) between nodes, of rows (fp0, ...), in the buckets of these masks.
+
+    ``blocks`` (mask, value, n) names crowded buckets: their rows are dealt to
+    n blocks; ``across`` also to each pair of blocks. Distinct, a <= b.
+    """
+    dealt = rows.select(*columns, F.explode(F.array(*[F.lit(_signed(x)) for x in choices])).alias("mask")).withColumn("value", F.expr("fp0 & mask"))
+    part = F.lit(0)
+    if blocks is not None:
+        # Checked by the caller to be a short list of crowded buckets.
+        dealt = dealt.join(F.broadcast(blocks), ["mask", "value"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+        if across:
+            dealt = dealt.withColumn("block", own).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.least(c, F.col("block")) * F.col("n") + F.greatest(c, F.col("block")))))
+        else:
+            dealt = dealt.withColumn("part", own)
+        part = F.xxhash64("value", "part")
+        dealt = dealt.withColumn("value", F.when(F.col("n") > 1, part).otherwise(F.col("value")))
+    if across:
+        dealt = dealt.withColumn("block", (F.col("block") if blocks is not None else F.lit(0)).cast("bigint"))
+        columns = [*columns, "block"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = _deal(rows, choices).repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
-    return ready.mapInArrow(lambda b: _join_partition(b, budget, True), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ready = dealt.select("mask", "value", *columns).repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
+    return ready.mapInArrow(lambda batches: _in_groups(batches, links), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _mask_values(rows: DataFrame, choices: list[int]) -> DataFrame:
+    return rows.select("node", "fp0", F.explode(F.array(*[F.lit(_signed(x)) for x in choices])).alias("mask")).select("node", "mask", F.expr("fp0 & mask").alias("value"))
+
+
+def _crowded(rows: DataFrame, choices: list[int], most: int) -> DataFrame | None:
+    """(mask, value, n): buckets of more than ``most`` rows and the blocks they are dealt to; None if there is none."""
+    counts = _mask_values(rows, choices).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("c"))
+    found = cut(counts.filter(F.col("c") > most).select("mask", "value", F.ceil(F.col("c") / most).cast("int").alias("n")), "crowded")
+    return None if found.isEmpty() else found
 
 
 def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRIE) -> DataFrame:
@@ -419,7 +547,7 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET, large: int = LARGE_TRI
         crowded = [m for m in (r[0] for r in counts.select("mask").distinct().collect()) if _free_bits(m) > 20]  # at most the masks of this level
         again = counts.filter(F.col("mask").isin(crowded)).select("mask", "value")
         ready = dealt.join(again, ["mask", "value"], "left_anti") if crowded else dealt
-        links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _join_partition(b, budget), "a bigint, b bigint"), "links")
+        links = cut(ready.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(lambda b: _in_groups(b, _trie_rows(budget)), "a bigint, b bigint"), "links")
         found = links if found is None else found.unionByName(links)
         if not crowded:
             return found
@@ -445,8 +573,10 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, budget: int = BUDG
 NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
 #: Texts of that similarity differ in 10 bits on average; in 0.2 % of them it is more than 18.
 NEAR_BUDGET, NEAR_RECALL = 18, 0.97
-#: Texts in a bucket on average.
-NEAR_KEYS = 2048
+#: Texts in a bucket on average, and in a bucket or block of one at most.
+NEAR_KEYS, NEAR_MOST = 8192, 1 << 16
+#: Nearest candidates of each text that are verified in one round, where candidates are dense; at last all.
+NEAREST = (16, 256, None)
 
 
 def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
@@ -472,44 +602,63 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _similar(edges: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges (x, y) between nodes whose texts' shingle sets are similar."""
-    ends = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
+    """The edges (a, b) between nodes whose texts' shingle sets are similar."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     firsts = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("end"), "first")
     asked = texts.join(firsts.hint("merge"), (F.col("node") == F.col("end")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = cut(shingle_sets(asked).dropDuplicates(["node"]), "shingles")
-    met = edges.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
+    met = edges.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     both = F.size(F.array_intersect("s", "t"))
-    return cut(met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("x", "y"), "alike")
+    alike = cut(met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("a", "b"), "alike")
+    drop_cut(sets)
+    return alike
 
 
-def _near_groups(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET) -> DataFrame:
+def _near_groups(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET, nearest=NEAREST, most: int = NEAR_MOST) -> DataFrame:
     """node, first (its smallest doc_id), n (rows with both), root: groups of texts whose shingle sets are similar.
 
     Pairs within ``budget`` bits in both of two fingerprints are candidates;
     the Jaccard similarity of the shingle sets decides each. The budget is too
     wide for the pigeonhole, so buckets come from sampled bits, as many as the
-    recall at just ``similarity`` asks for at any number of texts. Where
-    candidates are dense, links to medoids are decided first; then all other
-    candidates that these did not connect. Texts with equal fingerprints are
-    candidates like any other.
+    recall at just ``similarity`` asks for at any number of texts.
+
+    Where candidates are dense, links to medoids are decided first. What these
+    did not connect is compared again, by sketches of 512 bits: first the
+    nearest candidates of each text, then further ones, at last all. Only
+    candidates between texts that are not connected yet are left each time.
     """
     rows = texts.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "nodes")
     if not nodes.filter("low != high").isEmpty():
         raise RuntimeError("two texts agree in 60 bits of their digests")
     nodes = nodes.select("node", "first", "n")
-    prints = fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), width, second=True)
-    firsts = cut(prints.dropDuplicates(["doc_id"]).select("fp", "fp2", F.col("doc_id").alias("node")), "firsts")
-    choices = sampled_masks(firsts.count(), near_bits(similarity, budget), NEAR_RECALL, NEAR_KEYS)
-    links = cut(bucket_links(firsts, choices, budget), "links")
-    edges = links.filter("a != b").toDF("x", "y")
+    prints = cut(sketches(texts, width).dropDuplicates(["node"]), "sketches")
+    choices = sampled_masks(prints.count(), near_bits(similarity, budget), NEAR_RECALL, NEAR_KEYS)
+    crowded = _crowded(prints, choices, most)
+    links = cut(_buckets(prints, choices, ["fp0", "fp1", "node"], _first_rows(budget), crowded), "links")
+    edges = links.filter("a != b")
     alike = _similar(edges, texts, nodes, width, similarity)
-    roots = connected_components(alike, "x", "y")
+    roots = connected_components(alike)
     dense = links.filter("a = b").select(F.col("a").alias("node"))
+    if crowded is not None:
+        # Rows of different blocks have not met yet.
+        dense = dense.unionByName(_mask_values(prints, choices).join(F.broadcast(crowded), ["mask", "value"]).select("node")).distinct()
+    dense = cut(dense, "dense")
     if not dense.isEmpty():
-        labels = firsts.join(dense, "node").join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"))
-        rest = cut(bucket_links(cut(labels, "dense"), choices, budget).toDF("x", "y").join(edges, ["x", "y"], "left_anti"), "rest")
-        roots = connected_components(alike.unionByName(_similar(rest, texts, nodes, width, similarity)), "x", "y")
+        some = cut(prints.join(dense, "node", "left_semi"), "some")
+        crowded = _crowded(some, choices, most) if crowded is not None else None
+        columns = [*PRINTS, "node", "size", "label"]
+        for keep in nearest:
+            labels = some.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+            found = cut(_buckets(labels, choices, columns, _close_rows(budget, keep), crowded, across=True), "close")
+            rest = cut(found.filter("a != b").join(edges, ["a", "b"], "left_anti"), "rest")
+            if not rest.isEmpty():
+                more = _similar(rest, texts, nodes, width, similarity)
+                edges, alike = edges.unionByName(rest), alike.unionByName(more)
+                if not more.isEmpty():
+                    roots = connected_components(alike)
+            if found.filter("a = b").isEmpty():
+                break
     return cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
 
 

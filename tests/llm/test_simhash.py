@@ -55,8 +55,8 @@ def test_trie_joins_all(budget, spread):
     want = components(keys, budget)
     assert len({(a, b) for a, b in zip(label.tolist(), want)}) == len(set(want)) == len(set(label.tolist()))
     n = op.PAIRS_TRIE
-    small, few = arr[:n], groups[:n]
-    a, b = op.trie_pairs(small, few, budget)
+    a, b, done = op.first_links(arr[:n], arr[:n], budget)
+    assert done
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if bin(keys[i] ^ keys[j]).count("1") <= budget}
 
@@ -67,8 +67,8 @@ def test_changed_copies_hang_on_what_they_were_copied_from():
     flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), 6))
     prints = sorted({(base, other)} | {(flip(base), flip(other)) for _ in range(80)})
     keys, second = np.array([p[0] for p in prints], np.uint64), np.array([p[1] for p in prints], np.uint64)
-    a, b = op.trie_pairs(keys, np.zeros(len(keys), np.int64), 14, second)
-    assert len(a) == 80 and set(keys[b].tolist()) == {base}
+    a, b, done = op.first_links(keys, second, 14)
+    assert not done and len(a) == 80 and set(keys[b].tolist()) == {base}
 
 
 def test_sampled_masks_reach_the_recall():
@@ -166,17 +166,58 @@ def test_shared_passage_against_brute_force(spark):
     assert sum(got[i] == want[i] for i in copies) >= 0.9 * len(copies)
 
 
-def test_all_pairs_after_the_medoids():
+def bucket(rng, n, label, block=None, spread=60):
+    """Rows of a bucket: sketches that differ from one another in few bits, node, size, label, block."""
+    base = [rng.getrandbits(64) for _ in range(op.WORDS)]
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    prints = np.array([[flip(x, rng.randrange(spread // op.WORDS)) for x in base] for _ in range(n)], np.uint64).view(np.int64)
+    return np.column_stack([prints, np.arange(n) + 1000, np.full(n, 300), label, np.zeros(n, np.int64) if block is None else block])
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_all_candidates_between_labels(blocks):
     rng = random.Random(4)
-    base = rng.getrandbits(64)
-    keys = np.array(sorted(base ^ sum(1 << b for b in rng.sample(range(64), 4)) for _ in range(60)), np.uint64)
-    groups, dense = np.zeros(60, np.int64), []
-    a, _ = op.trie_pairs(keys, groups, 14, keys, dense=dense)
-    assert len(a) < 60 and np.concatenate(dense).tolist() == list(range(60))
-    label = np.arange(60) // 7
-    a, b = op.trie_pairs(keys, groups, 14, keys, label)
-    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
-    assert len(got) == len(a) and got == {(i, j) for j in range(60) for i in range(j) if label[i] != label[j] and bin(int(keys[i] ^ keys[j])).count("1") <= 14}
+    block = np.array([rng.randrange(blocks) for _ in range(60)])
+    rows = bucket(rng, 60, np.arange(60) * 7 % 9, block)
+    want = {}
+    for i in range(60):
+        for j in range(i):
+            words = [bin(int(x) & (2**64 - 1)).count("1") for x in rows[i, : op.WORDS] ^ rows[j, : op.WORDS]]
+            if rows[i, op.WORDS + 2] != rows[j, op.WORDS + 2] and words[0] <= 18 and words[1] <= 18 and sum(words) <= op.sketch_budget(np.array(300)) and (blocks == 1 or block[i] != block[j]):
+                want[j, i] = sum(words)
+    assert len(want) > 100
+    a, b, far = op.close_pairs(rows, 18)
+    assert {tuple(sorted(p)): d for p, d in zip(zip(a.tolist(), b.tolist()), far.tolist())} == want and len(a) == len(want)
+    chosen, more = op.nearest_first(a, b, far, 3)
+    for i in range(60):
+        mine = sorted((d, k) for k, (x, y, d) in enumerate(zip(a, b, far)) if i in (x, y))
+        assert all(chosen[k] for _, k in mine[:3])
+        assert (i in more) == any(not chosen[k] for _, k in mine)
+
+
+def test_a_crowded_bucket_in_blocks(spark, monkeypatch):
+    """Dealt to blocks, groups are those of one bucket."""
+    monkeypatch.setattr(op, "DENSE_KEYS", 8)
+    texts = shared_passage(random.Random(5), 40, 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = similar_components(texts)
+    got = dict(op.near_duplicates(docs, most=16).collect())
+    assert sum(got[i] == want[i] for i in range(70)) >= 68
+
+
+def test_a_chain_of_edited_copies(spark):
+    """60 texts, each an edited copy of the one before: one group, whichever text is the medoid."""
+    rng = random.Random(12)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        texts.append(" ".join(text))
+        for _ in range(3):
+            text[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(60) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    got = dict(op.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert len(pairs) > 100 and all(got[i] == got[j] for i, j in pairs) and set(got.values()) == {0}
 
 
 def test_repeated_lines_do_not_hide_copies(spark):
@@ -193,13 +234,29 @@ def test_repeated_lines_do_not_hide_copies(spark):
 
 
 def test_equal_fingerprints_are_all_compared():
-    keys, groups, dense = np.full(70, 9, np.uint64), np.zeros(70, np.int64), []
-    a, _ = op.trie_pairs(keys[:20], groups[:20], 14, keys[:20])
-    assert len(a) == 190
-    a, b = op.trie_pairs(keys, groups, 14, keys, dense=dense)
-    assert len(a) == 69 and len(set(b.tolist())) == 1 and len(np.concatenate(dense)) == 70
-    a, _ = op.trie_pairs(keys, groups, 14, keys, np.arange(70))
-    assert len(a) == 70 * 69 // 2
+    keys = np.full(70, 9, np.uint64)
+    a, _, done = op.first_links(keys[:16], keys[:16], 14)
+    assert done and len(a) == 120
+    a, b, done = op.first_links(keys, keys, 14)
+    assert not done and len(a) == 69 and len(set(b.tolist())) == 1
+    rows = np.column_stack([np.full((70, op.WORDS), 9), np.arange(70), np.full(70, 100), np.arange(70), np.zeros(70, np.int64)])
+    assert len(op.close_pairs(rows, 18)[0]) == 70 * 69 // 2
+
+
+def test_sketches_of_similar_sets_are_within_their_budget():
+    """Shares of pairs at a similarity of just 0.8 or more, for small and large sets, and of pairs far below."""
+    rng = random.Random(3)
+    for n, least in ((9, 0.93), (30, 0.95), (200, 0.97)):
+        kept, far, trials = 0, 0, 300
+        for _ in range(trials):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            cut = max(1, round(0.2 * n))
+            one, two = op.sketch(" ".join(words), 5, op.WORDS), op.sketch(" ".join(words[: len(words) - cut]), 5, op.WORDS)
+            half = op.sketch(" ".join(words[: max(5, int(0.45 * n))] + [f"y{rng.randrange(10**9)}" for _ in range(int(0.55 * n))]), 5, op.WORDS)
+            bits = lambda x, y: int(np.bitwise_count(x[0] ^ y[0]).sum())
+            kept += bits(one, two) <= op.sketch_budget(np.array(min(one[1], two[1])))
+            far += bits(one, half) <= op.sketch_budget(np.array(min(one[1], half[1])))
+        assert kept >= least * trials and (n < 100 or far < 0.01 * trials), (n, kept, far)
 
 
 @pytest.mark.parametrize("n", [9_296, 1_000_000, 9_000_000])
