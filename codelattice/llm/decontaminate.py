@@ -1,30 +1,35 @@
 """Operator 8: benchmark decontamination by CGK embedding and bit sampling.
 
 An item is leaked where a run of a document's words is within ``ERRORS`` of
-the item's words in edit distance (words: runs of letters and digits, case
-folded for ASCII and Latin-1). Windows of an item's size start at every second
-word; the CGK random walk maps a window to a string whose Hamming distance follows
-the edit distance: at step j it writes the word it stands on and moves on or
-stays by a random bit of that word. Keys of a few sampled steps, repeated for
-several walks, meet the items' keys; the number of walks is planned by
-simulation so that items with as many edits as allowed, half of them seen from
-one word too early, are found with the target recall. What meets is verified by exact edit distance (bit-parallel),
-so nothing false is reported.
+the item's words in edit distance. Words are runs of letters and digits, case
+folded for ASCII and Latin-1; spaces and punctuation of any script part them,
+and each character of a script that is written without spaces is a word.
+Windows of an item's size start at every second word; the CGK random walk maps
+a window to a string whose Hamming distance follows the edit distance: at step
+j it writes the word it stands on and moves on or stays by a random bit of
+that word. Keys of a few sampled steps, repeated for several walks, meet the
+items' keys; the number of walks is planned by simulation for each range of
+item lengths, so that items with as many edits as allowed, half of them seen
+from one word too early, are found with the target recall. What meets is
+verified by exact edit distance (bit-parallel), so nothing false is reported.
 
 Windows that cannot match are skipped first, by the q-gram lemma: a run
 within t edits of n words keeps n - q + 1 - q * t of the item's q-grams, so
-windows that hold fewer words q-grams of any item need no embedding. This
+windows that hold fewer q-grams of items of n words need no embedding. This
 loses nothing. Equal windows of a chunk are embedded once.
 
 The items are a stated query set; they travel to the tasks in blocks of a
 bounded number of words, each block one pass over the documents. Documents
 stream through and are never shuffled.
 
-Defined results. Null and empty texts have no words and no leaks. Items of
-fewer than ``MIN_WORDS`` words are no evidence and are left out. Repeated
-rows give repeated hits; items with equal words are reported each. Of an
-item's leaks in a document the nearest counts, then the first. Empty tables
-give no rows.
+Defined results. Null and empty texts have no words and no leaks; an item
+without words is never leaked. Items of fewer than ``MIN_WORDS`` words are
+leaked where their words stand in a row, without edits. Repeated rows give
+repeated hits; items with equal words are reported each. Of an item's leaks in
+a document the nearest counts, then the first. Very long texts are searched
+whole; windows are embedded some at a time, whatever their length. Empty
+tables give no rows. Extra columns are not read by ``leaks`` and stay as they
+are in ``clean``.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import text_or_empty
 
@@ -47,13 +53,15 @@ STRIDE = 2
 #: Steps in a key, and keys for each walk.
 SAMPLED, KEYS = 3, 8
 RECALL = 0.98
-MAX_WALKS = 24
+#: Simulated leaks that the number of walks is planned by, for each range of lengths (fewer for items of
+#: thousands of words, by words, with a wider margin); a plan beyond ``MOST_WALKS`` is refused.
+TRIALS, LEAST_TRIALS, TRIAL_WORDS, MOST_WALKS = 1024, 128, 1 << 19, 1024
 #: Words of items that travel together.
 BLOCK_WORDS = 2_000_000
 #: Bytes of text that are looked at together.
 CHUNK = 4 << 20
-#: Windows that are embedded together.
-WINDOWS = 1 << 14
+#: Words of windows that are embedded together.
+WINDOW_WORDS = 1 << 19
 
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15
@@ -65,6 +73,11 @@ for _i in range(256):
 _TABLE = np.random.default_rng(8).integers(1, 2**64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
+#: Ranges of code points that part words (spaces, punctuation, symbols)
+#: and of scripts without spaces, each of whose characters is a word.
+PARTING = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2190, 0x2BFF), (0x2E00, 0x2E7F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x303F), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFEFF, 0xFEFF), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(32))
@@ -83,6 +96,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _within(code: np.ndarray, ranges) -> np.ndarray:
+    edges = np.array(ranges, np.int64)
+    near = np.searchsorted(edges[:, 0], code, "right") - 1
+    return (near >= 0) & (code <= edges[np.maximum(near, 0), 1])
+
+
+def _other_words(data: np.ndarray):
+    """(first byte, bytes, whether it is a word by itself) of characters beyond ASCII that part words or are one."""
+    lead = np.flatnonzero(data >= 0xC2)
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    whole = lead + size <= len(data)
+    lead, size = lead[whole], size[whole]
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | (data[lead[more] + k] & 0x3F)
+    single = _within(code, SINGLE)
+    some = single | _within(code, PARTING)
+    return lead[some], size[some], single[some]
+
+
 def words_of(data: np.ndarray, starts: np.ndarray):
     """(hash, first byte, end) of each word; ``starts`` are the documents' first bytes.
 
@@ -94,10 +128,19 @@ def words_of(data: np.ndarray, starts: np.ndarray):
     low = _LOWER[data]
     latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     low[latin] += 0x20
+    at, size, single = _other_words(data)
+    for k in range(4):
+        part = at[~single & (size > k)] + k
+        low[part] = 0
     word = low != 0
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
+    at, size = at[single], size[single]
+    begin[at] = end[at + size - 1] = True
+    before, after = at[at > 0] - 1, (at + size)[at + size < len(data)]
+    end[before] = word[before]
+    begin[after] = word[after]
     s = starts[starts < len(data)]
     begin[s] = word[s]
     e = s[s > 0] - 1
@@ -122,7 +165,8 @@ def _grams(h: np.ndarray) -> np.ndarray:
 
 
 def allowed(n: int) -> int:
-    return int(ERRORS * n)
+    """Edits allowed in an item of n words."""
+    return int(ERRORS * n) if n >= MIN_WORDS else 0
 
 
 class Walks:
@@ -171,26 +215,41 @@ def _mutate(words: np.ndarray, edits: int, rng) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def plan_walks(items: list[np.ndarray], recall: float = RECALL, trials: int = 256) -> int:
-    """Walks with which items that bear all allowed edits are met with ``recall``."""
-    if not items:
-        return 1
-    rng = np.random.default_rng(3)
-    picked: dict[int, list[np.ndarray]] = {}
-    for k in rng.integers(0, len(items), trials).tolist():
-        picked.setdefault(len(items[k]), []).append(items[k])
-    walks = 4
-    while True:
-        first = []
-        for n, words in picked.items():
-            walk = Walks(n, walks)
-            whole, worn = walk.keys(np.stack(words)), walk.keys(np.stack([_mutate(w, allowed(n), rng) for w in words]))
-            met = (whole == worn).reshape(len(words), walks, KEYS).any(axis=2)
-            first += np.where(met.any(axis=1), met.argmax(axis=1) + 1, MAX_WALKS + 1).tolist()
-        need = sorted(first)[math.ceil(recall * len(first)) - 1]
-        if need <= walks or walks == MAX_WALKS:
-            return min(need, MAX_WALKS)
-        walks = min(MAX_WALKS, 2 * walks)
+def _bin(n: int) -> int:
+    """Lengths that are planned together: those within a quarter of one another."""
+    return int(math.log(n) / math.log(1.25))
+
+
+def plan_walks(items: list[np.ndarray], recall: float = RECALL, trials: int = TRIALS) -> dict[int, int]:
+    """Walks for each item length with which items that bear all allowed edits are met with ``recall``."""
+    by_bin: dict[int, list[np.ndarray]] = {}
+    for words in items:
+        if len(words) >= MIN_WORDS:
+            by_bin.setdefault(_bin(len(words)), []).append(words)
+    plan = {}
+    for number, known in sorted(by_bin.items()):
+        rng = np.random.default_rng([3, number])
+        picked: dict[int, list[np.ndarray]] = {}
+        draws = max(LEAST_TRIALS, min(trials, TRIAL_WORDS // max(map(len, known))))
+        for k in rng.integers(0, len(known), draws).tolist():
+            picked.setdefault(len(known[k]), []).append(known[k])
+        # Two deviations above, so that the draws do not flatter the plan.
+        wanted, walks = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / draws)), 4
+        while True:
+            first = []
+            for n, words in picked.items():
+                walk = Walks(n, walks)
+                whole, worn = walk.keys(np.stack(words)), walk.keys(np.stack([_mutate(w, allowed(n), rng) for w in words]))
+                met = (whole == worn).reshape(len(words), walks, KEYS).any(axis=2)
+                first += np.where(met.any(axis=1), met.argmax(axis=1) + 1, walks + 1).tolist()
+            need = sorted(first)[math.ceil(wanted * len(first)) - 1]
+            if need <= walks:
+                break
+            walks *= 2
+            if walks > MOST_WALKS:
+                raise ValueError(f"no plan of {MOST_WALKS} walks has a recall of {recall}")
+        plan |= {len(w): need for w in known}
+    return plan
 
 
 def nearest(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -218,23 +277,45 @@ def nearest(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """A block of items: their words, q-grams and keys."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], walks: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], plan: dict[int, int]):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        self.grams = np.unique(np.concatenate([_grams(w) for w in self.words]))
-        self.vocabulary = np.unique(np.concatenate(self.words))
-        self.gram_bits, self.word_bits = self._bits(self.grams), self._bits(self.vocabulary)
-        self.groups = []
-        for n in sorted({len(w) for w in self.words}):
+        long = [w for w in self.words if len(w) >= MIN_WORDS]
+        empty = np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(np.concatenate([empty, *long]))
+        self.word_bits = self._bits(self.vocabulary)
+        self.groups, self.short, grams, bits = [], [], [empty], [empty]
+        for number, n in enumerate(sorted({len(w) for w in self.words})):
             mine = [k for k, w in enumerate(self.words) if len(w) == n]
-            walk = Walks(n, walks)
-            keys = walk.keys(np.stack([self.words[k] for k in mine]))
-            least = n - GRAM + 1 - GRAM * allowed(n)
+            rows = np.stack([self.words[k] for k in mine])
+            if n < MIN_WORDS:
+                keys = self._runs(rows.ravel(), n)[::n]
+                order = np.argsort(keys, kind="stable")
+                self.short.append((n, keys[order], np.array(mine)[order]))
+                continue
+            walk = Walks(n, plan[n])
+            keys = walk.keys(rows)
             tagged = (keys ^ self._tags(keys.shape[1])).ravel()
             order = np.argsort(tagged)
-            self.groups.append((n, max(1, least), walk, tagged[order], np.repeat(mine, keys.shape[1])[order]))
-        self.reach = max(g[0] + allowed(g[0]) for g in self.groups) + STRIDE - 1
-        self.least = min(g[1] for g in self.groups)
+            self.groups.append((n, max(1, n - GRAM + 1 - GRAM * allowed(n)), walk, tagged[order], np.repeat(mine, keys.shape[1])[order], number % 64))
+            for k in mine:
+                grams.append(_grams(self.words[k]))
+                bits.append(np.full(len(grams[-1]), 1 << (number % 64), np.uint64))
+        # Each q-gram with the lengths (mod 64) of the items that hold it.
+        self.grams, at = np.unique(np.concatenate(grams), return_inverse=True)
+        self.lengths = np.zeros(len(self.grams), np.uint64)
+        np.bitwise_or.at(self.lengths, at, np.concatenate(bits))
+        self.gram_bits = self._bits(self.grams)
+        self.reach = max((g[0] + allowed(g[0]) for g in self.groups), default=0) + STRIDE - 1
+        self.least = min((g[1] for g in self.groups), default=0)
+
+    @staticmethod
+    def _runs(h: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each n words in a row."""
+        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+        for i in range(n):
+            out = out * _U(_M) + h[i : i + len(out)]
+        return _mix(out)
 
     @staticmethod
     def _tags(columns: int) -> np.ndarray:
@@ -248,13 +329,26 @@ class Items:
         return out
 
     @staticmethod
-    def _among(asked: np.ndarray, held: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """Which of ``asked`` are in the sorted ``held``; ``bits`` knows most strangers."""
-        out = bits[(asked >> _U(44)).astype(np.int64)]
-        at = np.flatnonzero(out)
+    def _among(asked: np.ndarray, held: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``asked`` are in the sorted ``held``, where these are there); ``bits`` knows most strangers."""
+        at = np.flatnonzero(bits[(asked >> _U(44)).astype(np.int64)])
+        if not len(held):
+            return at[:0], at[:0]
         near = np.minimum(np.searchsorted(held, asked[at]), len(held) - 1)
-        out[at] = held[near] == asked[at]
-        return out
+        same = held[near] == asked[at]
+        return at[same], near[same]
+
+    def meet_short(self, h: np.ndarray, doc: np.ndarray):
+        """(start word, item) pairs of short items whose words stand there."""
+        for n, keys, item_of in self.short:
+            if len(h) < n:
+                continue
+            runs = self._runs(h, n)
+            lo, hi = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+            for s in np.flatnonzero((hi > lo) & (doc[: len(runs)] == doc[n - 1 :])).tolist():
+                for k in item_of[lo[s] : hi[s]].tolist():
+                    if (h[s : s + n] == self.words[k]).all():
+                        yield s, k
 
     def meet(self, h: np.ndarray, doc: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray):
         """(start word, item) pairs whose windows meet an item's key.
@@ -262,29 +356,38 @@ class Items:
         ``doc`` is each word's document, ``doc_start`` and ``doc_end`` its
         first word and end.
         """
+        none = np.zeros(0, np.int64)
         n_grams = max(0, len(h) - GRAM + 1)
+        if not n_grams or not self.groups:
+            return none, none
+        at, which = self._among(_grams(h), self.grams, self.gram_bits)
+        inside = doc[at] == doc[at + GRAM - 1]
+        at, lengths = at[inside], self.lengths[which[inside]]
         hit = np.zeros(len(h) + 1, np.int32)
-        if n_grams:
-            inside = doc[:n_grams] == doc[GRAM - 1 :]
-            hit[1 : n_grams + 1] = self._among(_grams(h), self.grams, self.gram_bits) & inside
+        hit[at + 1] = 1
         count = np.cumsum(hit)
         ahead = np.minimum(np.arange(len(h)) + self.reach, doc_end)
         starts = np.flatnonzero(count[ahead] - count[:-1] >= self.least)
         starts = starts[(starts - doc_start[starts]) % STRIDE == 0]
         if not len(starts):
-            return starts, starts
+            return none, none
         common = np.zeros(len(h) + 1, np.int32)
-        np.cumsum(self._among(h, self.vocabulary, self.word_bits), out=common[1:])
+        common[self._among(h, self.vocabulary, self.word_bits)[0] + 1] = 1
+        common = np.cumsum(common)
         padded = np.concatenate([h, np.zeros(self.reach + 1, np.uint64)])
         found = []
-        for n, least, walk, table, item_of in self.groups:
+        for n, least, walk, table, item_of, number in self.groups:
             slack = allowed(n)
             to = np.minimum(starts + n + slack + STRIDE - 1, doc_end[starts])
-            s = starts[(count[to] - count[starts] >= least) & (common[to] - common[starts] >= n - slack)]
-            for i in range(0, len(s), WINDOWS):
-                found += self._meet_group(s[i : i + WINDOWS], n, walk, table, item_of, padded, doc_end)
+            s = np.flatnonzero((count[to] - count[starts] >= least) & (common[to] - common[starts] >= n - slack))
+            # Of the q-grams only those count that an item of this length holds.
+            own = at[(lengths >> _U(number)) & _U(1) == 1]
+            s = starts[s[np.searchsorted(own, to[s]) - np.searchsorted(own, starts[s]) >= least]]
+            step = max(64, WINDOW_WORDS // n)
+            for i in range(0, len(s), step):
+                found += self._meet_group(s[i : i + step], n, walk, table, item_of, padded, doc_end)
         if not found:
-            return starts[:0], starts[:0]
+            return none, none
         code = np.unique(np.concatenate(found))
         return code & np.int64(0xFFFFFFFF), code >> np.int64(32)
 
@@ -345,6 +448,8 @@ HITS = "doc_id bigint, item_id bigint, distance int, item_words int, first_char
 
 
 def _search(items: Items):
+    sizes = np.array([len(w) for w in items.words], np.int64)
+
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -355,14 +460,14 @@ def _search(items: Items):
                     continue
                 doc = np.searchsorted(starts, at, "right") - 1
                 edge = np.searchsorted(doc, np.arange(len(starts) + 1))
+                best: dict[tuple[int, int], tuple] = {}
+                for first, k in items.meet_short(h, doc):
+                    best.setdefault((int(doc[first]), k), (0, first, first + len(items.words[k]) - 1))
                 found, item = items.meet(h, doc, edge[doc], edge[doc + 1])
-                if not len(found):
-                    continue
                 # Meetings of one item in one document, near each other, are one place.
-                n = np.array([len(w) for w in items.words])[item]
+                n = sizes[item]
                 place = np.ones(len(found), bool)
                 place[1:] = (item[1:] != item[:-1]) | (doc[found[1:]] != doc[found[:-1]]) | (found[1:] - found[:-1] > n[1:])
-                best: dict[tuple[int, int], tuple] = {}
                 firsts = np.flatnonzero(place)
                 for a, z in zip(firsts.tolist(), [*firsts[1:].tolist(), len(found)]):
                     k, d = int(item[a]), int(doc[found[a]])
@@ -395,7 +500,7 @@ def item_blocks(benchmark: DataFrame):
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("bigint"), text_or_empty()).toLocalIterator():
         words = words_of_text(row[1])
-        if len(words) < MIN_WORDS:
+        if not len(words):
             continue
         if size and size + len(words) > BLOCK_WORDS:
             yield block
@@ -423,7 +528,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that leak no item, in one pass for each block of items."""
     place = docs.columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
     for block in item_blocks(benchmark):
         search = _search(Items(block, plan_walks([w for _, w in block], recall)))
 
