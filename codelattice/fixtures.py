@@ -72,7 +72,7 @@ FROM {pages} WHERE page_id % 2 = 0
 """
 #: A history as text: a header line for each commit, then a line for each file.
 LOG = """
-SELECT row_number() OVER (ORDER BY hash, kind, path) AS line_no, line FROM (
+SELECT hash * 1000 + row_number() OVER (PARTITION BY hash ORDER BY kind, path) AS line_no, line FROM (
 SELECT hash, 0 AS kind, '' AS path, concat('@@@', CAST(hash AS STRING), chr(9), date, chr(9), CAST(author AS STRING), chr(9), 'change ', CAST(hash AS STRING)) AS line FROM {fx_commits}
 UNION ALL
 SELECT f.hash, 1 AS kind, path, concat(CASE WHEN added = 0 THEN '-' ELSE CAST(added AS STRING) END, chr(9), CAST(deleted AS STRING), chr(9), path) AS line FROM {fx_files} f JOIN {fx_commits} c ON c.hash = f.hash) x

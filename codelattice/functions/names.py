@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Languages by file extension.
 LANGUAGES = {"lua": "lua", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust"}
+#: File names in a known language.
+GLOB = "*.{" + ",".join(LANGUAGES) + "}"
 #: Names that start a program.
 ENTRYPOINTS = ("main", "init", "setup", "run", "m.run")
 

@@ -36,6 +36,7 @@ def _nodes(rows: DataFrame, turn: int, kind: str, node_id, **attrs) -> DataFrame
 
 
 def _edges(rows: DataFrame, kind, source, target, **attrs) -> DataFrame:
+    """Edge records; those with one type and ends are alike."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     fields = [attrs[c].cast(t).alias(c) if c in attrs else F.lit(None).cast(t).alias(c) for c, t in _ATTRS.items()]
     return rows.select(kind.alias("type"), source.alias("source"), target.alias("target"), *fields)
@@ -79,7 +80,10 @@ def build(symbols: DataFrame, edges: DataFrame, chosen: DataFrame | None = None,
         calls = calls.select("*", *[F.lit(None).cast(t).alias(n) for n, t in _ATTRS.items() if n != "external"])
     records.append(_edges(calls, F.when(c("test"), "tests").otherwise("calls"), _id("fn", "src"), _id("fn", "dst"), source_backend=F.coalesce("source_backend", F.lit("index")), confidence=F.coalesce("confidence", F.lit("unknown")), dynamic=F.coalesce("dynamic", F.lit(False)), polymorphic=F.coalesce("polymorphic", F.lit(False)), call=c("call")))
     if options.include_external and cands is not None:
+        # A symbol's first call of an outside function is its edge.
         outside = cands.filter("cand_id is null and cand_path is not null and cand_name is not null")
+        first = F.min_by(F.struct("source", "confidence", "call_name"), F.struct("call_ord", -F.col("score")))
+        outside = outside.groupBy("src", "cand_path", "cand_name").agg(first.alias("f")).select("src", "cand_path", "cand_name", "f.*")
         nodes.append(_nodes(outside, 6, "function", _external_id(), label=c("cand_name"), path=c("cand_path"), relpath=c("cand_path"), external=F.lit(True)))
         records.append(_edges(outside, "calls_external", _id("fn", "src"), _external_id(), source_backend=c("source"), confidence=c("confidence"), call=c("call_name"), external=F.lit(True)))
     if options.include_imports and imports is not None:
@@ -106,11 +110,12 @@ def edge_type_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("type").agg(F.count(F.lit(1)).alias("attempts"), F.countDistinct("source", "target").alias("n"))
 
 
-def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """problem, id: missing ids, unknown types, edges without an end."""
+def validate(nodes: DataFrame, edges: DataFrame, schema_version: str | None = SCHEMA_VERSION) -> DataFrame:
+    """problem, id: another schema version, missing ids, unknown types, edges without an end."""
+    version = nodes.sparkSession.createDataFrame([] if schema_version == SCHEMA_VERSION else [("unsupported_schema_version", str(schema_version))], "problem string, id string")
     ids = nodes.select("id")
     missing = nodes.filter("id is null").select(F.lit("missing_id").alias("problem"), F.lit("").alias("id"))
     kinds = nodes.filter(~F.col("type").isin(*NODE_TYPES)).select(F.lit("unsupported_type").alias("problem"), "id")
     source = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").select(F.lit("dangling_source").alias("problem"), F.col("source").alias("id"))
     target = edges.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").select(F.lit("dangling_target").alias("problem"), F.col("target").alias("id"))
-    return missing.unionByName(kinds).unionByName(source).unionByName(target)
+    return version.unionByName(missing).unionByName(kinds).unionByName(source).unionByName(target)

@@ -222,11 +222,31 @@ def arch_edges(placed: DataFrame, edges: DataFrame, options: Architecture = Arch
     """Edges between groups: count, layers, and the first examples by id."""
     own = placed.select("symbol_id", "group_id", "layer")
     met = edges.select("src", "dst").join(own.toDF("src", "source_group", "source_layer"), "src").join(own.toDF("dst", "target_group", "target_layer"), "dst")
-    first = Window.partitionBy("source_group", "target_group").orderBy("src", "dst")
-    top = met.withColumn("n", F.row_number().over(first))
-    return top.groupBy("source_group", "target_group", "source_layer", "target_layer").agg(
-        F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(F.when(F.col("n") <= max(1, options.max_examples), F.struct("src", "dst")))).alias("examples")
-    )
+    pair = ["source_group", "target_group"]
+    # A handful of pairs hold all edges: they are counted before the shuffle, and examples are limited before it.
+    counts = met.groupBy(*pair, "source_layer", "target_layer").agg(F.count(F.lit(1)).alias("count"))
+    first = met.withColumn("n", F.row_number().over(Window.partitionBy(*pair).orderBy("src", "dst"))).filter(F.col("n") <= max(1, options.max_examples))
+    examples = first.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("examples"))
+    return counts.join(examples, pair)
+
+
+#: Orders of reports that are lists without a limit; each ends in an id.
+DEAD_ORDER = ("relpath", "name", "symbol_id")
+IMPACT_ORDER = ("relpath", "name", "symbol_id")
+LABEL_ORDER = ("name", "relpath", "symbol_id")
+TIMELINE_ORDER = ("date", "hash")
+
+
+def cluster_order():
+    return [F.col("density").desc(), F.col("symbols").desc(), F.col("module_id")]
+
+
+def violation_order():
+    return [F.col("severity_score").desc(), F.col("count").desc(), F.col("source_group"), F.col("target_group")]
+
+
+def group_risk_order():
+    return [F.round("avg_score", 9).desc(), F.round("score", 9).desc(), F.col("id")]
 
 
 def arch_violations(group_edges: DataFrame, options: Architecture = Architecture()) -> DataFrame:

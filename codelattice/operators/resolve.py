@@ -44,22 +44,36 @@ def definitions(symbols: DataFrame) -> DataFrame:
     return whole.unionByName(ends)
 
 
-def candidates(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame) -> DataFrame:
-    """Scored candidates of each call site, the best score of each definition.
-
-    ``receiver_types``: symbol_id, var, type.
-    """
+def _typed_calls(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame) -> DataFrame:
+    """Call sites with their symbol's file and container and the receiver's type."""
     types = receiver_types.select(F.col("symbol_id").alias("src"), F.col("var").alias("receiver_tail"), F.col("type").alias("receiver_type"))
     own = symbols.select(F.col("symbol_id").alias("src"), F.col("relpath").alias("src_path"), F.col("container").alias("src_container"))
-    calls = sites.join(own, "src").join(types, ["src", "receiver_tail"], "left")
+    return sites.join(own, "src").join(types, ["src", "receiver_tail"], "left")
+
+
+def _keyed(symbols: DataFrame) -> DataFrame:
+    """Definitions under each name they are known by."""
     known = definitions(symbols).groupBy("symbol_id", "name", "relpath", "container", "match_name").agg(F.max("exact").alias("exact"))
-    defs = known.select(F.col("symbol_id").alias("cand_id"), F.col("name").alias("cand_name"), F.col("relpath").alias("cand_path"), F.col("container").alias("cand_container"), "match_name", "exact")
-    # A definition meets a plain call name once, so nothing is aggregated there.
+    return known.select(F.col("symbol_id").alias("cand_id"), F.col("name").alias("cand_name"), F.col("relpath").alias("cand_path"), F.col("container").alias("cand_container"), "match_name", "exact")
+
+
+def _asked(calls: DataFrame) -> DataFrame:
+    """Calls with the names they may meet a definition by (match_name, whole).
+
+    A plain call name is met once; a dotted one as a whole and by its ends.
+    """
     dotted = F.col("call_name").rlike("[.:]")
-    whole = calls.filter(~dotted).withColumn("match_name", F.col("call_name")).join(defs, "match_name").filter("cand_id != src").withColumn("whole", F.lit(True))
-    # A dotted call name may meet a definition as a whole and by its ends.
-    both = F.explode(F.concat(F.array(F.struct(F.col("call_name").alias("m"), F.lit(True).alias("w"))), F.transform(names.suffixes(F.col("call_name")), lambda x: F.struct(x.alias("m"), F.lit(False).alias("w")))))
-    ends = calls.filter(dotted).withColumn("x", both).select("*", F.col("x.m").alias("match_name"), F.col("x.w").alias("whole")).drop("x").join(defs, "match_name").filter("cand_id != src and (whole or exact)")
+    ends = F.when(dotted, F.transform(names.suffixes(F.col("call_name")), lambda x: F.struct(x.alias("m"), F.lit(False).alias("w")))).otherwise(F.array().cast("array<struct<m:string,w:boolean>>"))
+    both = F.explode(F.concat(F.array(F.struct(F.col("call_name").alias("m"), F.lit(True).alias("w"))), ends))
+    return calls.withColumn("x", both).select("*", F.col("x.m").alias("match_name"), F.col("x.w").alias("whole")).drop("x")
+
+
+_MEET = "cand_id != src and (whole or exact)"
+_SCORED = ["raw", "call_name", "kind", "receiver", "receiver_type", "cand_name", "cand_path", "cand_container", "score", "reasons"]
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """``rows``, calls beside definitions, with score and reasons."""
     member = F.col("kind") == "member"
     has = F.col("cand_container").isNotNull()
     same_box = F.coalesce(F.col("src_container") == F.col("cand_container"), F.lit(False))
@@ -83,11 +97,59 @@ def candidates(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame)
         F.when(member & has & F.col("receiver_type").isNotNull(), F.when(typed == 130, "receiver_type_match").when(typed == 120, "python_self_container_match").otherwise("receiver_type_mismatch"))
         .when(member & (named == 90), "receiver_name_match").when(member & (named == 110), "this_container_match"),
     ))
-    scored = lambda rows: rows.withColumn("score", score.cast("int")).withColumn("reasons", reasons)
-    columns = ["raw", "call_name", "kind", "receiver", "receiver_type", "cand_name", "cand_path", "cand_container", "score", "reasons"]
-    best = scored(ends).groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct(*columns), "score").alias("c")).select("src", "call_ord", "cand_id", "c.*")
-    out = scored(whole).select("src", "call_ord", "cand_id", *columns).unionByName(best)
-    return out.withColumn("source", F.lit("index")).withColumn("confidence", confidence(F.col("score")))
+    return rows.withColumn("score", score.cast("int")).withColumn("reasons", reasons)
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("source", F.lit("index")).withColumn("confidence", confidence(F.col("score")))
+
+
+def candidates(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame) -> DataFrame:
+    """All scored candidates of each call site, the best score of each definition.
+
+    ``receiver_types``: symbol_id, var, type. The result has a row for each
+    call and each definition of its name; ``likely_candidates`` has few.
+    """
+    calls, defs = _asked(_typed_calls(symbols, sites, receiver_types)), _keyed(symbols)
+    dotted = F.col("call_name").rlike("[.:]")
+    # A definition meets a plain call name once, so nothing is aggregated there.
+    plain = _scored(calls.filter(~dotted).join(defs, "match_name").filter(_MEET))
+    ends = _scored(calls.filter(dotted).join(defs, "match_name").filter(_MEET))
+    best = ends.groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct(*_SCORED), "score").alias("c")).select("src", "call_ord", "cand_id", "c.*")
+    return _finished(plain.select("src", "call_ord", "cand_id", *_SCORED).unionByName(best))
+
+
+def _first(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """The first ``n`` of the rows with one key; limited before they are shuffled."""
+    order = Window.partitionBy(*key).orderBy("cand_path", "cand_name", "cand_id")
+    return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
+
+
+def likely_candidates(symbols: DataFrame, sites: DataFrame, receiver_types: DataFrame, options: Resolution = Resolution()) -> DataFrame:
+    """Those of ``candidates`` that ``targets`` can select, and at most some for each call, however often a name is defined.
+
+    Of definitions of one name that score alike only the first ones in order
+    can be selected. A score depends on exactness, on whether the definition is
+    in the caller's file, and for member calls on whether its container is one
+    of two: the receiver's type (or name) and the caller's own. So a call meets
+    the first definitions of its file, those of these containers, and the first
+    of all others: as many of these as are left when a file and two containers
+    are taken out.
+    """
+    k = max(1, options.max_targets) + 1  # the caller itself is no candidate
+    calls = _asked(_typed_calls(symbols, sites, receiver_types))
+    defs = _keyed(symbols).withColumn("boxed", F.col("cand_container").isNotNull()).withColumn("plain", F.col("cand_name") != "<anonymous>")
+    kind = ["match_name", "exact", "boxed", "plain"]
+    near = _first(defs, k, *kind, "cand_container", "cand_path")
+    of_box = _first(near.filter("boxed"), 2 * k, *kind, "cand_container")
+    rest = _first(_first(of_box.unionByName(_first(near.filter("not boxed"), 2 * k, *kind)), 3 * k, *kind, "cand_path"), 8 * k, *kind)
+    boxes = F.array_distinct(F.array_compact(F.array("receiver_type", "receiver_tail", "src_container")))
+    in_file = calls.join(near.withColumn("src_path", F.col("cand_path")), ["match_name", "src_path"])
+    in_box = calls.filter("kind = 'member'").withColumn("box", F.explode(boxes)).join(of_box.withColumn("box", F.col("cand_container")), ["match_name", "box"]).drop("box")
+    others = calls.join(rest, "match_name")
+    met = _scored(in_file.unionByName(in_box, allowMissingColumns=True).unionByName(others, allowMissingColumns=True).filter(_MEET))
+    best = met.groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct(*_SCORED), "score").alias("c")).select("src", "call_ord", "cand_id", "c.*")
+    return _finished(best)
 
 
 def _by_score():

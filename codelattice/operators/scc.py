@@ -1,8 +1,9 @@
 """Strongly connected components.
 
 Large graphs: trim nodes without callers or callees, colour the rest by the
-largest id that reaches them, and take from each colour's root what also
-reaches the root; repeat on what is left. Graphs of a checked, bounded size
+largest id that reaches them (a colour also takes over the colour of its own
+node, so the reach doubles each round), and take from each colour's root what
+also reaches the root; repeat on what is left. Graphs of a checked, bounded size
 are done by one task with an iterative Tarjan search instead.
 """
 
@@ -84,11 +85,16 @@ def _by_colour(edges: DataFrame) -> DataFrame:
         mark = None
         for _ in range(MAX_ROUNDS):
             pushed = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c"))
-            colour = durable(colour.join(pushed, "id", "left").select("id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour")))
+            colour = colour.join(pushed, "id", "left").select("id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"))
+            # What reaches the node that names a colour reaches all that have the colour.
+            jump = colour.select(F.col("id").alias("colour"), F.col("colour").alias("c"))
+            colour = durable(durable(colour).join(jump, "colour").select("id", F.greatest("colour", "c").alias("colour")))
             now = colour.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()[0]
             if now == mark:
                 break
             mark = now
+        else:
+            raise RuntimeError("colours did not settle")
         inside = left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", F.col("a").alias("colour"))
         inside = durable(inside)
         seen = durable(colour.filter("id = colour"))

@@ -15,6 +15,10 @@ from .durable import durable
 from .graphs import oriented
 
 
+#: Roots whose reach is held at one time.
+ROOTS_AT_ONCE = 10_000_000
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -52,16 +56,33 @@ def reach(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
     return seen
 
 
+def counts_ahead(edges: DataFrame, limit: int, at_once: int = ROOTS_AT_ONCE) -> DataFrame:
+    """(root, n): how many other ids each id reaches within ``limit`` steps.
+
+    Roots are taken in blocks of ``at_once`` at most, of which only the counts
+    are kept. A pair is expanded once, at the depth at which it is first met;
+    a level is one join and one aggregation with the pairs met before.
+    """
+    step = edges.select(F.col("src").alias("id"), F.col("dst").alias("next"))
+    roots = durable(edges.select(F.col("src").alias("root")).distinct())
+    blocks, parts = max(1, -(-roots.count() // at_once)), []
+    for block in range(blocks):
+        mine = roots if blocks == 1 else roots.filter(F.pmod(F.xxhash64("root"), F.lit(blocks)) == block)
+        seen = mine.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"))
+        for depth in range(1, limit + 1):
+            fresh = seen.filter(F.col("depth") == depth - 1).join(step, "id").select("root", F.col("next").alias("id"), F.lit(depth).alias("depth"))
+            seen = durable(seen.unionByName(fresh).groupBy("root", "id").agg(F.min("depth").alias("depth")))
+        parts.append(durable(seen.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n"))) if blocks > 1 else seen.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n")))
+    return _union(parts)
+
+
 def reach_counts(symbols: DataFrame, edges: DataFrame, limit: int = 4) -> DataFrame:
     """symbol_id, out_reach, in_reach: distinct symbols within ``limit`` steps, without the symbol itself."""
     out = symbols.select("symbol_id")
     zero = F.lit(0).cast("bigint")
     for direction, name in (("outgoing", "out_reach"), ("incoming", "in_reach")):
         e = oriented(edges, direction)
-        # Walks may come back; the root and repeats go in the count.
-        met = levels(e, e.select(F.col("src").alias("root")).distinct(), limit).filter("id != root")
-        count = met.groupBy("root").agg(F.countDistinct("id").alias(name))
-        out = out.join(count.withColumnRenamed("root", "symbol_id"), "symbol_id", "left").withColumn(name, F.coalesce(name, zero))
+        out = out.join(counts_ahead(e, limit).toDF("symbol_id", name), "symbol_id", "left").withColumn(name, F.coalesce(name, zero))
     return out
 
 
@@ -134,6 +155,26 @@ def callers(edges: DataFrame, root, limit: int = 8) -> DataFrame:
     return out.unionByName(again)
 
 
+def call_hierarchy(calls: DataFrame, root, limit: int = 2, direction: str = "outgoing", inside=None, include_external: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, depth) and distinct edges (src, dst) of an outside call hierarchy around a root.
+
+    ``calls`` (src, dst, and dst_path, src_path where files decide) is what the
+    outside source answers: callees by caller. A node is expanded once, at its
+    least depth, if that is below ``limit``. Nodes of files for which
+    ``inside``, a function of the path column, is false are left out unless
+    ``include_external``; the root stays in any case.
+    """
+    ends = ["src", "dst"] if direction == "outgoing" else ["dst", "src"]
+    step = calls
+    if inside is not None and not include_external:
+        step = step.filter(inside(F.col(f"{ends[1]}_path")))
+    step = durable(step.select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")).distinct())
+    roots = calls.sparkSession.range(1).select(F.lit(root).cast(calls.schema["src"].dataType).alias("root"))
+    met = durable(reach(step, roots, limit))
+    nodes = met.select("id", "depth")
+    return nodes, step.join(nodes.filter(F.col("depth") < limit).select(F.col("id").alias("src")), "src", "left_semi")
+
+
 def hot_chains(edges: DataFrame, scores: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(root, pos, symbol_id, score): from each root on to the best unvisited neighbour.
 

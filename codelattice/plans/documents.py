@@ -37,7 +37,8 @@ def call_tree(index, root, depth: int = 2, direction: str = "outgoing", ascii_:
     dynamic = {(r["src"], r["dst"]) for r in notes.select("src", "dst").collect()}
     many = {r["src"]: r["n"] for r in index.targets.join(nodes.select(F.col("symbol_id").alias("src")), "src", "left_semi").groupBy("src", "call_ord").agg(F.count(F.lit(1)).alias("n")).groupBy("src").agg(F.max("n").alias("n")).filter("n > 1").collect()}
     tee, last, bar, gap = ("+- ", "`- ", "|  ", "   ") if ascii_ else ("├─ ", "└─ ", "│  ", "   ")
-    out = [f"Call graph ({direction}, depth {depth})", f"nodes: {len(names)}  edges: {count}", ""]
+    scoped = index.resolutions().join(nodes.select(F.col("symbol_id").alias("src")), "src", "left_semi").agg(F.coalesce(F.sum(F.col("unresolved").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("polymorphic").cast("int")), F.lit(0))).first()
+    out = [f"Call graph ({direction}, depth {depth})", f"nodes: {len(names)}  edges: {count}  unresolved: {scoped[0]}  polymorphic: {scoped[1]}", ""]
 
     def show(node, prefix: str, mark: str, path: tuple) -> None:
         name, rel = names[node]
@@ -59,6 +60,49 @@ def call_tree(index, root, depth: int = 2, direction: str = "outgoing", ascii_:
     return out
 
 
+def viewer(index, session, ascii_: bool = False) -> list[str]:
+    """The state of an interactive viewer, then the graph it shows."""
+    nodes, edges, counts = session.query(index.symbols, index.edges)
+    totals = counts.first()
+    head = [
+        "Viewer", "------", f"focus: {session.root}", f"depth: {session.depth}", f"path filter: {session.path_prefix or '-'}", f"search: {session.search or '-'}",
+        f"dynamic only: {str(bool(session.dynamic_only)).lower()}", f"kind: {session.kind or 'all'}", f"history: {len(session.history)}",
+        f"hidden nodes: {totals['hidden_nodes']}", f"nodes before filters: {totals['total_nodes']}", "",
+    ]
+    names = {r["symbol_id"]: f"{r['name']} - {r['relpath']}" for r in index.symbols.join(nodes.select("symbol_id"), "symbol_id", "left_semi").select("symbol_id", "name", "relpath").collect()}
+    return head + _tree(names, edges, session.root, session.depth, ascii_)
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame, root, labels: dict, depth: int = 2, direction: str = "outgoing", ascii_: bool = False) -> list[str]:
+    """An outside call hierarchy as a tree."""
+    count = edges.count()
+    names = {r["id"]: labels.get(r["id"], str(r["id"])) for r in nodes.collect()}
+    return [f"Call hierarchy ({direction}, depth {depth})", f"nodes: {len(names)}  edges: {count}", "", *_tree(names, edges, root, depth, ascii_)]
+
+
+def _tree(names: dict, edges: DataFrame, root, depth: int, ascii_: bool) -> list[str]:
+    """Labels of what a root reaches; shared children are shown again, cycles are marked."""
+    tee, last, bar, gap = ("+- ", "`- ", "|  ", "   ") if ascii_ else ("├─ ", "└─ ", "│  ", "   ")
+    links: dict = {}
+    for r in edges.select("src", "dst").distinct().orderBy("src", "dst").collect():
+        links.setdefault(r["src"], []).append(r["dst"])
+    out: list[str] = []
+
+    def show(node, prefix: str, mark: str, path: tuple) -> None:
+        cycle = node in path
+        out.append(f"{prefix}{mark}{names[node]}{' (cycle)' if cycle else ''}")
+        if cycle or len(path) >= depth:
+            return
+        under = prefix + ("" if not mark else gap if mark == last else bar)
+        children = [c for c in links.get(node, []) if c in names]
+        for i, child in enumerate(children):
+            show(child, under, last if i == len(children) - 1 else tee, (*path, node))
+
+    if root in names:
+        show(root, "", "", ())
+    return out
+
+
 def expanded_tree(edges: DataFrame, root: str, expanded: set[str]) -> list[str]:
     """A tree over local names (src_name, dst_name); closed nodes show [+], open ones [-]."""
     links: dict[str, list[str]] = {}
@@ -77,8 +121,12 @@ def expanded_tree(edges: DataFrame, root: str, expanded: set[str]) -> list[str]:
     return out
 
 
-def dependency_tree(edges: DataFrame, title: str = "Dependencies") -> list[str]:
-    rows = _rows(edges.select("src", "dst"), "src", "dst")
+def dependency_tree(edges: DataFrame, title: str = "Dependencies", limit: int = 5000) -> list[str]:
+    """The first ``limit`` dependencies by source, and how many there are."""
+    total = edges.count()
+    rows = _rows(edges.select("src", "dst"), "src", "dst", limit=limit)
+    if total > limit:
+        title = f"{title} (first {limit} of {total})"
     out, at = [title, "-" * len(title)], None
     for r in rows:
         if r["src"] != at:

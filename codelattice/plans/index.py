@@ -12,6 +12,7 @@ from ..operators.durable import durable
 from ..options import Architecture, Complexity, DeadCode, Evolution, HotPath, Knowledge, Layout, Resolution, Risk
 from ..sinks import export as sink
 from ..sources import extract, files as sources, gitlog
+from ..streaming import refresh
 
 
 @dataclass
@@ -42,13 +43,25 @@ class CodeIndex:
     def assemble(cls, symbols, calls, types, files, resolution=Resolution(), root=None) -> CodeIndex:
         symbols = durable(symbols)
         sites = durable(resolve.call_sites(calls))
-        cands = durable(resolve.candidates(symbols, sites, types))
-        chosen = durable(resolve.targets(cands, resolution))
+        # All candidates are only needed, and only then computed, to merge outside sources.
+        cands = resolve.candidates(symbols, sites, types)
+        chosen = durable(resolve.targets(resolve.likely_candidates(symbols, sites, types, resolution), resolution))
         return cls(symbols, sites, types, cands, chosen, durable(resolve.resolved_edges(symbols, chosen)), files, resolution, root)
 
     def refresh(self, spark: SparkSession) -> CodeIndex:
         return CodeIndex.build(spark, self.root, None if self.root else self.files, self.resolution)
 
+    def watch(self, spark: SparkSession, checkpoint: str, done, every: str = "10 seconds"):
+        """Build anew whenever files below the root are new, edited or gone; ``done(index)`` gets each index."""
+        held = {"files": self.files}
+
+        def rebuild(fresh, gone, turn):
+            base = held["files"] if turn else fresh.select("relpath", "lang", "content").limit(0)
+            held["files"] = durable(refresh.changed(base, fresh, gone))
+            done(replace(CodeIndex.build(spark, files=held["files"], resolution=self.resolution), root=self.root))
+
+        return refresh.watch(spark, self.root, rebuild, checkpoint, every)
+
     def merge_external(self, external: DataFrame) -> CodeIndex | None:
         """With an outside call source (src, name, path) merged in; None if nothing matched."""
         outside = resolve.external_candidates(self.symbols, external)
@@ -104,6 +117,11 @@ class CodeIndex:
     def package_graph(self) -> DataFrame:
         return self.module_graph("package")
 
+    def call_hierarchy(self, calls: DataFrame, root, depth: int = 2, direction: str = "outgoing", inside=None, include_external: bool = False):
+        """nodes, edges of an outside call source's answers (src, dst, src_path, dst_path) around a root."""
+        nodes, edges = traverse.call_hierarchy(calls, root, depth, direction, inside, include_external)
+        return durable(nodes), durable(edges)
+
     def import_graph(self, direction: str = "outgoing") -> DataFrame:
         return graphs.oriented(imports.graph(self.files), direction)
 
@@ -148,11 +166,18 @@ class CodeIndex:
             raise ValueError("history is required")
         return reports.evolution(self.symbols, self.edges, *self.history, options)
 
-    def risk_map(self, options: Risk = Risk(), baseline: DataFrame | None = None) -> dict[str, DataFrame]:
+    def risk_map(self, options: Risk = Risk(), baseline: DataFrame | str | None = None) -> dict[str, DataFrame]:
         scores = durable(reports.risk_scores(self.symbols, self.edges, self._churn(options.churn_limit, options.churn_since), options))
         top = durable(reports.risk_map(scores, options))
         bad = reports.architecture(self.symbols, self.edges, options.architecture)["violations"]
         out = {"risk_hotspots": top, "modules": reports.group_risk(scores, "module"), "packages": reports.group_risk(scores, "package"), "severities": reports.severity_counts(top), "suggestions": reports.risk_suggestions(bad, top, options)}
+        if isinstance(baseline, str):
+            # A snapshot that cannot be read is reported beside the map, it does not stop it.
+            try:
+                baseline = durable(sources.baseline(self.symbols.sparkSession, baseline))
+            except Exception as e:
+                out["trend_error"] = self.symbols.sparkSession.createDataFrame([(str(e).splitlines()[0],)], "error string")
+                return out
         if baseline is not None:
             out["trend"] = reports.risk_trend(top.select("rank", "symbol_id", "score"), baseline)
         return out

@@ -65,6 +65,8 @@ FROM merged_rows GROUP BY src, call_ord, call_name, raw, kind, receiver, cand_id
     "root_out": "SELECT src AS root FROM {edges} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1",
     "root_in": "SELECT dst AS root FROM fx_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1",
     "walk": "SELECT root AS id, 0 AS depth FROM root_out UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.id WHERE w.depth < {depth}",
+    "inner_edges": "SELECT e.src, e.dst FROM fx_edges e JOIN fx_symbols s ON s.symbol_id = e.dst WHERE starts_with(s.relpath, 'ui/') OR starts_with(s.relpath, 'service/')",
+    "wander": "SELECT root AS id, 0 AS depth FROM root_out UNION SELECT e.dst, w.depth + 1 FROM wander w JOIN inner_edges e ON e.src = w.id WHERE w.depth < 3",
     "nodes": "SELECT id AS symbol_id, min(depth) AS depth FROM walk GROUP BY id",
     "multi": "SELECT e.src, e.dst, w.n AS multiplicity FROM {edges} e JOIN (SELECT id, count(*) AS n FROM walk WHERE depth < {depth} GROUP BY id) w ON w.id = e.src",
     "notes": """SELECT t.src, t.cand_id AS dst, count(*) AS n_calls, string_agg(t.call_name, ',' ORDER BY t.call_ord) AS calls
@@ -145,7 +147,7 @@ UNION ALL SELECT 'defines_type', concat('file:', relpath), concat('type:', relpa
 UNION ALL SELECT 'belongs_to_type', concat('fn:', symbol_id), concat('type:', relpath, ':', container) FROM fx_symbols WHERE container IS NOT NULL
 UNION ALL SELECT 'test_covers', concat('test:', symbol_id), concat('fn:', symbol_id) FROM fx_symbols WHERE is_test
 UNION ALL SELECT CASE WHEN s.is_test THEN 'tests' ELSE 'calls' END, concat('fn:', e.src), concat('fn:', e.dst) FROM res_edges e JOIN fx_symbols s ON s.symbol_id = e.src
-UNION ALL SELECT 'calls_external', concat('fn:', src), concat('fn_external:', cand_path, ':', cand_name) FROM merged WHERE cand_id IS NULL
+UNION ALL SELECT DISTINCT 'calls_external', concat('fn:', src), concat('fn_external:', cand_path, ':', cand_name) FROM merged WHERE cand_id IS NULL
 UNION ALL SELECT 'imports', concat('file:', src), concat('file:', dst) FROM imp""",
     "kg_node_rows": """SELECT concat('fn:', symbol_id) AS id, 'function' AS type, name AS label, relpath, module_id, package_id, CAST(NULL AS BOOLEAN) AS external FROM fx_symbols
 UNION SELECT concat('file:', relpath), 'file', relpath, relpath, NULL, NULL, NULL FROM fx_symbols
@@ -167,6 +169,15 @@ KG = [*MERGE, "lookup", "tok", "tok_files", "imp", "kg_records", "kg_node_rows"]
 _SEV = "CASE WHEN {0} >= 70 THEN 'critical' WHEN {0} >= 45 THEN 'high' WHEN {0} >= 25 THEN 'medium' ELSE 'low' END"
 
 
+_BY = "SELECT row_number() OVER (ORDER BY round(a, 9) DESC, round(t, 9) DESC, id) AS rank, id, round(t, 6) AS score, count, round(a, 6) AS avg_score FROM (SELECT {} AS id, sum(score) AS t, count(*) AS count, avg(score) AS a FROM risk GROUP BY id) q"
+#: Queries through the facade, and the queries whose results they must have.
+SAME = {
+    "api_build": "extract_functions", "api_run": "resolved_call_edges", "api_project_graph": "edge_annotations", "api_module_graph": "module_edges", "api_package_graph": "package_edges",
+    "api_import_graph": "import_edges", "api_dead_code": "dead_code", "api_impact": "impact_transitive", "api_hot_path": "hot_path_report", "api_complexity": "complexity_report",
+    "api_architecture": "arch_violations", "api_evolution": "evolution_totals", "api_risk_map": "risk_map", "api_viewer": "viewer_query",
+}
+
+
 def _sql(parts: list[str], select: str, **values) -> str:
     values = {"edges": "fx_edges", "cands": "cands", "depth": 2, "commits": 60} | values
     tables = "".join(f",\n{p} AS ({PARTS[p].format(**values) if '{' in PARTS[p] else PARTS[p]})" for p in parts)
@@ -184,7 +195,7 @@ def build() -> dict[str, str]:
     PARTS["alive_fn"] = reached.replace("alive", "alive_fn").replace("kept", "kept_fn")
     PARTS["alive_view"] = reached.replace("alive", "alive_view").replace("kept", "kept_view")
     around = ["root_out", "walk", "nodes", "multi"]
-    return {
+    out = {
         "module_package_ids": _sql([], "SELECT symbol_id, module_id, package_id FROM fx_symbols"),
         "test_symbol_flags": _sql([], "SELECT symbol_id, is_test FROM fx_symbols"),
         "entrypoint_flags": _sql([], "SELECT symbol_id, lower(short_name) IN ('main', 'init', 'setup', 'run', 'm.run') AS is_entrypoint, concat(sr + 1, ':', sc + 1, '-', er + 1, ':', ec) AS range_label, label, 'lua' AS lang FROM fx_symbols"),
@@ -198,7 +209,7 @@ def build() -> dict[str, str]:
   JOIN fx_symbols d ON d.relpath = s.relpath AND (d.name = c.call_name OR d.short_name = c.call_name) GROUP BY ALL) q"""),
         "degree_hotspots": _sql(["deg"], "SELECT row_number() OVER (ORDER BY score DESC, symbol_id) AS rank, * FROM (SELECT symbol_id, in_degree, out_degree, round(in_degree * 2.2::DOUBLE + out_degree * 1.6::DOUBLE + least(in_degree, out_degree) * 2.4::DOUBLE, 6) AS score FROM deg) q ORDER BY score DESC, symbol_id LIMIT 10"),
         "reverse_edges": _sql([], "SELECT dst AS src, src AS dst FROM fx_edges"),
-        "dead_code": _sql([], "SELECT symbol_id, relpath, name FROM fx_symbols WHERE NOT is_test AND NOT is_entry AND symbol_id NOT IN (SELECT dst FROM fx_edges)"),
+        "dead_code": _sql([], "SELECT row_number() OVER (ORDER BY relpath, name, symbol_id) AS rank, symbol_id, relpath, name FROM fx_symbols WHERE NOT is_test AND NOT is_entry AND symbol_id NOT IN (SELECT dst FROM fx_edges)"),
         "module_edges": _sql(["mod_edges"], "SELECT src, dst FROM mod_edges"),
         "package_edges": _sql([], "SELECT DISTINCT a.package_id AS src, b.package_id AS dst FROM fx_edges e JOIN fx_symbols a ON a.symbol_id = e.src JOIN fx_symbols b ON b.symbol_id = e.dst"),
         "module_edge_summary": _sql(["mod_edges"], """SELECT s.module_id, arg_min(s.symbol_id, s.sym_ord) AS target, count(*) AS symbols, coalesce(any_value(o.n), 0) AS n_out, coalesce(any_value(i.n), 0) AS n_in
@@ -218,15 +229,16 @@ FROM fx_symbols s LEFT JOIN (SELECT src, count(*) AS n FROM mod_edges GROUP BY s
         "dep_subgraph": _sql(["mod_edges", *around], "SELECT m.src, m.dst, m.multiplicity, n.depth AS src_depth FROM multi m JOIN nodes n ON n.symbol_id = m.src", edges="mod_edges"),
         "filtered_subgraph": _sql([*around, "keep_fn", "kept_fn", "alive_fn"], "SELECT src, dst, multiplicity FROM kept_fn WHERE src IN (SELECT id FROM alive_fn)", depth=3),
         "dynamic_only_subgraph": _sql([*RESOLVE, *around, "notes"], "SELECT m.src, m.dst, m.multiplicity FROM multi m JOIN notes n ON n.src = m.src AND n.dst = m.dst", edges="res_edges"),
+        "call_hierarchy": _sql(["root_out", "inner_edges", "wander"], "SELECT e.src, e.dst, w.depth AS src_depth FROM inner_edges e JOIN (SELECT id, min(depth) AS depth FROM wander GROUP BY id) w ON w.id = e.src WHERE w.depth < 3"),
         "viewer_query": _sql([*around, "keep_view", "kept_view", "alive_view"], "SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM alive_view) AS hidden_nodes", depth=4),
         "impact_transitive": _sql(["root_in", "up", "callers"], "SELECT symbol_id, depth FROM callers"),
-        "impact_direct": _sql(["root_in", "up", "callers"], "SELECT symbol_id, s.name, s.relpath FROM callers c JOIN fx_symbols s USING (symbol_id) WHERE c.depth = 1"),
+        "impact_direct": _sql(["root_in", "up", "callers"], "SELECT row_number() OVER (ORDER BY s.name, s.relpath, symbol_id) AS rank, symbol_id, s.name, s.relpath FROM callers c JOIN fx_symbols s USING (symbol_id) WHERE c.depth = 1"),
         "impact_modules": _sql(["root_in", "up", "callers"], "SELECT s.module_id, s.package_id, count(*) AS symbols FROM callers c JOIN fx_symbols s USING (symbol_id) GROUP BY ALL"),
-        "impact_tests": _sql(["root_in", "up", "callers"], "SELECT symbol_id, s.name FROM callers c JOIN fx_symbols s USING (symbol_id) WHERE s.is_test"),
+        "impact_tests": _sql(["root_in", "up", "callers"], "SELECT row_number() OVER (ORDER BY name, relpath, symbol_id) AS rank, * FROM (SELECT symbol_id, s.name, replace(s.relpath, 'm3.lua', 'm3_test.lua') AS relpath FROM callers c JOIN fx_symbols s USING (symbol_id) WHERE s.is_test OR ends_with(s.relpath, 'm3.lua')) q"),
         "reach_counts": _sql(["ahead", "back", "reach"], "SELECT symbol_id, out_reach, in_reach FROM reach"),
         "file_churn": _sql(["recent", "recent_files", "churn"], "SELECT path, churn, touches FROM churn"),
         "file_hotspots": _sql(["recent", "recent_files", "churn"], "SELECT path, churn, touches, row_number() OVER (ORDER BY churn DESC, touches DESC, path) AS rank FROM churn QUALIFY rank <= 10"),
-        "commit_timeline": _sql(["recent", "recent_files", "touched"], """SELECT c.hash, substr(CAST(c.hash AS VARCHAR), 1, 8) AS short_hash, c.date, coalesce(f.n, 0) AS files_count, coalesce(f.a, 0) AS insertions, coalesce(f.d, 0) AS deletions, coalesce(f.a, 0) + coalesce(f.d, 0) AS churn,
+        "commit_timeline": _sql(["recent", "recent_files", "touched"], """SELECT row_number() OVER (ORDER BY c.date, c.hash) AS rank, c.hash, substr(CAST(c.hash AS VARCHAR), 1, 8) AS short_hash, c.date, coalesce(f.n, 0) AS files_count, coalesce(f.a, 0) AS insertions, coalesce(f.d, 0) AS deletions, coalesce(f.a, 0) + coalesce(f.d, 0) AS churn,
   coalesce(t.n, 0) AS touched_symbols, coalesce(e.n, 0) AS touched_edges, f.paths AS changed_files FROM recent c
 LEFT JOIN (SELECT hash, count(*) AS n, CAST(sum(added) AS BIGINT) AS a, CAST(sum(deleted) AS BIGINT) AS d, string_agg(path, ',' ORDER BY path) AS paths FROM recent_files GROUP BY hash) f ON f.hash = c.hash
 LEFT JOIN (SELECT hash, count(*) AS n FROM touched GROUP BY hash) t ON t.hash = c.hash
@@ -237,6 +249,7 @@ JOIN fx_symbols s ON s.symbol_id = q.symbol_id QUALIFY rank <= 10""", commits=30
         "evolution_totals": _sql(["recent", "recent_files"], "SELECT (SELECT count(*) FROM recent) AS commits, CAST(sum(added) AS BIGINT) AS insertions, CAST(sum(deleted) AS BIGINT) AS deletions, CAST(sum(added) + sum(deleted) AS BIGINT) AS churn FROM recent_files", commits=30),
         "numstat_parse": _sql([], f"""SELECT CAST(c.hash AS VARCHAR) AS hash, c.date, CAST(c.author AS VARCHAR) AS author, concat('change ', c.hash) AS subject, coalesce(f.n, 0) AS files_count, coalesce(f.a, 0) AS insertions, coalesce(f.d, 0) AS deletions
 FROM fx_commits c LEFT JOIN (SELECT hash, count(*) AS n, CAST(sum(added) AS BIGINT) AS a, CAST(sum(deleted) AS BIGINT) AS d FROM fx_files GROUP BY hash) f ON f.hash = c.hash WHERE (SELECT count(*) FROM {log} l) > 0"""),
+        "numstat_files": _sql([], "SELECT CAST(f.hash AS VARCHAR) AS hash, f.path, f.added, f.deleted FROM fx_files f JOIN fx_commits c ON c.hash = f.hash"),
         "hot_path_report": _sql(HOT, "SELECT rank, symbol_id, label, round(score, 6) AS score, in_degree, out_degree, balance, reach, out_reach, in_reach, churn, concat('fan-in=', in_degree, ' fan-out=', out_degree, ' reach=', reach, ' balance=', balance, ' churn=', churn) AS rationale FROM hot_top"),
         "hot_paths": _sql([*HOT, "chain"], """SELECT w.root, w.pos - 1 AS pos, w.symbol_id, round(h.score, 6) AS score, round(w.bottleneck, 6) AS bottleneck FROM (
   SELECT r.root, r.pos, r.symbol_id, min(coalesce(h.score, 0)) OVER (PARTITION BY r.root) AS bottleneck FROM (
@@ -245,7 +258,8 @@ FROM fx_commits c LEFT JOIN (SELECT hash, count(*) AS n, CAST(sum(added) AS BIGI
         "scc_stats": _sql(CX[1:6], """SELECT t.rank, t.scc_id, t.size, t.edge_count, round(t.density, 6) AS density, t.has_cycle, p.preview FROM (SELECT *, row_number() OVER (ORDER BY size DESC, density DESC, scc_id) AS rank FROM comps QUALIFY rank <= 10) t
 JOIN (SELECT scc_id, string_agg(name, ', ' ORDER BY symbol_id) AS preview FROM (SELECT c.scc_id, s.symbol_id, s.name, row_number() OVER (PARTITION BY c.scc_id ORDER BY s.symbol_id) AS n FROM comp c JOIN fx_symbols s USING (symbol_id)) q WHERE n <= 4 GROUP BY scc_id) p ON p.scc_id = t.scc_id"""),
         "complexity_report": _sql(CX, "SELECT rank, symbol_id, round(score, 6) AS score, severity, in_degree, out_degree, bridge, scc_size, in_cycle FROM cx_top"),
-        "module_clusters": _sql(["calm", "calm_edges", "clusters"], "SELECT module_id, symbols, edges, round(density, 6) AS density FROM clusters"),
+        "module_clusters": _sql(["calm", "calm_edges", "clusters"], "SELECT row_number() OVER (ORDER BY density DESC, symbols DESC, module_id) AS rank, module_id, symbols, edges, round(density, 6) AS density FROM clusters"),
+        "complexity_severity_counts": _sql(CX, "SELECT s.severity, count(b.severity) AS count FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) LEFT JOIN cx_top b ON b.severity = s.severity GROUP BY s.severity"),
         "structural_score": _sql([*CX, "clusters", "structure"], f"SELECT round(average, 6) AS average, cyclic_sccs, largest_cycle, round(max_density, 6) AS max_density, round(structural_score, 6) AS structural_score, {_SEV.format('structural_score')} AS severity FROM structure"),
         "complexity_suggestions": _sql([*CX, "clusters", "structure"], """SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS ord, suggestion FROM (
   SELECT 1 AS k, CASE WHEN largest_cycle >= 6 THEN printf('Cycle of %d symbols: extract boundaries to break it.', largest_cycle) ELSE 'Small cycles exist: untangle their entry points first.' END AS suggestion FROM structure WHERE cyclic_sccs > 0
@@ -254,11 +268,12 @@ JOIN (SELECT scc_id, string_agg(name, ', ' ORDER BY symbol_id) AS preview FROM (
         "layer_domain": _sql(["placed_all"], "SELECT symbol_id, layer, domain FROM placed_all"),
         "arch_groups": _sql(ARCH[:2], "SELECT group_id, layer, domain, count(*) AS symbol_count, arg_min(symbol_id, sym_ord) AS target FROM placed GROUP BY ALL"),
         "arch_edges": _sql(ARCH[:3], "SELECT source_group, target_group, count(*) AS count, string_agg(CASE WHEN n <= 3 THEN concat(src, '>', dst) END, ',' ORDER BY src, dst) AS examples FROM group_pairs GROUP BY source_group, target_group"),
-        "arch_violations": _sql(ARCH, "SELECT source_group, target_group, source_layer, target_layer, count, severity_score, severity FROM bad"),
+        "arch_violations": _sql(ARCH, "SELECT row_number() OVER (ORDER BY severity_score DESC, count DESC, source_group, target_group) AS rank, source_group, target_group, source_layer, target_layer, count, severity_score, severity FROM bad"),
         "arch_severity_counts": _sql(ARCH, "SELECT s.severity, count(b.severity) AS count FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) LEFT JOIN bad b ON b.severity = s.severity GROUP BY s.severity"),
         "risk_map": _sql(RISK, "SELECT rank, symbol_id, round(score, 6) AS score, severity, round(hot_score, 6) AS hot_score, round(complexity_score, 6) AS complexity_score, architecture_hits, churn FROM risk_top"),
-        "module_risk": _sql(RISK[:-1], "SELECT module_id AS id, round(sum(score), 6) AS score, count(*) AS count, round(avg(score), 6) AS avg_score FROM risk GROUP BY module_id"),
-        "package_risk": _sql(RISK[:-1], "SELECT package_id AS id, round(sum(score), 6) AS score, count(*) AS count, round(avg(score), 6) AS avg_score FROM risk GROUP BY package_id"),
+        "module_risk": _sql(RISK[:-1], _BY.format("module_id")),
+        "package_risk": _sql(RISK[:-1], _BY.format("package_id")),
+        "risk_severity_counts": _sql(RISK, "SELECT s.severity, count(b.severity) AS count FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) LEFT JOIN risk_top b ON b.severity = s.severity GROUP BY s.severity"),
         "risk_trend": _sql(RISK, """SELECT round(n.avg - o.avg, 6) AS avg_top_score_delta, round(n.top - o.top, 6) AS top1_score_delta, o.n AS top_overlap_count, round(o.n / n.n::DOUBLE, 6) AS top_overlap_ratio
 FROM (SELECT avg(score) AS avg, max(score) AS top, count(*) AS n FROM risk_top) n, (SELECT coalesce(avg(score * 0.9::DOUBLE), 0) AS avg, coalesce(max(score * 0.9::DOUBLE), 0) AS top, count(*) AS n FROM risk_top WHERE symbol_id % 2 = 0) o"""),
         "risk_suggestions": _sql(RISK, """SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS ord, suggestion FROM (
@@ -267,13 +282,15 @@ FROM (SELECT avg(score) AS avg, max(score) AS top, count(*) AS n FROM risk_top)
   UNION ALL SELECT 3, printf('%d top hotspot(s) take part in violations: clean boundaries first.', n) FROM (SELECT count(*) AS n FROM risk_top WHERE architecture_hits > 0) v WHERE n > 0) q"""),
         "kg_nodes": _sql(KG, "SELECT id, type, label, relpath, module_id, package_id, external FROM kg_node_rows", cands="merged"),
         "kg_edges": _sql(KG, """SELECT DISTINCT r.type, r.source, r.target,
-  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.source_backend, 'index') WHEN r.type = 'imports' THEN 'index' END AS source_backend,
-  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.confidence, 'unknown') WHEN r.type = 'imports' THEN 'high' END AS confidence,
-  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS dynamic, CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS polymorphic, l.call
-FROM kg_records r LEFT JOIN lookup l ON r.type IN ('calls', 'tests') AND r.source = concat('fn:', l.src) AND r.target = concat('fn:', l.dst) WHERE r.type <> 'calls_external'""", cands="merged"),
+  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.source_backend, 'index') WHEN r.type = 'imports' THEN 'index' ELSE o.source END AS source_backend,
+  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.confidence, 'unknown') WHEN r.type = 'imports' THEN 'high' ELSE o.confidence END AS confidence,
+  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS dynamic, CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS polymorphic, coalesce(l.call, o.call) AS call, CASE WHEN r.type = 'calls_external' THEN TRUE END AS external
+FROM kg_records r LEFT JOIN lookup l ON r.type IN ('calls', 'tests') AND r.source = concat('fn:', l.src) AND r.target = concat('fn:', l.dst)
+LEFT JOIN (SELECT src, cand_path, cand_name, arg_min(source, call_ord) AS source, arg_min(confidence, call_ord) AS confidence, arg_min(call_name, call_ord) AS call FROM merged WHERE cand_id IS NULL GROUP BY ALL) o
+  ON r.type = 'calls_external' AND r.source = concat('fn:', o.src) AND r.target = concat('fn_external:', o.cand_path, ':', o.cand_name)""", cands="merged"),
         "kg_edge_type_counts": _sql(KG, "SELECT type, count(*) AS attempts, count(DISTINCT concat(source, '|', target)) AS n FROM kg_records GROUP BY type", cands="merged"),
         "kg_counts": _sql(KG, "SELECT concat(type, '_nodes') AS name, count(*) AS n FROM kg_node_rows GROUP BY type UNION ALL SELECT 'total_nodes', count(*) FROM kg_node_rows UNION ALL SELECT 'total_edges', count(*) FROM (SELECT DISTINCT type, source, target FROM kg_records) q", cands="merged"),
-        "kg_validation": _sql(KG, "SELECT 'dangling_source' AS problem, source AS id FROM (SELECT DISTINCT type, source, target FROM kg_records) q WHERE type = 'contains_module' UNION ALL SELECT 'dangling_target', target FROM (SELECT DISTINCT type, source, target FROM kg_records) q WHERE type = 'belongs_to_package'", cands="merged"),
+        "kg_validation": _sql(KG, "SELECT 'unsupported_schema_version' AS problem, 'knowledge_graph.v0' AS id UNION ALL SELECT 'dangling_source' AS problem, source AS id FROM (SELECT DISTINCT type, source, target FROM kg_records) q WHERE type = 'contains_module' UNION ALL SELECT 'dangling_target', target FROM (SELECT DISTINCT type, source, target FROM kg_records) q WHERE type = 'belongs_to_package'", cands="merged"),
         "import_tokens": _sql(["tok"], "SELECT relpath, token FROM tok"),
         "import_edges": _sql(["tok", "tok_files", "imp"], "SELECT src, dst FROM imp"),
         "import_reverse": _sql(["tok", "tok_files", "imp"], "SELECT dst AS file, count(*) AS importers FROM imp GROUP BY dst"),
@@ -286,3 +303,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY relpath ORDER BY sym_ord) AS n F
   UNION ALL SELECT 3, x.n, y.n, k.k, concat('  n', x.n, ' --> n', y.n) FROM multi m JOIN (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) x ON x.symbol_id = m.src JOIN (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) y ON y.symbol_id = m.dst, LATERAL (SELECT unnest(generate_series(1, m.multiplicity)) AS k) k) q"""),
         "layout_hierarchical": _sql(around, "SELECT symbol_id, depth, CAST(i AS INTEGER) AS layer_index, CAST(depth * 220 AS DOUBLE) AS x, CAST((i - 1) * 90 - (n - 1) * 45 AS DOUBLE) AS y FROM (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY symbol_id) AS i, count(*) OVER (PARTITION BY depth) AS n FROM nodes) q", depth=3),
     }
+    return out | {name: out[same] for name, same in SAME.items()}

@@ -13,6 +13,7 @@ from ..options import Architecture, Layout, Risk
 from ..sinks import export
 from ..sources import extract, gitlog
 from . import documents
+from .index import CodeIndex
 
 QUERIES = {}
 
@@ -84,7 +85,9 @@ def reverse_edges(x):
 
 @query
 def dead_code(x):
-    return graphs.dead_code(x.symbols, x.edges).select("symbol_id", "relpath", "name")
+    """In the order of the report: as it is written out, so it is numbered."""
+    dead = graphs.dead_code(x.symbols, x.edges).select("symbol_id", "relpath", "name")
+    return reports.ranked(dead, list(reports.DEAD_ORDER))
 
 
 @query
@@ -110,10 +113,16 @@ def module_edge_summary(x):
 
 
 def _cands(x):
+    """All candidates: outside sources are merged with these."""
     sites = resolve.call_sites(x.calls)
     return sites, resolve.candidates(x.symbols, sites, x.receiver_types)
 
 
+def _chosen(x):
+    sites = durable(resolve.call_sites(x.calls))
+    return sites, resolve.targets(resolve.likely_candidates(durable(x.symbols), sites, x.receiver_types))
+
+
 @query
 def resolve_candidates(x):
     return _cands(x)[1].select("src", "call_ord", "cand_id", "score", "confidence", F.array_join("reasons", ",").alias("reasons"))
@@ -121,12 +130,11 @@ def resolve_candidates(x):
 
 @query
 def resolve_targets(x):
-    return resolve.targets(_cands(x)[1]).select("src", "call_ord", "target_ord", "cand_id", "score", "confidence")
+    return _chosen(x)[1].select("src", "call_ord", "target_ord", "cand_id", "score", "confidence")
 
 
 def _resolved(x):
-    sites, cands = _cands(x)
-    chosen = resolve.targets(cands)
+    sites, chosen = _chosen(x)
     return sites, chosen, resolve.resolutions(sites, chosen)
 
 
@@ -215,6 +223,15 @@ def dynamic_only_subgraph(x):
     return traverse.dynamic_only(nodes, inner, traverse.edge_annotations(nodes, chosen), root)[1]
 
 
+@query
+def call_hierarchy(x):
+    """An outside call source of which only two folders count."""
+    paths = x.symbols.select(F.col("symbol_id").alias("dst"), F.col("relpath").alias("dst_path"))
+    calls = durable(x.edges.join(paths, "dst"))
+    nodes, edges = traverse.call_hierarchy(calls, busiest(calls, "src"), 3, inside=lambda p: p.startswith("ui/") | p.startswith("service/"))
+    return edges.join(nodes.select(F.col("id").alias("src"), F.col("depth").alias("src_depth")), "src")
+
+
 @query
 def viewer_query(x):
     symbols, edges = x.symbols, durable(x.edges)
@@ -234,7 +251,7 @@ def impact_transitive(x):
 
 @query
 def impact_direct(x):
-    return _impact(x).filter("direct").select("symbol_id", "name", "relpath")
+    return reports.ranked(_impact(x).filter("direct").select("symbol_id", "name", "relpath"), list(reports.LABEL_ORDER))
 
 
 @query
@@ -244,7 +261,11 @@ def impact_modules(x):
 
 @query
 def impact_tests(x):
-    return _impact(x).filter("is_test").select("symbol_id", "name")
+    """Callers that are tests, where every third module is a test file."""
+    edges = durable(x.edges)
+    marked = x.symbols.withColumn("relpath", F.regexp_replace("relpath", r"m3\.lua$", "m3_test.lua"))
+    tests = reports.impact(marked, edges, busiest(edges, "dst")).filter("is_test").select("symbol_id", "name", "relpath")
+    return reports.ranked(tests, list(reports.LABEL_ORDER))
 
 
 @query
@@ -271,8 +292,8 @@ def file_hotspots(x):
 
 @query
 def commit_timeline(x):
-    t = reports.commit_timeline(x.symbols, x.edges, *_recent(x, 30))
-    return t.select("hash", "short_hash", "date", "files_count", "insertions", "deletions", "churn", "touched_symbols", "touched_edges", F.array_join("changed_files", ",").alias("changed_files"))
+    t = reports.ranked(reports.commit_timeline(x.symbols, x.edges, *_recent(x, 30)), list(reports.TIMELINE_ORDER))
+    return t.select("rank", "hash", "short_hash", "date", "files_count", "insertions", "deletions", "churn", "touched_symbols", "touched_edges", F.array_join("changed_files", ",").alias("changed_files"))
 
 
 @query
@@ -291,6 +312,11 @@ def numstat_parse(x):
     return commits.select("hash", "date", "author", "subject", "files_count", "insertions", "deletions")
 
 
+@query
+def numstat_files(x):
+    return gitlog.parse_log(x.log)[1].select("hash", "path", "added", "deleted")
+
+
 # Hot paths, complexity.
 
 
@@ -335,7 +361,13 @@ def complexity_report(x):
 
 @query
 def module_clusters(x):
-    return reports.module_clusters(x.symbols, x.edges).select("module_id", "symbols", "edges", _r("density"))
+    rows = reports.ranked(reports.module_clusters(x.symbols, x.edges), reports.cluster_order())
+    return rows.select("rank", "module_id", "symbols", "edges", _r("density"))
+
+
+@query
+def complexity_severity_counts(x):
+    return reports.severity_counts(reports.complexity(_complexity(x)[0]))
 
 
 def _structure(x):
@@ -376,8 +408,8 @@ def arch_edges(x):
 
 @query
 def arch_violations(x):
-    rows = reports.architecture(x.symbols, x.edges)["violations"]
-    return rows.select("source_group", "target_group", "source_layer", "target_layer", "count", "severity_score", "severity")
+    rows = reports.ranked(reports.architecture(x.symbols, x.edges)["violations"], reports.violation_order())
+    return rows.select("rank", "source_group", "target_group", "source_layer", "target_layer", "count", "severity_score", "severity")
 
 
 @query
@@ -397,14 +429,23 @@ def risk_map(x):
     return reports.risk_map(_risk(x)).select("rank", "symbol_id", _r("score"), "severity", _r("hot_score"), _r("complexity_score"), "architecture_hits", "churn")
 
 
+@query
+def risk_severity_counts(x):
+    return reports.severity_counts(reports.risk_map(_risk(x)))
+
+
+def _group_risk(x, level):
+    return reports.ranked(reports.group_risk(_risk(x), level), reports.group_risk_order()).select("rank", "id", _r("score"), "count", _r("avg_score"))
+
+
 @query
 def module_risk(x):
-    return reports.group_risk(_risk(x), "module").select("id", _r("score"), "count", _r("avg_score"))
+    return _group_risk(x, "module")
 
 
 @query
 def package_risk(x):
-    return reports.group_risk(_risk(x), "package").select("id", _r("score"), "count", _r("avg_score"))
+    return _group_risk(x, "package")
 
 
 @query
@@ -440,7 +481,7 @@ def kg_nodes(x):
 
 @query
 def kg_edges(x):
-    return _knowledge(x)[1].filter("type != 'calls_external'").select("type", "source", "target", "source_backend", "confidence", "dynamic", "polymorphic", "call")
+    return _knowledge(x)[1].select("type", "source", "target", "source_backend", "confidence", "dynamic", "polymorphic", "call", "external")
 
 
 @query
@@ -456,8 +497,9 @@ def kg_counts(x):
 
 @query
 def kg_validation(x):
+    """Without its packages, and under another schema version."""
     nodes, edges, _ = _knowledge(x)
-    return knowledge.validate(nodes.filter("type != 'package'"), edges)
+    return knowledge.validate(nodes.filter("type != 'package'"), edges, "knowledge_graph.v0")
 
 
 @query
@@ -511,6 +553,95 @@ def extract_calls(x):
     return calls.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same results through the index facade.
+
+
+def _facade(x):
+    none = x.spark.createDataFrame([], "src bigint, call_ord int, cand_id bigint")
+    return CodeIndex(x.symbols, none, x.receiver_types, none, none, durable(x.edges), x.sources, history=(x.commits, x.files))
+
+
+@query
+def api_build(x):
+    """A table of files to symbols, built, saved as tables and built again."""
+    index = CodeIndex.build(x.spark, files=_written(x)).refresh(x.spark)
+    return index.symbols.select("relpath", "name", "short_name", "container", "symbol_kind", "sr", "sc", "er", "ec")
+
+
+@query
+def api_run(x):
+    """From symbols and calls to the edges of the project graph."""
+    return CodeIndex.assemble(x.symbols, x.calls, x.receiver_types, x.sources).edges.select("src", "dst", "edge_ord")
+
+
+@query
+def api_project_graph(x):
+    index = CodeIndex.assemble(x.symbols, x.calls, x.receiver_types, x.sources)
+    return index.call_graph(busiest(index.edges, "src"), 2)[2].select("src", "dst", "n_calls", F.array_join("calls", ",").alias("calls"))
+
+
+@query
+def api_module_graph(x):
+    return _facade(x).module_graph()
+
+
+@query
+def api_package_graph(x):
+    return _facade(x).package_graph()
+
+
+@query
+def api_import_graph(x):
+    return _facade(x).import_graph()
+
+
+@query
+def api_dead_code(x):
+    return reports.ranked(_facade(x).dead_code().select("symbol_id", "relpath", "name"), list(reports.DEAD_ORDER))
+
+
+@query
+def api_impact(x):
+    index = _facade(x)
+    return index.impact(busiest(index.edges, "dst"), 8).select("symbol_id", "depth")
+
+
+@query
+def api_hot_path(x):
+    hot, _ = _facade(x).hot_path()
+    return hot.select("rank", "symbol_id", "label", _r("score"), "in_degree", "out_degree", "balance", "reach", "out_reach", "in_reach", "churn", "rationale")
+
+
+@query
+def api_complexity(x):
+    c = _facade(x).complexity()["hotspots"]
+    return c.select("rank", "symbol_id", _r("score"), "severity", "in_degree", "out_degree", "bridge", "scc_size", "in_cycle")
+
+
+@query
+def api_architecture(x):
+    rows = reports.ranked(_facade(x).architecture()["violations"], reports.violation_order())
+    return rows.select("rank", "source_group", "target_group", "source_layer", "target_layer", "count", "severity_score", "severity")
+
+
+@query
+def api_evolution(x):
+    return _facade(x).evolution()["totals"]
+
+
+@query
+def api_risk_map(x):
+    top = _facade(x).risk_map()["risk_hotspots"]
+    return top.select("rank", "symbol_id", _r("score"), "severity", _r("hot_score"), _r("complexity_score"), "architecture_hits", "churn")
+
+
+@query
+def api_viewer(x):
+    index = _facade(x)
+    session = index.view(busiest(index.edges, "src"), depth=4, search="brand", kind="function")
+    return session.query(index.symbols, index.edges)[2]
+
+
 # Drawings and documents, as lines.
 
 

@@ -106,8 +106,15 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
 
 
-def write_report(tables: dict[str, DataFrame], path: str, kind: str = "json", pretty: bool = False, **meta) -> None:
-    """A report's tables (small: top lists and totals) as one JSON document."""
+def write_report(tables: dict[str, DataFrame], path: str, kind: str = "json", pretty: bool = False, limit: int = 100_000, **meta) -> None:
+    """A report's tables as one JSON document.
+
+    Top lists and totals are small; a table of more than ``limit`` rows is
+    refused, as a document is no place for it (``CodeIndex.save`` is).
+    """
+    large = [name for name, df in tables.items() if df.limit(limit + 1).count() > limit]
+    if large:
+        raise ValueError(f"too many rows for a document: {', '.join(large)}")
     if kind not in ("json", "jsonl"):
         raise ValueError(f"unsupported format: {kind}")
     out = {**meta, **{name: [r.asDict(recursive=True) for r in df.collect()] for name, df in tables.items()}}

@@ -133,37 +133,41 @@ def _script(text: str) -> list[Function]:
     return out
 
 
+SCRIPT_IDENT = r"[A-Za-z_][A-Za-z0-9_$]*"
 #: Line patterns of the fallback for scripts that yield no function.
-FALLBACK = [re.compile(p) for p in (
-    rf"^\s*export\s+default\s+async\s+function\s+({IDENT})", rf"^\s*export\s+default\s+function\s+({IDENT})", rf"^\s*export\s+async\s+function\s+({IDENT})",
-    rf"^\s*export\s+function\s+({IDENT})", rf"^\s*async\s+function\s+({IDENT})", rf"^\s*function\s+({IDENT})",
-    rf"^\s*export\s+(?:const|let|var)\s+({IDENT})\s*=.*=>", rf"^\s*(?:const|let|var)\s+({IDENT})\s*=.*=>",
+FALLBACK = [re.compile(rf"^\s*{head}\s*\(") for head in (
+    rf"export\s+async\s+function\s+({SCRIPT_IDENT})", rf"export\s+function\s+({SCRIPT_IDENT})", rf"async\s+function\s+({SCRIPT_IDENT})", rf"function\s+({SCRIPT_IDENT})",
+    rf"export\s+const\s+({SCRIPT_IDENT})\s*=\s*async", rf"export\s+const\s+({SCRIPT_IDENT})\s*=", rf"const\s+({SCRIPT_IDENT})\s*=\s*async", rf"const\s+({SCRIPT_IDENT})\s*=",
+    rf"let\s+({SCRIPT_IDENT})\s*=\s*async", rf"let\s+({SCRIPT_IDENT})\s*=", rf"var\s+({SCRIPT_IDENT})\s*=\s*async", rf"var\s+({SCRIPT_IDENT})\s*=",
 )]
+#: Rows after a declaration's own in which its brace is looked for.
+FALLBACK_REACH = 81
 
 
-def fallback_range(lines: list[str], row: int, reach: int = 80) -> int:
-    """The last row of a declaration: its braces counted from the first within reach."""
-    for r in range(row, min(len(lines), row + reach)):
-        if "{" in lines[r]:
-            depth = 0
-            for q in range(r, len(lines)):
-                for c in lines[q][lines[q].index("{") :] if q == r else lines[q]:
-                    depth += (c == "{") - (c == "}")
-                    if not depth and c == "}":
-                        return q
-            return len(lines) - 1
-    return row
+def fallback_range(lines: list[str], row: int, column: int) -> tuple[int, int]:
+    """(row, column) of the brace that closes a declaration's first; its own line if it has none."""
+    first = next((r for r in range(row, min(len(lines), row + FALLBACK_REACH + 1)) if "{" in lines[r]), None)
+    if first is None:
+        return row, max(column + 1, len(lines[row]))
+    depth = 0
+    for r in range(first, len(lines)):
+        for at in range(lines[r].index("{") if r == first else 0, len(lines[r])):
+            depth += (lines[r][at] == "{") - (lines[r][at] == "}")
+            if not depth and lines[r][at] == "}":
+                return r, at + 1
+            depth = max(depth, 0)
+    return len(lines) - 1, len(lines[-1])
 
 
-def _fallback(text: str) -> list[tuple[str, int, int]]:
+def _fallback(text: str) -> list[tuple[str, int, int, int, int]]:
+    """(name, row, column, last row, last column) of each declaration; the column is the name's."""
     lines = text.split("\n")
     out = []
     for row, line in enumerate(lines):
-        for pattern in FALLBACK:
-            m = pattern.match(line)
-            if m:
-                out.append((m[1], row, fallback_range(lines, row)))
-                break
+        m = next((m for p in FALLBACK if (m := p.match(line))), None)
+        if m:
+            column = line.index(m[1])
+            out.append((m[1], row, column, *fallback_range(lines, row, column)))
     return out
 
 
@@ -225,41 +229,78 @@ def _chain_calls(text: str, masked: str, lang: str) -> list[tuple[str, int]]:
 def _spans(lang: str, text: str) -> tuple[list[Function], str]:
     masked = mask(text, lang)
     found = sorted(_SCAN[lang](masked), key=lambda f: (f.start, -f.end))
-    heads = {f.start for f in found}
     calls = _chain_calls(text, masked, lang)
+    at = [c[1] for c in calls]
+    # A method's own head looks like a call of its name.
+    heads = set()
     for f in found:
-        inside = [c for c in calls if f.start <= c[1] < f.end]
-        # A method's own head looks like a call of its name.
-        f.calls = [c for c in inside if not any(g.start <= c[1] <= masked.find("(", g.start) and c[0].split(".")[-1] == g.name.split(".")[-1].split(":")[-1] for g in found if g.start in heads and g.node_type in ("method_definition", "method_declaration", "function_declaration", "function_item"))]
+        if f.node_type in ("method_definition", "method_declaration", "function_declaration", "function_item"):
+            own = re.split("[.:]", f.name)[-1]
+            stop = bisect.bisect_right(at, masked.find("(", f.start))
+            heads.update(i for i in range(bisect.bisect_left(at, f.start), stop) if calls[i][0].split(".")[-1] == own)
+    for f in found:
+        f.calls = [calls[i] for i in range(bisect.bisect_left(at, f.start), bisect.bisect_left(at, f.end)) if i not in heads]
     return found, masked
 
 
 # Python.
 
 
+#: Lines of a file that are taken out in turn where the parser stops at them.
+BROKEN_LINES = 50
+
+
+def _parsed(text: str) -> ast.Module:
+    """The tree of a file; a line that cannot be parsed counts as ``pass``, and what no tree comes of as empty."""
+    lines = re.split(r"(?<=\n)", text)
+    for _ in range(BROKEN_LINES):
+        try:
+            return ast.parse("".join(lines))
+        except SyntaxError as e:
+            # A block that is missing is missed at its header.
+            header = re.search(r"expected an indented block after .* on line (\d+)", e.msg or "")
+            row = min(max(1, int(header[1]) if header else e.lineno or 1), len(lines)) - 1
+            while row >= 0 and not lines[row].strip():
+                row -= 1
+            if row < 0:
+                break
+            end = "\n" if lines[row].endswith("\n") else ""
+            # A line becomes a statement; where that is wrong too, nothing.
+            lines[row] = end if lines[row].strip() == "pass" else re.match(r"[ \t]*", lines[row])[0] + "pass" + end
+        except ValueError:
+            break
+    return ast.Module(body=[], type_ignores=[])
+
+
 def _python(text: str) -> list[tuple[Function, tuple[int, int, int, int]]]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return []
-    lines, out = text.split("\n"), []
+    tree, out = _parsed(text.replace("\r\n", " \n").replace("\r", " ")), []
+    lines = [line.encode() for line in text.replace("\r\n", " \n").replace("\r", " ").split("\n")]
 
     def segment(node) -> str:
-        return re.sub(r"\s+", " ", ast.get_source_segment(text, node) or "").strip()
+        a, z = node.lineno - 1, node.end_lineno - 1
+        if a == z:
+            raw = lines[a][node.col_offset : node.end_col_offset]
+        else:
+            raw = b"\n".join([lines[a][node.col_offset :], *lines[a + 1 : z], lines[z][: node.end_col_offset]])
+        return re.sub(r"\s+", " ", raw.decode("utf-8", "replace")).strip()
 
     def visit(node, box):
+        """Functions below ``node`` in order; returns the calls below it."""
+        calls = []
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 f = Function(child.name, "function_definition", 0, 0, box)
-                seen = sorted(((c.func.lineno, c.func.col_offset, segment(c.func)) for c in ast.walk(child) if isinstance(c, ast.Call)), key=lambda c: c[:2])
-                f.calls = [(s, row - 1) for row, _, s in seen]
                 out.append((f, (child.lineno - 1, child.col_offset, child.end_lineno - 1, child.end_col_offset)))
-                visit(child, box)
+                inside = visit(child, box)
+                f.calls = [(s, row - 1) for row, _, s in sorted(inside, key=lambda c: c[:2])]
             else:
-                visit(child, child.name if isinstance(child, ast.ClassDef) else box)
+                inside = visit(child, child.name if isinstance(child, ast.ClassDef) else box)
+            if isinstance(child, ast.Call):
+                calls.append((child.func.lineno, child.func.col_offset, segment(child.func)))
+            calls += inside
+        return calls
 
     visit(tree, None)
-    del lines
     return out
 
 
@@ -318,8 +359,8 @@ def extract(relpath: str, lang: str, text: str) -> list[dict]:
             span = (*at.point(f.start), *at.point(f.end))
             add(f, span, [(raw, at.point(p)[0]) for raw, p in f.calls], receiver_types(text[f.start : f.end], lang))
         if not found and lang in ("typescript", "javascript"):
-            for name, row, last in _fallback(text):
-                out.append({"symbol_id": f"{relpath}:{row + 1}:0:{name}", "name": name, "short_name": name, "container": None, "symbol_kind": "Function", "node_type": "fallback_function", "lang": lang, "path": relpath, "relpath": relpath, "sr": row, "sc": 0, "er": last, "ec": 0, "calls": [], "types": {}})
+            for name, row, column, last, end in _fallback(text):
+                out.append({"symbol_id": f"{relpath}:{row + 1}:{column}:{name}", "name": name, "short_name": name, "container": None, "symbol_kind": "Function", "node_type": "fallback_function", "lang": lang, "path": relpath, "relpath": relpath, "sr": row, "sc": column, "er": last, "ec": end, "calls": [], "types": {}})
     return out
 
 

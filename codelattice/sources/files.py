@@ -11,9 +11,9 @@ from ..functions import names
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, relpath, lang, content of all files below ``root`` in a known language.
 
-    Extensions are filtered before contents are read.
+    Extensions are filtered when files are listed, so no other file is opened.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names.GLOB).load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     base = root.removeprefix("file://").rstrip("/")
     found = raw.select(path.alias("path"), "content").withColumn("lang", names.language(F.col("path"))).filter("lang is not null")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: starts a commit's line in the log.
 MARK = "@@@"
+#: Line numbers that are read in order by one task.
+RANGE = 1 << 20
 #: Fixed value: hash, date, author, subject of a commit.
 FORMAT = f"{MARK}%H%x09%ad%x09%an%x09%s"
 
@@ -34,16 +36,22 @@ def read_log(spark: SparkSession, root: str, limit: int = 30, include_merges: bo
 def parse_log(lines: DataFrame, log_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """commits and files of log lines (line_no, line).
 
-    Lines of one log are numbered in order; ``log_id`` names a column that
-    tells logs apart, so that many logs are parsed in parallel. A count of
-    ``-`` (binary) is 0.
+    Lines of one log are numbered in order, gaps allowed; ``log_id`` names a
+    column that tells logs apart. A line belongs to the last header before it:
+    the last one of its own range of ``RANGE`` numbers, else of an earlier
+    range. So one log is parsed in parallel; what the ranges hand on is a row
+    for each. A count of ``-`` (binary) is 0.
     """
     key = [log_id] if log_id else []
-    order = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("line").startswith(MARK)
     body = F.split(F.substring("line", len(MARK) + 1, 1 << 30), "\t", 4)
     field = lambda i: F.try_element_at(body, F.lit(i))
-    marked = lines.withColumn("hash", F.last(F.when(head, field(1)), ignorenulls=True).over(order)).withColumn("head", head)
+    lines = lines.withColumn("head", head).withColumn("own", F.when(head, field(1))).withColumn("range", F.floor(F.col("line_no") / RANGE))
+    ends = lines.groupBy(*key, "range").agg(F.max_by("own", F.when(F.col("head"), F.col("line_no"))).alias("last"))
+    earlier = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, "range", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    order = Window.partitionBy(*key, "range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("hash", F.last("own", ignorenulls=True).over(order)).join(carried, [*key, "range"], "left").withColumn("hash", F.coalesce("hash", "carried")).drop("own", "carried", "range")
     cells = F.split("line", "\t", 3)
     number = lambda i: F.coalesce(F.try_element_at(cells, F.lit(i)).try_cast("bigint"), F.lit(0).cast("bigint"))
     files = marked.filter(~F.col("head") & (F.size(cells) == 3) & F.col("hash").isNotNull()).select(*key, "hash", F.element_at(cells, 3).alias("path"), number(1).alias("added"), number(2).alias("deleted"))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import names
 from codelattice.operators import graphs, resolve, scc, traverse
-from codelattice.options import Architecture, DeadCode, depth, to_bool
-from codelattice.sources import gitlog
+from codelattice.options import Architecture, DeadCode, Resolution, depth, to_bool
+from codelattice.plans import documents
+from codelattice.plans.index import CodeIndex
+from codelattice.sinks import export
+from codelattice.sources import extract, files, gitlog
 from codelattice.streaming import refresh
 
 
@@ -139,16 +143,145 @@ def test_options():
     assert to_bool("yes") and not to_bool("off", True) and to_bool("x", True) and depth("2.7") == 2 and depth(-3) == 0
 
 
-def test_watch(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "a.lua").write_text("x")
-    (tmp_path / "src" / "b.txt").write_text("y")
-    seen = []
-    refresh.watch(spark, str(tmp_path / "src"), lambda df, n: seen.extend(r["relpath"] for r in df.collect()), str(tmp_path / "cp"), once=True).awaitTermination(60)
-    assert seen == ["a.lua"]
-    old = spark.createDataFrame([("a.lua", "1"), ("c.lua", "2")], "relpath string, content string")
-    fresh = spark.createDataFrame([("a.lua", "9")], "relpath string, content string")
-    assert {tuple(r) for r in refresh.changed(old, fresh).collect()} == {("a.lua", "9"), ("c.lua", "2")}
+def test_poll_sees_new_edited_and_removed_files(spark, tmp_path):
+    src, state, seen = tmp_path / "src", str(tmp_path / "state"), []
+    src.mkdir()
+    look = lambda: refresh.poll(spark, str(src), state, lambda df, gone, n: seen.append((n, sorted((r["relpath"], r["content"]) for r in df.collect()), sorted(r[0] for r in gone.collect()))))
+    (src / "a.lua").write_text("x")
+    (src / "b.txt").write_text("y")
+    assert look() and not look() and seen == [(0, [("a.lua", "x")], [])]
+    (src / "a.lua").write_text("edited")
+    (src / "c.py").write_text("z")
+    assert look() and seen[-1] == (1, [("a.lua", "edited"), ("c.py", "z")], [])
+    (src / "c.py").unlink()
+    assert look() and seen[-1] == (2, [], ["c.py"]) and not look()
+    old = spark.createDataFrame([("a.lua", "1"), ("c.lua", "2"), ("d.lua", "3")], "relpath string, content string")
+    fresh, gone = spark.createDataFrame([("a.lua", "9")], "relpath string, content string"), spark.createDataFrame([("d.lua",)], "relpath string")
+    assert {tuple(r) for r in refresh.changed(old, fresh, gone).collect()} == {("a.lua", "9"), ("c.lua", "2")}
+
+
+def test_watch_rebuilds_the_index_when_a_file_is_edited(spark, tmp_path):
+    src, names_seen = tmp_path / "src", []
+    src.mkdir()
+    (src / "a.lua").write_text("function one() end\n")
+    index = CodeIndex.build(spark, str(src))
+    query = index.watch(spark, str(tmp_path / "cp"), lambda i: names_seen.append(sorted(r["name"] for r in i.symbols.collect())), every="1 second")
+    try:
+        for text, want in (("function one() end\n", ["one"]), ("function one() end\nfunction two() end\n", ["one", "two"])):
+            (src / "a.lua").write_text(text)
+            until = time.time() + 60
+            while want not in names_seen and time.time() < until and query.isActive:
+                time.sleep(0.5)
+            assert want in names_seen, query.exception()
+    finally:
+        query.stop()
+
+
+def test_scan_opens_no_other_files(spark, tmp_path):
+    (tmp_path / "a.lua").write_text("x")
+    (tmp_path / "big.bin").write_bytes(b"0" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert [r["relpath"] for r in files.scan(spark, str(tmp_path)).collect()] == ["a.lua"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_likely_candidates_select_as_all_candidates_do(spark, seed):
+    """Many definitions of few names, in few files and containers, and all kinds of receivers."""
+    rng = random.Random(seed)
+    boxes, paths = ["A", "B", "C", "self", None], ["p1", "p2", "p3"]
+    rows = []
+    for i in range(240):
+        box, short = rng.choice(boxes), rng.choice(["f", "g", "<anonymous>"])
+        rows.append((i, short if box is None else f"{box}.{short}", short, box, rng.choice(paths)))
+    symbols = spark.createDataFrame(rows, "symbol_id int, name string, short_name string, container string, relpath string")
+    calls = [(i, k, raw) for i in range(240) for k, raw in enumerate(rng.sample(["f", "g", "A.f", "B:g", "x.f", "this.g", "self:f", "y:g", "A::f", "<anonymous>", "q.A.f"], 4))]
+    sites = resolve.call_sites(spark.createDataFrame(calls, "src int, call_ord int, raw string"))
+    types = spark.createDataFrame([(i, v, rng.choice(["A", "B", "Z", "self", "cls"])) for i in range(0, 240, 2) for v in ("x", "self")], "symbol_id int, var string, type string")
+    for options in (Resolution(), Resolution(max_targets=1), Resolution(max_targets=6, score_window=200, min_confidence="low")):
+        pick = lambda c: {tuple(r) for r in resolve.targets(c, options).select("src", "call_ord", "target_ord", "cand_id", "score", "confidence").collect()}
+        assert pick(resolve.likely_candidates(symbols, sites, types, options)) == pick(resolve.candidates(symbols, sites, types))
+
+
+def test_a_long_cycle_in_the_distributed_way(spark):
+    n = 10
+    symbols = spark.range(n).withColumnRenamed("id", "symbol_id")
+    edges = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src bigint, dst bigint")
+    assert {r["scc_id"] for r in scc.strong_components(symbols, edges, one_task=0).collect()} == {0}
+
+
+def test_colours_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(scc, "MAX_ROUNDS", 2)
+    symbols = spark.range(30).withColumnRenamed("id", "symbol_id")
+    edges = spark.createDataFrame([(i, (i + 1) % 30) for i in range(30)], "src bigint, dst bigint")
+    with pytest.raises(RuntimeError):
+        scc.strong_components(symbols, edges, one_task=0).collect()
+
+
+def test_reach_in_blocks_of_roots(spark):
+    _, edges, pairs, n = graph(spark, 3)
+    after = defaultdict(set)
+    for a, b in pairs:
+        after[a].add(b)
+    want = {}
+    for s in after:
+        front, seen = {s}, {s}
+        for _ in range(3):
+            front = {y for x in front for y in after[x]} - seen
+            seen |= front
+        want[s] = len(seen) - 1
+    assert dict(traverse.counts_ahead(edges, 3, at_once=4).collect()) == want
+
+
+def test_a_log_in_ranges(spark, monkeypatch):
+    lines = []
+    for c in range(30):
+        lines.append(f"@@@h{c}\t2024-01-{c + 1:02d}\tme\tsubject\twith tab")
+        lines += [f"{k}\t-\tf{k}.lua" for k in range(c % 7)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+    rows = lambda: [sorted(map(tuple, t.collect())) for t in gitlog.parse_log(frame)]
+    whole = rows()
+    monkeypatch.setattr(gitlog, "RANGE", 4)
+    assert rows() == whole and len(whole[0]) == 30 and len(whole[1]) == sum(c % 7 for c in range(30))
+
+
+def test_call_hierarchy(spark):
+    calls = spark.createDataFrame([("r", "a", "in/x", "in/r"), ("r", "b", "out/y", "in/r"), ("a", "c", "in/z", "in/x"), ("c", "a", "in/x", "in/z"), ("c", "d", "in/w", "in/z"), ("r", "a", "in/x", "in/r")], "src string, dst string, dst_path string, src_path string")
+    inside = lambda p: p.startswith("in/")
+    nodes, edges = traverse.call_hierarchy(calls, "r", 2, inside=inside)
+    assert dict(nodes.collect()) == {"r": 0, "a": 1, "c": 2} and {tuple(r) for r in edges.collect()} == {("r", "a"), ("a", "c")}
+    nodes, edges = traverse.call_hierarchy(calls, "r", 3, inside=inside, include_external=True)
+    assert dict(nodes.collect()) == {"r": 0, "a": 1, "b": 1, "c": 2, "d": 3} and len(edges.collect()) == 5
+    nodes, edges = traverse.call_hierarchy(calls, "a", 1, "incoming", inside)
+    assert dict(nodes.collect()) == {"a": 0, "r": 1, "c": 1} and len(edges.collect()) == 2
+    lines = documents.hierarchy(*traverse.call_hierarchy(calls, "r", 2, inside=inside), "r", {"r": "root"}, ascii_=True)
+    assert lines[1] == "nodes: 3  edges: 2" and lines[3:] == ["root", "`- a", "   `- c"]
+
+
+def test_python_with_a_broken_line():
+    text = "class A:\n    def good(self):\n        return helper(1)\n\n    def bad(self:\n        pass\n\ndef last():\n    x = = 2\n    return other.call(\n        'é', 3)\n"
+    got = {r["name"]: [c[0] for c in r["calls"]] for r in extract.extract("a.py", "python", text)}
+    assert got["A.good"] == ["helper"] and got["last"] == ["other.call"]
+    assert extract.extract("a.py", "python", ")))\n" * 3) == []
+
+
+def test_script_fallback():
+    text = "  export const go$2 = async (a) {\n  if (x) { y }\n}\nlet z = (1)\nconst w = 5\nvar q = (b) {\n"
+    assert extract._fallback(text) == [("go$2", 0, 15, 2, 1), ("z", 3, 4, 6, 0), ("q", 5, 4, 6, 0)]
+
+
+def test_documents_of_the_viewer_and_limits(spark, tmp_path):
+    index = CodeIndex.build(spark, files=spark.createDataFrame([("a.lua", "lua", "function one()\n  two()\n  gone()\nend\nfunction two()\nend\n")], "relpath string, lang string, content string"))
+    root = index.symbol_id("one")
+    lines = documents.viewer(index, index.view(root, depth=2, search="o"), ascii_=True)
+    assert "depth: 2" in lines and "nodes before filters: 2" in lines and lines[-2:] == ["one - a.lua", "`- two - a.lua"]
+    assert documents.call_tree(index, root)[1] == "nodes: 2  edges: 1  unresolved: 1  polymorphic: 0"
+    edges = spark.range(9).selectExpr("id as src", "id + 1 as dst")
+    assert documents.dependency_tree(edges, limit=3)[0] == "Dependencies (first 3 of 9)"
+    with pytest.raises(ValueError):
+        export.write_report({"t": edges}, str(tmp_path / "x.json"), limit=5)
 
 
 def test_symbol_at_prefers_the_innermost(spark):
