@@ -7,6 +7,8 @@ not as the engine runs them.
 
 from __future__ import annotations
 
+import re
+
 from ..fixtures import LOG, oracle_views
 
 #: Named table expressions on top of the views; an oracle lists what it needs, in order.
@@ -65,6 +67,11 @@ FROM merged_rows GROUP BY src, call_ord, call_name, raw, kind, receiver, cand_id
     "root_out": "SELECT src AS root FROM {edges} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1",
     "root_in": "SELECT dst AS root FROM fx_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1",
     "walk": "SELECT root AS id, 0 AS depth FROM root_out UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.id WHERE w.depth < {depth}",
+    "drawn": "SELECT v.symbol_id, v.depth, row_number() OVER (ORDER BY v.symbol_id) AS n, row_number() OVER (PARTITION BY v.depth ORDER BY v.symbol_id) AS i, count(*) OVER (PARTITION BY v.depth) AS c, s.name, s.relpath, s.sr, s.sc, s.er, s.ec FROM nodes v JOIN fx_symbols s ON s.symbol_id = v.symbol_id",
+    "drawn_edges": "SELECT m.src, m.dst, x.n AS a, y.n AS b, k.k FROM multi m JOIN drawn x ON x.symbol_id = m.src JOIN drawn y ON y.symbol_id = m.dst, LATERAL (SELECT unnest(generate_series(1, m.multiplicity)) AS k) k",
+    "chain_rows": """SELECT w.root, w.pos - 1 AS pos, w.symbol_id, h.score, w.bottleneck FROM (
+  SELECT r.root, r.pos, r.symbol_id, min(coalesce(h.score, 0)) OVER (PARTITION BY r.root) AS bottleneck FROM (
+    SELECT root, unnest(path) AS symbol_id, generate_subscripts(path, 1) AS pos FROM (SELECT root, arg_max(path, len(path)) AS path FROM chain GROUP BY root) l) r LEFT JOIN hot h ON h.symbol_id = r.symbol_id) w JOIN hot h ON h.symbol_id = w.symbol_id""",
     "inner_edges": "SELECT e.src, e.dst FROM fx_edges e JOIN fx_symbols s ON s.symbol_id = e.dst WHERE starts_with(s.relpath, 'ui/') OR starts_with(s.relpath, 'service/')",
     "wander": "SELECT root AS id, 0 AS depth FROM root_out UNION SELECT e.dst, w.depth + 1 FROM wander w JOIN inner_edges e ON e.src = w.id WHERE w.depth < 3",
     "nodes": "SELECT id AS symbol_id, min(depth) AS depth FROM walk GROUP BY id",
@@ -159,6 +166,13 @@ UNION SELECT concat('fn_external:', cand_path, ':', cand_name), 'function', cand
 UNION SELECT concat('file:', f), 'file', f, NULL, NULL, NULL, NULL FROM (SELECT src AS f FROM imp UNION SELECT dst FROM imp) q WHERE f NOT IN (SELECT relpath FROM fx_symbols)""",
 }
 
+PARTS["kg_edge_rows"] = """SELECT DISTINCT r.type, r.source, r.target,
+  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.source_backend, 'index') WHEN r.type = 'imports' THEN 'index' ELSE o.source END AS source_backend,
+  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.confidence, 'unknown') WHEN r.type = 'imports' THEN 'high' ELSE o.confidence END AS confidence,
+  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS dynamic, CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS polymorphic, coalesce(l.call, o.call) AS call, CASE WHEN r.type = 'calls_external' THEN TRUE END AS external
+FROM kg_records r LEFT JOIN lookup l ON r.type IN ('calls', 'tests') AND r.source = concat('fn:', l.src) AND r.target = concat('fn:', l.dst)
+LEFT JOIN (SELECT src, cand_path, cand_name, arg_min(source, call_ord) AS source, arg_min(confidence, call_ord) AS confidence, arg_min(call_name, call_ord) AS call FROM merged WHERE cand_id IS NULL GROUP BY ALL) o
+  ON r.type = 'calls_external' AND r.source = concat('fn:', o.src) AND r.target = concat('fn_external:', o.cand_path, ':', o.cand_name)"""
 RESOLVE = ["parsed", "sites", "aliases", "matches", "scored", "rated", "cands", "pool", "chosen", "resolved", "res_edges"]
 MERGE = ["parsed", "sites", "aliases", "matches", "scored", "rated", "cands", "outside", "merged_rows", "merged", "pool", "chosen", "resolved", "res_edges"]
 HOT = ["deg", "ahead", "back", "reach", "recent", "recent_files", "churn", "hot", "hot_top"]
@@ -178,7 +192,13 @@ SAME = {
 }
 
 
+def _json_parts(select: str) -> str:
+    """``json_part(name, value)`` written out: a member of an object, nothing for a null."""
+    return re.sub(r"json_part\('(\w+)', ([^()]+)\)", r"""CASE WHEN \2 IS NOT NULL THEN concat(',"\1":"', \2, '"') END""", select)
+
+
 def _sql(parts: list[str], select: str, **values) -> str:
+    select = _json_parts(select)
     values = {"edges": "fx_edges", "cands": "cands", "depth": 2, "commits": 60} | values
     tables = "".join(f",\n{p} AS ({PARTS[p].format(**values) if '{' in PARTS[p] else PARTS[p]})" for p in parts)
     return f"WITH RECURSIVE {oracle_views()}{tables}\n{select}"
@@ -281,13 +301,13 @@ FROM (SELECT avg(score) AS avg, max(score) AS top, count(*) AS n FROM risk_top)
   UNION ALL SELECT 2, printf('%d top hotspot(s) change often: review them strictly.', n) FROM (SELECT count(*) AS n FROM risk_top WHERE churn >= 400) v WHERE n > 0
   UNION ALL SELECT 3, printf('%d top hotspot(s) take part in violations: clean boundaries first.', n) FROM (SELECT count(*) AS n FROM risk_top WHERE architecture_hits > 0) v WHERE n > 0) q"""),
         "kg_nodes": _sql(KG, "SELECT id, type, label, relpath, module_id, package_id, external FROM kg_node_rows", cands="merged"),
-        "kg_edges": _sql(KG, """SELECT DISTINCT r.type, r.source, r.target,
-  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.source_backend, 'index') WHEN r.type = 'imports' THEN 'index' ELSE o.source END AS source_backend,
-  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.confidence, 'unknown') WHEN r.type = 'imports' THEN 'high' ELSE o.confidence END AS confidence,
-  CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS dynamic, CASE WHEN r.type IN ('calls', 'tests') THEN coalesce(l.polymorphic, false) END AS polymorphic, coalesce(l.call, o.call) AS call, CASE WHEN r.type = 'calls_external' THEN TRUE END AS external
-FROM kg_records r LEFT JOIN lookup l ON r.type IN ('calls', 'tests') AND r.source = concat('fn:', l.src) AND r.target = concat('fn:', l.dst)
-LEFT JOIN (SELECT src, cand_path, cand_name, arg_min(source, call_ord) AS source, arg_min(confidence, call_ord) AS confidence, arg_min(call_name, call_ord) AS call FROM merged WHERE cand_id IS NULL GROUP BY ALL) o
-  ON r.type = 'calls_external' AND r.source = concat('fn:', o.src) AND r.target = concat('fn_external:', o.cand_path, ':', o.cand_name)""", cands="merged"),
+        "kg_edges": _sql([*KG, "kg_edge_rows"], "SELECT * FROM kg_edge_rows", cands="merged"),
+        "kg_lines": _sql([*KG, "kg_edge_rows"], """SELECT 0 AS part, '{"record": "meta", "schema_version": "knowledge_graph.v1"}' AS value
+UNION ALL SELECT 1, concat('{"record":"node"', json_part('id', k.id), json_part('type', k.type), json_part('label', k.label), json_part('path', k.relpath), json_part('relpath', k.relpath),
+  CASE WHEN s.symbol_id IS NOT NULL THEN json_part('lang', 'lua') END, json_part('symbol_kind', s.symbol_kind), json_part('module_id', k.module_id), json_part('package_id', k.package_id), CASE WHEN k.external THEN ',"external":true' END, '}')
+  FROM kg_node_rows k LEFT JOIN fx_symbols s ON k.id = concat('fn:', s.symbol_id)
+UNION ALL SELECT 2, concat('{"record":"edge"', json_part('type', type), json_part('source', source), json_part('target', target), json_part('source_backend', source_backend), json_part('confidence', confidence),
+  CASE WHEN dynamic IS NOT NULL THEN concat(',"dynamic":', dynamic, ',"polymorphic":', polymorphic) END, json_part('call', call), CASE WHEN external THEN ',"external":true' END, '}') FROM kg_edge_rows""", cands="merged"),
         "kg_edge_type_counts": _sql(KG, "SELECT type, count(*) AS attempts, count(DISTINCT concat(source, '|', target)) AS n FROM kg_records GROUP BY type", cands="merged"),
         "kg_counts": _sql(KG, "SELECT concat(type, '_nodes') AS name, count(*) AS n FROM kg_node_rows GROUP BY type UNION ALL SELECT 'total_nodes', count(*) FROM kg_node_rows UNION ALL SELECT 'total_edges', count(*) FROM (SELECT DISTINCT type, source, target FROM kg_records) q", cands="merged"),
         "kg_validation": _sql(KG, "SELECT 'unsupported_schema_version' AS problem, 'knowledge_graph.v0' AS id UNION ALL SELECT 'dangling_source' AS problem, source AS id FROM (SELECT DISTINCT type, source, target FROM kg_records) q WHERE type = 'contains_module' UNION ALL SELECT 'dangling_target', target FROM (SELECT DISTINCT type, source, target FROM kg_records) q WHERE type = 'belongs_to_package'", cands="merged"),
@@ -303,4 +323,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY relpath ORDER BY sym_ord) AS n F
   UNION ALL SELECT 3, x.n, y.n, k.k, concat('  n', x.n, ' --> n', y.n) FROM multi m JOIN (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) x ON x.symbol_id = m.src JOIN (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS n FROM nodes) y ON y.symbol_id = m.dst, LATERAL (SELECT unnest(generate_series(1, m.multiplicity)) AS k) k) q"""),
         "layout_hierarchical": _sql(around, "SELECT symbol_id, depth, CAST(i AS INTEGER) AS layer_index, CAST(depth * 220 AS DOUBLE) AS x, CAST((i - 1) * 90 - (n - 1) * 45 AS DOUBLE) AS y FROM (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY symbol_id) AS i, count(*) OVER (PARTITION BY depth) AS n FROM nodes) q", depth=3),
     }
+    out |= {
+        "export_dot": _sql([*around, "drawn", "drawn_edges"], r"""SELECT CAST(row_number() OVER (ORDER BY part, a, b, k) - 1 AS INTEGER) AS line_no, text FROM (
+  SELECT 0 AS part, 0 AS a, 0 AS b, 0 AS k, 'digraph CodeGraph {' AS text UNION ALL SELECT 1, 0, 0, 0, '  // layout: hierarchical' UNION ALL SELECT 2, 0, 0, 0, '  rankdir=LR;' UNION ALL SELECT 3, 0, 0, 0, '  node [shape=box];'
+  UNION ALL SELECT 4, n, 0, 0, concat('  n', n, ' [label="', name, '\\n', relpath, '"];') FROM drawn
+  UNION ALL SELECT 5, depth, 0, 0, concat('  { rank=same; ', string_agg(concat('n', n), '; ' ORDER BY i), '; }') FROM drawn GROUP BY depth HAVING count(*) > 1
+  UNION ALL SELECT 6, a, b, k, concat('  n', a, ' -> n', b, ';') FROM drawn_edges UNION ALL SELECT 7, 0, 0, 0, '}') q"""),
+        "export_json": _sql([*around, "drawn", "drawn_edges"], r"""SELECT CAST(0 AS INTEGER) AS line_no, concat('{"meta":{"direction":"outgoing","depth_limit":2,"root_id":', (SELECT root FROM root_out), ',"layout_algorithm":"hierarchical"},"nodes":[',
+  (SELECT string_agg(concat('{"id":', symbol_id, ',"name":"', name, '","label":"', name, '\\n', relpath, '","path":"', relpath, '","relpath":"', relpath, '","lang":"lua","range":[', sr, ',', sc, ',', er, ',', ec, '],"layout":{"x":', printf('%.1f', depth * 220.0), ',"y":', printf('%.1f', (i - 1) * 90.0 - (c - 1) * 45.0), ',"depth":', depth, ',"layer_index":', i, '}}'), ',' ORDER BY n) FROM drawn), '],"edges":[',
+  (SELECT string_agg(concat('{"source":', src, ',"target":', dst, ',"dynamic":false,"polymorphic":false,"calls":[]}'), ',' ORDER BY a, b, k) FROM drawn_edges), ']}') AS text"""),
+        "render_hot_path": _sql([*HOT, "chain", "chain_rows"], """SELECT CAST(row_number() OVER (ORDER BY part, a, b) - 1 AS INTEGER) AS line_no, text FROM (
+  SELECT 0 AS part, 0 AS a, 0 AS b, 'Hot paths' AS text UNION ALL SELECT 1, 0, 0, '---------'
+  UNION ALL SELECT 2, rank, 0, concat('  rank=', rank, '  label=', label, '  score=', printf('%.3f', score), '  rationale=fan-in=', in_degree, ' fan-out=', out_degree, ' reach=', reach, ' balance=', balance, ' churn=', churn) FROM hot_top
+  UNION ALL SELECT 3, 0, 0, '' UNION ALL SELECT 4, 0, 0, 'Chains' UNION ALL SELECT 5, 0, 0, '------'
+  UNION ALL SELECT 6, root, pos, concat('  root=', root, '  pos=', pos, '  symbol_id=', symbol_id, '  score=', printf('%.3f', score), '  bottleneck=', printf('%.3f', bottleneck)) FROM chain_rows) q"""),
+        "render_architecture": _sql(ARCH, """SELECT CAST(row_number() OVER (ORDER BY part, n) - 1 AS INTEGER) AS line_no, text FROM (
+  SELECT 0 AS part, 0 AS n, 'Groups' AS text UNION ALL SELECT 1, 0, '------'
+  UNION ALL SELECT 2, n, concat('  group_id=', group_id, '  symbol_count=', c) FROM (SELECT group_id, count(*) AS c, row_number() OVER (ORDER BY group_id) AS n FROM placed GROUP BY group_id) g WHERE n <= 50
+  UNION ALL SELECT 3, 0, '' UNION ALL SELECT 4, 0, 'Dependencies' UNION ALL SELECT 5, 0, '------------'
+  UNION ALL SELECT 6, n, concat('  source_group=', source_group, '  target_group=', target_group, '  count=', count) FROM (SELECT *, row_number() OVER (ORDER BY source_group, target_group) AS n FROM group_edges) g WHERE n <= 50
+  UNION ALL SELECT 7, 0, '' UNION ALL SELECT 8, 0, 'Violations' UNION ALL SELECT 9, 0, '----------'
+  UNION ALL SELECT 10, n, concat('  severity=', severity, '  severity_score=', printf('%.3f', severity_score), '  count=', count, '  source_group=', source_group, '  target_group=', target_group)
+    FROM (SELECT *, row_number() OVER (ORDER BY severity_score DESC, count DESC, source_group, target_group) AS n FROM bad) g WHERE n <= 50) q"""),
+    }
     return out | {name: out[same] for name, same in SAME.items()}
