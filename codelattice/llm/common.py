@@ -51,10 +51,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This ends the lineage in replicated or shared files, so a lost executor
-    costs a reread and not a recomputation of what lies before.
+    costs a reread and not a recomputation of what lies before. The files go
+    when ``drop_cut`` or ``drop_cuts`` deletes them, or when the driver ends.
     """
     path = _new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _leave(df.sparkSession, path)
     return _read_cut(df.sparkSession, df.schema, path)
 
 
@@ -68,6 +70,7 @@ def cut_by(df: DataFrame, tag: str, column: str, values: list[str]) -> list[Data
     """As ``cut``, a table for each value of ``column``; each can be dropped by itself."""
     spark, path = df.sparkSession, _new_path(df.sparkSession, tag)
     df.write.partitionBy(column).parquet(path)
+    _leave(spark, path)
     plain, out = df.drop(column).schema, []
     for value in values:
         own = f"{path}/{column}={value}"
@@ -81,12 +84,43 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+#: Folders of cut tables that have not been deleted yet.
+_cuts: set[str] = set()
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
+    there, at = _file(spark, path)
+    there.deleteOnExit(at)
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    delete_at_end(spark, path)
+    _cuts.add(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    there, at = _file(spark, path)
+    there.delete(at, True)
+
+
+def drop_cuts(spark: SparkSession, kept: set[str] = frozenset()) -> None:
+    """Delete all cut tables but ``kept``, once no result is read from them any more."""
+    for path in list(_cuts - kept):
+        delete(spark, path)
+        _cuts.discard(path)
+
+
+def cut_paths() -> set[str]:
+    return set(_cuts)
+
+
 def drop_cut(df: DataFrame | None) -> None:
     """Delete the files of a table that ``cut`` made and nothing reads any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        there, at = _file(df.sparkSession, path)
-        there.delete(at, True)
+        delete(df.sparkSession, path)
+        _cuts.discard(path)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -102,6 +102,20 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(12 + length(role) + 1 + escaped + 10 + 1) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id
+""",
+    "op6_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM d, LATERAL (SELECT unnest(range(0, length(h) // 2 - 49)) AS p) x),
+f AS (SELECT g, min(coalesce(doc_id, 9223372036854775807)) AS first_id FROM w GROUP BY g HAVING count(*) > 1),
+m AS (SELECT w.r, w.p FROM w JOIN f ON f.g = w.g WHERE f.first_id < coalesce(w.doc_id, 9223372036854775807)),
+n AS (SELECT r, p, p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50 AS gap FROM m),
+i AS (SELECT r, p, sum(CASE WHEN gap IS NULL OR gap THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS island FROM n),
+s AS (SELECT r, island, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY r, island),
+e AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+k AS (SELECT d.r, string_agg(substr(d.h, 2 * e.before + 1, 2 * (e.a - e.before)), '' ORDER BY e.a) AS head, max(e.z) AS last_, sum(e.z - e.a) AS removed, count(*) AS spans FROM d JOIN e ON e.r = d.r GROUP BY d.r)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, coalesce(k.spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.r IS NULL THEN d.h ELSE concat(k.head, substr(d.h, 2 * k.last_ + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
 """,
     "op9_sharding": f"""
 WITH d AS (

@@ -25,17 +25,28 @@ have equal minimizers, so
    what is covered.
 
 A passage that a third of all documents share is one neighbourhood for each
-batch; nothing is enumerated in pairs.
+batch; nothing is enumerated in pairs. Batches are ranges of ids with bounded
+bytes however the ids are spread; rows of one id (or of none) that are more
+than a batch are dealt to several, which do not remove from one another.
+
+``RepeatIndex`` keeps the family on shared storage for batches that come
+later: then all neighbourhoods are indexed, a new batch is merge-scanned
+against the stored levels, what is on no level becomes a new one, and levels
+of like size are merged, from their sorted arrays, into one. Documents of
+earlier calls come before those of later ones, whatever their ids.
 
 Defined results. Null text is empty. Rows that share a doc_id do not remove
 from one another. Null doc_ids come after all others. Texts of fewer than 50
-bytes lose nothing. An empty table gives no rows.
+bytes lose nothing. Very long texts are hashed piece by piece. Extra columns
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -43,16 +54,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_by, drop_cut, release_shuffles, text_or_empty
+from .common import cut, cut_by, delete, drop_cut, release_shuffles, text_or_empty
 
 MATCH = 50
 GRAM = 20
-#: Bytes of text in a batch, unless one id range holds more.
+#: Bytes of text in a batch, unless one row holds more.
 BATCH_BYTES = 8 << 20
+#: Batches at most: the driver plans them. Beyond, they are larger.
+MAX_BATCHES = 1 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 3 << 20
 #: Bytes whose grams are hashed at once.
 CHUNK = 256 << 10
+#: Bytes of one document whose minimizers are found together; positions in a piece have 28 bits.
+PIECE = 64 << 20
+#: Parts that an id range of more than a batch is cut to, in each look.
+FAN = 64
 #: New arrays for each shard, about: batches arrive together up to this part of it.
 SCANS = 8
 HASH_BITS = 46
@@ -128,6 +145,14 @@ class _Batch:
             while j < n and (j == i or size + self.length[j] <= CHUNK):
                 size += self.length[j]
                 j += 1
+            if self.length[i] > PIECE:
+                # Strings that start in a piece, with the bytes that the last one needs.
+                for p in range(0, int(self.length[i]) - MATCH + 1, PIECE):
+                    data = np.frombuffer(self.texts[i], np.uint8, min(PIECE + MATCH - 1, int(self.length[i]) - p), p)
+                    first, last, h = minimizer_runs(data, np.zeros(1, np.int64), np.array([len(data)]))
+                    yield data, first, last, h, np.full(len(first), i), np.full(len(first), -p)
+                i = j
+                continue
             data = np.frombuffer(b"".join(self.texts[i:j]), np.uint8)
             ends = np.cumsum(self.length[i:j])
             starts = ends - self.length[i:j]
@@ -198,20 +223,22 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": rows["shard"], "batch": rows["batch"], "payload": [np.packbits(x).tobytes() for x in np.split(flag, cuts)]})
 
 
-SPANS = "kind string, shard int, batch int, lengths binary, first_rank binary, payload binary"
+SPANS = "kind string, shard int, batch int, slot int, lengths binary, first_rank binary, payload binary"
 
 
 def _neighbourhoods(shards: int, hash_shards: int):
-    def run(docs: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        columns = ["kind", "shard", "batch", "lengths", "first_rank", "payload"]
+    """Neighbourhoods of the minimizers that ``flags`` tell (of all, without flags), by shard, and where they were seen."""
+
+    def run(docs: pd.DataFrame, flags: pd.DataFrame | None = None) -> pd.DataFrame:
+        columns = ["kind", "shard", "batch", "slot", "lengths", "first_rank", "payload"]
         if not len(docs):
             return pd.DataFrame(columns=columns)
-        number = int(docs["batch"].iloc[0])
+        number, slot = int(docs["batch"].iloc[0]), int(docs["slot"].iloc[0])
         batch = _Batch(docs)
         h, many, where, chunks = batch.hashes()
         edges = np.searchsorted(_shard_of(h, hash_shards), np.arange(hash_shards + 1))
-        live = many.copy()
-        for s, bits in zip(flags["shard"], flags["payload"], strict=True):
+        live = many.copy() if flags is not None else np.ones(len(h), bool)
+        for s, bits in zip(flags["shard"], flags["payload"], strict=True) if flags is not None else ():
             n = edges[s + 1] - edges[s]
             live[edges[s] : edges[s + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
         shard = _shard_of(h, shards)
@@ -251,10 +278,10 @@ def _neighbourhoods(shards: int, hash_shards: int):
         for s in np.unique(of_shard).tolist():
             mine = order[cuts[s] : cuts[s + 1]]
             n = lengths[mine].tobytes()
-            out.append(("span", s, number, n, first_rank[mine].tobytes(), zlib.compress(b"".join(texts[i] for i in mine.tolist()), 1)))
+            out.append(("span", s, number, slot, n, first_rank[mine].tobytes(), zlib.compress(b"".join(texts[i] for i in mine.tolist()), 1)))
             a, z = np.searchsorted(span_no, [cuts[s], cuts[s + 1]])
             seen = np.stack([span_no[a:z] - cuts[s], doc_row[a:z], doc_at[a:z]]).astype(np.uint32)
-            out.append(("seen", s, number, n, b"", zlib.compress(seen.tobytes(), 1)))
+            out.append(("seen", s, number, slot, n, b"", zlib.compress(seen.tobytes(), 1)))
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -288,9 +315,17 @@ class SuffixLevels:
             self.levels.append((keys, places))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (b, y), (a, x) = self.levels.pop(), self.levels.pop()
-            keys, places = np.concatenate([a, b]), np.concatenate([x, y])
-            order = np.argsort(keys, kind="stable")
-            self.levels.append((keys[order], places[order]))
+            self.levels.append(merged(a, x, b, y))
+
+
+def merged(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted arrays as one, with what belongs to their keys; neither is sorted again."""
+    at = np.searchsorted(a, b, "right") + np.arange(len(b))
+    own = np.ones(len(a) + len(b), bool)
+    own[at] = False
+    keys, places = np.empty(len(own), a.dtype), np.empty(len(own), x.dtype)
+    keys[at], places[at], keys[own], places[own] = b, y, a, x
+    return keys, places
 
 
 class _Deceived(Exception):
@@ -318,14 +353,18 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return at + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(n) - n), n)
 
 
-def _answers(data: np.ndarray, place: np.ndarray, key: np.ndarray, first_key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """For each string: -1 if an earlier scan has it, else the least ``first_key`` of its scan."""
+def _answers(data: np.ndarray, place: np.ndarray, key: np.ndarray, first_key: np.ndarray, cuts: np.ndarray, held=()) -> tuple[np.ndarray, np.ndarray]:
+    """For each string: -1 if a held level or an earlier scan has it, else the least ``first_key`` of its scan; and which strings are new to the family.
+
+    ``held`` are the (keys, places) of levels from earlier calls.
+    """
     windows = np.lib.stride_tricks.sliding_window_view(data, MATCH)
 
     def differ(a, b):
         return any((windows[a[i : i + 65536]] != windows[b[i : i + 65536]]).any() for i in range(0, len(a), 65536))
 
-    family, out = SuffixLevels(differ), np.empty(len(place), np.int64)
+    family, out, fresh = SuffixLevels(differ), np.empty(len(place), np.int64), np.zeros(len(place), bool)
+    family.levels += held
     for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         suffixes = np.argsort(key[a:z], kind="stable")
         ordered, at = key[a:z][suffixes], place[a:z][suffixes]
@@ -339,40 +378,103 @@ def _answers(data: np.ndarray, place: np.ndarray, key: np.ndarray, first_key: np
         first = np.minimum.reduceat(first_key[a:z][suffixes], edge)
         known = family.scan(ordered[edge], at[edge])
         family.add(ordered[edge][~known], at[edge][~known])
+        fresh[a + suffixes[edge[~known]]] = True
         first[known] = -1
         out[a:z][suffixes] = first[group]
+    return out, fresh
+
+
+def _texts(rows: pd.DataFrame, column: str = "payload") -> tuple[np.ndarray, list[np.ndarray]]:
+    """The neighbourhoods of some rows end to end, and the lengths of each row's."""
+    return np.frombuffer(b"".join(zlib.decompress(x) for x in rows[column]), np.uint8), [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["lengths"]]
+
+
+LEVEL = "shard int, strings bigint, lengths binary, payload binary, keys binary, places binary"
+
+
+def _packed(shard: int, lengths: np.ndarray, data: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "strings": [len(keys)], "lengths": [lengths.astype(np.uint8).tobytes()], "payload": [zlib.compress(data.tobytes(), 1)], "keys": [keys.tobytes()], "places": [zlib.compress(places.astype(np.int64).tobytes(), 1)]})
+
+
+def _unpacked(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lengths, data, keys, places) of each level, the largest first."""
+    out = []
+    for _, r in rows.sort_values("strings", ascending=False, kind="stable").iterrows():
+        out.append((np.frombuffer(r["lengths"], np.uint8).astype(np.int64), np.frombuffer(zlib.decompress(r["payload"]), np.uint8), np.frombuffer(r["keys"], np.uint64), np.frombuffer(zlib.decompress(r["places"]), np.int64)))
     return out
 
 
-def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge-scan the batches of a shard in order; answer for each string.
+def _merge_levels(rows: pd.DataFrame) -> pd.DataFrame:
+    """One level of a shard's levels, whose strings are distinct."""
+    levels = _unpacked(rows)
+    lengths, data, keys, places = levels[0]
+    for more, text, b, y in levels[1:]:
+        keys, places = merged(keys, places, b, y + len(data))
+        lengths, data = np.concatenate([lengths, more]), np.concatenate([data, text])
+    return _packed(int(rows["shard"].iloc[0]), lengths, data, keys, places)
+
 
-    0: an earlier batch has it. Else 1 + the rank of the first document of
-    its own batch that has it.
+def _index(new_level: bool):
+    """Merge-scan the batches of a shard in order, and after the levels of earlier calls; answer for each string.
+
+    0: an earlier batch or a level has it. Else 1 + the rank of the first
+    document of its own batch that has it. With ``new_level`` the result is the
+    level of the strings that the family did not have.
     """
-    rows = rows.sort_values("batch").reset_index(drop=True)
-    lengths = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["lengths"]]
-    count = np.array([int(x.sum()) - (MATCH - 1) * len(x) for x in lengths])
-    data = np.frombuffer(b"".join(zlib.decompress(x) for x in rows["payload"]), np.uint8)
-    all_lengths = np.concatenate(lengths)
-    place = _places(all_lengths)
-    rank = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["first_rank"]]).astype(np.int64)
-    first_key = (np.repeat(np.arange(len(rows)), count) << 32) | np.repeat(rank, all_lengths - MATCH + 1)
-    cuts, share = [0], count.sum() / SCANS
-    for upto in np.cumsum(count).tolist():
-        if upto - cuts[-1] >= share or upto == len(place):
-            cuts.append(upto)
-    cuts = np.unique(cuts)
-    try:
-        first = _answers(data, place, string_keys(data)[place], first_key, cuts)
-    except _Deceived:
-        windows = np.lib.stride_tricks.sliding_window_view(data, MATCH)
-        exact = np.unique(np.ascontiguousarray(windows[place]).view(f"S{MATCH}").reshape(-1), return_inverse=True)[1]
-        first = _answers(data, place, exact.reshape(-1).astype(np.uint64), first_key, cuts)
-    same = (first >= 0) & ((first >> 32) == (first_key >> 32))
-    answer = np.where(same, (first & 0xFFFFFFFF) + 1, 0).astype(np.uint32)
-    answers = [zlib.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(count)[:-1])]
-    return pd.DataFrame({"kind": "hit", "shard": rows["shard"], "batch": rows["batch"], "lengths": b"", "first_rank": b"", "payload": answers})
+
+    def run(rows: pd.DataFrame, levels: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[f.split()[0] for f in (LEVEL if new_level else SPANS).split(", ")])
+        rows = rows.sort_values(["slot", "batch"]).reset_index(drop=True)
+        data, lengths = _texts(rows)
+        count = np.array([int(x.sum()) - (MATCH - 1) * len(x) for x in lengths])
+        all_lengths = np.concatenate(lengths)
+        place = _places(all_lengths)
+        rank = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["first_rank"]]).astype(np.int64)
+        slots = np.repeat(rows["slot"].to_numpy(np.int64), count)
+        first_key = (slots << 32) | np.repeat(rank, all_lengths - MATCH + 1)
+        # Scans end where an id range does: batches of one id arrive together.
+        cuts, share, slot = [0], count.sum() / SCANS, rows["slot"].tolist()
+        for k, upto in enumerate(np.cumsum(count).tolist()):
+            if upto == len(place) or (upto - cuts[-1] >= share and slot[k + 1] != slot[k]):
+                cuts.append(upto)
+        cuts = np.unique(cuts)
+        held, text, at = [], [data], len(data)
+        for _, old, keys, places in _unpacked(levels) if levels is not None and len(levels) else ():
+            held.append((keys, places + at))
+            text.append(old)
+            at += len(old)
+        whole = np.concatenate(text) if len(text) > 1 else data
+        try:
+            first, fresh = _answers(whole, place, string_keys(data)[place], first_key, cuts, held)
+        except _Deceived:
+            if new_level:
+                raise RuntimeError("two strings of the index have one fingerprint") from None
+            # In the order of the bytes; what the levels hold takes part.
+            windows = np.lib.stride_tricks.sliding_window_view(whole, MATCH)
+            every = np.concatenate([place, *(p for _, p in held)])
+            exact = np.unique(np.ascontiguousarray(windows[every]).view(f"S{MATCH}").reshape(-1), return_inverse=True)[1].reshape(-1).astype(np.uint64)
+            parts = np.split(exact, np.cumsum([len(place), *(len(p) for _, p in held)])[:-1])
+            ordered = [(np.sort(k), p[np.argsort(k, kind="stable")]) for k, (_, p) in zip(parts[1:], held)]
+            first, fresh = _answers(whole, place, parts[0], first_key, cuts, ordered)
+        if new_level:
+            # The neighbourhoods that hold a new string, and the new strings in order.
+            of = np.repeat(np.arange(len(all_lengths)), all_lengths - MATCH + 1)
+            stay = np.zeros(len(all_lengths), bool)
+            stay[of[fresh]] = True
+            begin = np.cumsum(all_lengths) - all_lengths
+            moved = np.cumsum(np.where(stay, all_lengths, 0)) - np.where(stay, all_lengths, 0)
+            kept = data[np.repeat(stay, all_lengths)]
+            places = place[fresh] - begin[of[fresh]] + moved[of[fresh]]
+            keys = string_keys(data)[place[fresh]]
+            order = np.argsort(keys, kind="stable")
+            return _packed(int(rows["shard"].iloc[0]), all_lengths[stay], kept, keys[order], places[order])
+        same = (first >= 0) & ((first >> 32) == slots)
+        answer = np.where(same, (first & 0xFFFFFFFF) + 1, 0).astype(np.uint32)
+        answers = [zlib.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(count)[:-1])]
+        return pd.DataFrame({"kind": "hit", "shard": rows["shard"], "batch": rows["batch"], "slot": rows["slot"], "lengths": b"", "first_rank": b"", "payload": answers})
+
+    return run
 
 
 DONE = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -417,46 +519,143 @@ def _remove(with_kept: bool):
     return run
 
 
+def _slot_of(bounds: list[int]):
+    """The number of the id range, of those that start at ``bounds``; null ids are in one after all others."""
+    held = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def slot(ids: pd.Series) -> pd.Series:
+        out = np.full(len(ids), len(held), np.int32)
+        known = ids.notna().to_numpy()
+        out[known] = np.searchsorted(held, ids[known].astype(np.int64), "right") - 1
+        return pd.Series(out)
+
+    return slot
+
+
 def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, data, batch), batches being ranges of ids in order; total bytes.
+    """(doc_id, data, slot, batch) of each row, and the bytes of all.
 
-    Ids are cut to ranges of equal width, of which neighbours are packed to
-    batches; the driver sees one row (16 bytes) for each range.
+    Slots are ranges of ids in order. Ranges of more than ``batch_bytes`` are
+    cut again until they fit or hold one id; neighbours that fit together are
+    one. A slot of one id that is still too large has several batches. The
+    driver sees a number for each range of about a batch.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("data"))).first()
-    total = total or 0
-    ranges = 4 * max(1, math.ceil(total / batch_bytes))
-    if low is None:
-        return rows.withColumn("batch", F.lit(0)), total
-    width = (float(high) - float(low)) / ranges + 1e-9
-    slot = F.when(F.col("doc_id").isNull(), F.lit(ranges)).otherwise(F.least(F.lit(ranges - 1), F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(width)))).cast("int")
-    sums = dict(rows.groupBy(slot.alias("slot")).agg(F.sum(F.length("data"))).collect())
-    plan, batch, size = [], 0, 0
-    for s in range(ranges + 1):
-        n = sums.get(s) or 0
-        if size and size + n > batch_bytes:
-            batch, size = batch + 1, 0
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("data"), F.monotonically_increasing_id().alias("row"))
+    sizes = cut(rows.select("doc_id", F.length("data").cast("bigint").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")), "sizes")
+    low, high, total = sizes.agg(F.min("doc_id"), F.max("doc_id"), F.sum("n")).first()
+    total, bounds = total or 0, []
+    batch_bytes = max(batch_bytes, total // MAX_BATCHES)
+    if low is not None:
+        fan = min(high - low + 1, FAN * max(1, math.ceil(total / batch_bytes / FAN)))
+        bounds = sorted({low + (high - low + 1) * i // fan for i in range(fan)})
+    while True:
+        sums = dict(sizes.groupBy(_slot_of(bounds)("doc_id").alias("slot")).agg(F.sum("n")).collect())
+        more = []
+        for i, lo in enumerate(bounds):
+            hi = bounds[i + 1] if i + 1 < len(bounds) else high + 1
+            if (sums.get(i) or 0) > batch_bytes and hi - lo > 1:
+                fan = min(FAN, hi - lo)
+                more += [lo + (hi - lo) * k // fan for k in range(1, fan)]
+        if not more:
+            break
+        # Ranges that are empty beside others are not kept apart.
+        bounds = sorted({*(lo for i, lo in enumerate(bounds) if i == 0 or sums.get(i) or sums.get(i - 1)), *more})
+    starts, size, crowded = [], 0, []
+    for i, lo in enumerate(bounds):
+        n = sums.get(i) or 0
+        if not starts or size + n > batch_bytes:
+            starts.append(lo)
+            crowded.append(0)
+            size = 0
         size += n
-        plan.append((s, batch))
-    table = docs.sparkSession.createDataFrame(plan, "slot int, batch int")
-    return rows.withColumn("slot", slot).join(F.broadcast(table) if len(plan) <= 1 << 20 else table, "slot").drop("slot"), total
-
-
-def remove_repeats(docs: DataFrame, with_kept: bool = True, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for each row of ``docs``."""
+        crowded[-1] = size
+    crowded.append(sums.get(len(bounds)) or 0)
+    parts = [max(1, math.ceil(n / batch_bytes)) for n in crowded]
+    first = np.cumsum([0, *parts]).tolist()
+    rows = rows.withColumn("slot", _slot_of(starts)("doc_id"))
+    table = docs.sparkSession.createDataFrame([(i, first[i], parts[i]) for i in range(len(parts))], "slot int, first int, parts int")
+    rows = rows.join(F.broadcast(table) if len(parts) <= 1 << 20 else table, "slot")
+    # Rows of a slot of one id are alike to the index: any deal will do that each look repeats.
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(0)
+    return rows.select("doc_id", "data", "slot", (F.col("first") + own).cast("int").alias("batch")), total
+
+
+class RepeatIndex:
+    """The family of levels in a folder on shared storage."""
+
+    def __init__(self, spark, path: str, shards: int | None = None):
+        """Open the index at ``path``; a new one has ``shards`` shards for good."""
+        self.spark, self.path = spark, path.rstrip("/")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/family")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            newest = max(spark.read.json(f"{self.path}/family").collect(), key=lambda r: r["turn"])
+            self.turn, self.shards, self.levels = newest["turn"], newest["shards"], [(x["name"], x["strings"]) for x in json.loads(newest["levels"])]
+        else:
+            self.turn, self.shards, self.levels = 0, shards or 64, []
+
+    def table(self) -> DataFrame:
+        """All levels, a row for each and shard."""
+        out = self.spark.createDataFrame([], LEVEL)
+        for name, _ in self.levels:
+            out = out.unionByName(self.spark.read.schema(LEVEL).parquet(f"{self.path}/{name}"))
+        return out
+
+    def _write(self, rows: DataFrame) -> tuple[str, int]:
+        name = f"level-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name, self.spark.read.schema(LEVEL).parquet(f"{self.path}/{name}").agg(F.coalesce(F.sum("strings"), F.lit(0))).first()[0]
+
+    def add(self, level: DataFrame) -> None:
+        """Write a new level; while the last two are of like size, merge them. Then the family is what it is from now on."""
+        old = [name for name, _ in self.levels]
+        fresh = self._write(level)
+        self.levels += [fresh] if fresh[1] else []
+        while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
+            two = [self.spark.read.schema(LEVEL).parquet(f"{self.path}/{name}") for name, _ in self.levels[-2:]]
+            one = self._write(two[0].unionByName(two[1]).groupBy("shard").applyInPandas(_merge_levels, LEVEL))
+            gone = [name for name, _ in self.levels[-2:] if name not in old]
+            self.levels[-2:] = [one]
+            for name in gone:
+                delete(self.spark, f"{self.path}/{name}")
+        self.turn += 1
+        state = [(self.turn, self.shards, json.dumps([{"name": n, "strings": k} for n, k in self.levels]))]
+        self.spark.createDataFrame(state, "turn long, shards long, levels string").coalesce(1).write.mode("append").json(f"{self.path}/family")
+        live = {name for name, _ in self.levels}
+        for name in old:
+            if name not in live:
+                delete(self.spark, f"{self.path}/{name}")
+
+
+def remove_repeats(docs: DataFrame, with_kept: bool = True, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES, index: RepeatIndex | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for each row of ``docs``.
+
+    With an ``index`` also what documents of earlier calls hold is removed,
+    and ``docs`` are in it for later ones.
+    """
     spark = docs.sparkSession
     rows, total = batched(docs, batch_bytes)
-    shards = max(1, math.ceil(total / shard_bytes))
+    shards = index.shards if index is not None else max(1, math.ceil(total / shard_bytes))
     hash_shards = max(1, math.ceil(total / (4 * shard_bytes)))
-    said = rows.groupBy("batch").applyInPandas(_announce(hash_shards), HASHES)
-    flags = cut(said.groupBy("shard").applyInPandas(_shared, HASHES), "shared")
-    release_shuffles(spark)
-    near = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_neighbourhoods(shards, hash_shards), SPANS)
+    if index is None:
+        said = rows.groupBy("batch").applyInPandas(_announce(hash_shards), HASHES)
+        flags = cut(said.groupBy("shard").applyInPandas(_shared, HASHES), "shared")
+        release_shuffles(spark)
+        near = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_neighbourhoods(shards, hash_shards), SPANS)
+    else:
+        find = _neighbourhoods(shards, hash_shards)
+        near = rows.groupBy("batch").applyInPandas(lambda frame: find(frame), SPANS)
     spans, seen = cut_by(near, "spans", "kind", ["span", "seen"])
-    drop_cut(flags)
+    if index is None:
+        drop_cut(flags)
     release_shuffles(spark)
-    hits = cut(spans.groupBy("shard").applyInPandas(_index, SPANS), "hits")
+    if index is None:
+        answer = _index(False)
+        hits = cut(spans.groupBy("shard").applyInPandas(lambda frame: answer(frame), SPANS), "hits")
+    else:
+        known = index.table()
+        hits = cut(spans.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_index(False), SPANS), "hits")
+        index.add(spans.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_index(True), LEVEL))
     drop_cut(spans)
     release_shuffles(spark)
     facts = seen.withColumn("kind", F.lit("seen")).unionByName(hits)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codelattice.llm import suffix_dedup as op
 
@@ -73,3 +74,65 @@ def test_empty_and_clashing_columns(spark):
     assert op.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     odd = spark.createDataFrame([(1, "x" * 60, 3, 4), (2, "x" * 60, 3, 4)], "doc_id bigint, text string, batch int, slot int")
     assert {(r["doc_id"], r["n_removed"]) for r in op.remove_repeats(odd).collect()} == {(1, 0), (2, 60)}
+
+
+def facts(rows):
+    return sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows], key=str)
+
+
+def test_batches_are_bounded_however_ids_are_spread(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(30))
+    copies = [text() for _ in range(5)]
+    rows = [(i, rng.choice(copies) if rng.random() < 0.3 else text()) for i in range(200)] + [(1 << 62, copies[0]), (-(1 << 61), text())]
+    rows += [(None, rng.choice([text(), copies[1], "same"])) for _ in range(120)] + [(77, rng.choice([text(), copies[2]])) for _ in range(90)]
+    docs, limit = spark.createDataFrame(rows, "doc_id bigint, text string"), 3000
+    dealt, total = op.batched(docs, limit)
+    size = {r["batch"]: (r["n"], r["slots"]) for r in dealt.groupBy("batch").agg(F.sum(F.length("data")).alias("n"), F.countDistinct("slot").alias("slots")).collect()}
+    assert total == sum(len(t) for _, t in rows) == sum(n for n, _ in size.values())
+    assert max(n for n, _ in size.values()) <= 2.5 * limit and all(s == 1 for _, s in size.values())
+    order = dealt.filter("doc_id is not null").groupBy("slot").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).orderBy("slot").collect()
+    assert all(x["z"] < y["a"] for x, y in zip(order, order[1:]))
+    assert facts(op.remove_repeats(docs, batch_bytes=limit, shard_bytes=2000).collect()) == brute(rows)
+
+
+def test_a_long_text_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(op, "PIECE", 500)
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(1, long), (2, long[430:640]), (3, long[970:1060] + "x" + long[2000:5100]), (4, "y" * 700), (5, "y" * 1200)]
+    assert facts(op.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute(rows)
+
+
+def test_merging_keeps_order_and_places():
+    rng = np.random.default_rng(1)
+    a, b = np.sort(rng.integers(0, 10**6, 300)).astype(np.uint64), np.sort(rng.integers(0, 10**6, 50)).astype(np.uint64)
+    keys, places = op.merged(a, np.arange(300), b, np.arange(1000, 1050))
+    both = dict(zip(range(300), a.tolist())) | dict(zip(range(1000, 1050), b.tolist()))
+    assert keys.tolist() == sorted(a.tolist() + b.tolist()) and [both[p] for p in places.tolist()] == keys.tolist() and len(set(places.tolist())) == 350
+
+
+def test_later_batches_meet_the_stored_levels(spark, tmp_path):
+    """Calls against one index remove what one call over all would, with earlier calls' documents first."""
+    rows = [(i, t) for i, t in corpus(2, 90) if i is not None]
+    rng = random.Random(5)
+    rng.shuffle(rows)
+    calls = [rows[:50], rows[50:60], rows[60:70], rows[70:75], rows[75:]]
+    number = {id(r): k * 10**6 + r[0] for k, call in enumerate(calls) for r in call}
+    want = brute([(number[id(r)], r[1]) for call in calls for r in call])
+    got, levels = [], []
+    for k, call in enumerate(calls):
+        index = op.RepeatIndex(spark, str(tmp_path / "index"), shards=3)
+        held = {n for n, _ in index.levels}
+        out = op.remove_repeats(spark.createDataFrame(call, "doc_id bigint, text string"), batch_bytes=4000, index=index).collect()
+        got += [(r["doc_id"] + k * 10**6, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out]
+        levels.append((held, index.levels))
+    assert sorted(got, key=str) == want
+    # Levels stay as they are until one of like size comes, and each is twice the next at least.
+    assert any(held & {n for n, _ in now} for held, now in levels[1:])
+    for _, now in levels:
+        assert all(x[1] >= 2 * y[1] for x, y in zip(now, now[1:]))
+    stored = op.RepeatIndex(spark, str(tmp_path / "index"))
+    strings = {t[p : p + op.MATCH] for t in ((t or "").encode() for _, t in rows) for p in range(len(t) - op.MATCH + 1)}
+    assert sum(n for _, n in stored.levels) == len(strings) and stored.turn == 5
+    assert {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("level")} == {n for n, _ in stored.levels}
