@@ -1,8 +1,12 @@
 """Each stage on its own input, and the whole."""
 
+import os
+
+import pytest
+
 import corpus_pipeline as pipeline
 
-from codelattice.llm import decontaminate, sharding, simhash
+from codelattice.llm import common, decontaminate, sharding, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,3 +62,46 @@ def test_near_dedup_against_brute_force(spark):
     assert pairs and met >= 0.97 * len(pairs)
     # Nothing is joined that brute force keeps apart.
     assert all(label[i] == label[c] for i, c in got.items())
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, shard int, taken int, `a b` int"
+
+
+def odd_rows(n):
+    long = " ".join(f"w{i * 7 % 5003}" for i in range(30_000))
+    return [
+        (None, None, None, None, None, "s", 1, 2, 3), (1, None, "en", "x", 0, None, None, None, None), (2, "", "en", None, 0, "s", 1, 2, 3), (3, long, "en", "x", 1, "s", 1, 2, 3),
+        *[(4, "same row", "de", "x", 8, "s", 1, 2, 3)] * n, (5, "same row", "de", "y", 8, "s", 1, 2, 3), (None, "no id", None, "y", 5, "s", 1, 2, 3), (6, "tie one", "en", "y", 7, "t", 2, 2, 2),
+    ]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_edge_rows_of_each_stage(spark, stage):
+    """Nulls in any column, empty, long, tied and repeated rows, clashing columns, and no rows at all."""
+    rows = spark.createDataFrame(odd_rows(3), ODD)
+    act = pipeline.STAGES[stage][1]
+    got = act(spark, rows, "/root/testdata/sf0.001").collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert set(kept) <= {(r[0], r[1]) for r in odd_rows(3)}
+    if stage < 4:
+        assert act(spark, rows, "/root/testdata/sf0.001").columns == rows.columns
+    if stage == 0:
+        # Rows with one text go or stay together, and come as often as before.
+        assert kept.count((4, "same row")) in (0, 3) and ((4, "same row") in kept) == ((5, "same row") in kept)
+    if stage == 1:
+        assert sorted(kept, key=str) == sorted([(1, None), (3, odd_rows(0)[3][1]), (4, "same row"), (None, "no id"), (6, "tie one")], key=str)
+    if stage in (2, 4):
+        assert len(kept) == len(rows.collect())
+    if stage == 3:
+        assert all(kept.count(k) <= 3 * (3 if k[0] == 4 else 1) for k in kept)
+    if stage == 4:
+        assert {r["shard"] for r in got} == {"-"} and {r["score"] for r in got} == {"s", "t", None}
+    assert act(spark, rows.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_a_run_leaves_only_its_result(spark):
+    before = common.cut_paths()
+    out = pipeline.run(spark, "/root/testdata/sf0.001")
+    assert common.cut_paths() == before
+    folder = out.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://")
+    assert os.listdir(folder) == [str(len(pipeline.STAGES) - 1)] and out.count() > 50
