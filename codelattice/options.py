@@ -34,6 +34,9 @@ def direction(value) -> str:
     return "incoming" if str(value) in ("incoming", "in", "reverse") else "outgoing"
 
 
+# The defaults of all options below.
+
+
 @dataclass(frozen=True)
 class Resolution:
     score_window: int = 25

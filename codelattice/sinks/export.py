@@ -41,6 +41,9 @@ def _dot_text(text: str) -> str:
     return text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
 
 
+# The literal lines of both drawing formats.
+
+
 def to_dot(graph: dict) -> str:
     force = graph["meta"]["layout_algorithm"] == "force"
     lines = ["digraph CodeGraph {", f"  // layout: {graph['meta']['layout_algorithm']}", "  rankdir=LR;", "  node [shape=box];"]
