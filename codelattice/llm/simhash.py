@@ -49,7 +49,9 @@ DENSE_PAIRS, DENSE_KEYS = 8, 8192
 #: Bits in which the members of a dense bucket's close sets differ from the next one.
 CLOSE_BITS = 8
 #: Pairs of fingerprints that are compared at once.
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 19
+#: Pairs of sketches that are compared at once.
+SKETCHES_AT_ONCE = 1 << 15
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 16
 
@@ -108,13 +110,14 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-#: 64-bit words of the sketch that near-dedup decides candidates by; the first is the one that is sampled.
-WORDS = 8
+#: 64-bit words of the sketch that near-dedup decides candidates by, and how many of them the first pass
+#: carries; the first word is the one that is sampled.
+WORDS, FIRST_WORDS = 16, 8
 PRINTS = [f"fp{i}" for i in range(WORDS)]
 
 
 def sketches(texts: DataFrame, width: int) -> DataFrame:
-    """node, fp0 to fp7, size (distinct shingles) of each row (node, text)."""
+    """node, fp0, fp1, ..., size (distinct shingles) of each row (node, text)."""
 
     def run(batches):
         for batch in batches:
@@ -219,16 +222,30 @@ def _pair_chunks(after: np.ndarray):
         i = j
 
 
-def _near(keys: np.ndarray, second: np.ndarray, budget: int, most: float):
-    """All pairs of positions within ``budget`` bits in both fingerprints; None if there are more than ``most``."""
-    found, size, after = [], 0, np.arange(1, len(keys) + 1)
+def _alike(words: np.ndarray, size: np.ndarray, row: np.ndarray, column: np.ndarray, budget: int):
+    """(which pairs are within ``budget`` in the second word and within ``sketch_budget``, bits of these)."""
+    near = np.flatnonzero(np.bitwise_count(words[row, 1] ^ words[column, 1]) <= budget)
+    kept, far = [near[:0]], [near[:0]]
+    for i in range(0, len(near), SKETCHES_AT_ONCE):
+        some = near[i : i + SKETCHES_AT_ONCE]
+        bits = np.bitwise_count(words[row[some]] ^ words[column[some]]).sum(axis=1, dtype=np.int64)
+        close = bits <= sketch_budget(np.minimum(size[row[some]], size[column[some]]), words.shape[1])
+        kept.append(some[close])
+        far.append(bits[close])
+    return np.concatenate(kept), np.concatenate(far)
+
+
+def _near(words: np.ndarray, size: np.ndarray, budget: int, most: float):
+    """All candidate pairs of positions; None if there are more than ``most``."""
+    found, number, after, keys = [], 0, np.arange(1, len(words) + 1), np.ascontiguousarray(words[:, 0])
     for i, j in _pair_chunks(after):
         row, column = np.nonzero(np.bitwise_count(keys[i:j, None] ^ keys[None, i + 1 :]) <= budget)
         row, column = row + i, column + i + 1
-        near = (column > row) & (np.bitwise_count(second[row] ^ second[column]) <= budget)
+        row, column = row[column > row], column[column > row]
+        near, _ = _alike(words, size, row, column, budget)
         found.append((row[near], column[near]))
-        size += len(found[-1][0])
-        if size > most:
+        number += len(near)
+        if number > most:
             return None
     return np.concatenate([x[0] for x in found] or [after[:0]]), np.concatenate([x[1] for x in found] or [after[:0]])
 
@@ -244,35 +261,33 @@ def close_pairs(rows: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray,
     order = np.argsort(rows[:, WORDS + 2], kind="stable")
     rows = rows[order]
     words, size, label, block = np.ascontiguousarray(rows[:, :WORDS]).view(np.uint64), rows[:, WORDS + 1], rows[:, WORDS + 2], rows[:, WORDS + 3]
+    keys = np.ascontiguousarray(words[:, 0])
     # Where the next label begins: what lies before it needs no comparison.
     after = np.searchsorted(label, label, "right")
     apart = block.min() != block.max()
     a, b, far = [order[:0]], [order[:0]], [order[:0]]
     for i, j in _pair_chunks(after):
         start = int(after[i])
-        row, column = np.nonzero(np.bitwise_count(words[i:j, None, 0] ^ words[None, start:, 0]) <= budget)
+        row, column = np.nonzero(np.bitwise_count(keys[i:j, None] ^ keys[None, start:]) <= budget)
         row, column = row + i, column + start
         near = column >= after[row]
         if apart:
             near &= block[row] != block[column]
         row, column = row[near], column[near]
-        near = np.bitwise_count(words[row, 1] ^ words[column, 1]) <= budget
-        row, column = row[near], column[near]
-        bits = np.bitwise_count(words[row] ^ words[column]).sum(axis=1, dtype=np.int64)
-        near = bits <= sketch_budget(np.minimum(size[row], size[column]))
+        near, bits = _alike(words, size, row, column, budget)
         a.append(order[row[near]])
         b.append(order[column[near]])
-        far.append(bits[near])
+        far.append(bits)
     return np.concatenate(a), np.concatenate(b), np.concatenate(far)
 
 
-def sketch_budget(size: np.ndarray) -> np.ndarray:
+def sketch_budget(size: np.ndarray, words: int) -> np.ndarray:
     """Bits in which sketches of similar sets may differ: the mean at just ``NEAR_SIMILARITY`` and 2.5 deviations.
 
     In sets of few shingles majorities are often ties, which adds to the mean.
     """
     p = np.minimum(0.5, math.acos(2 * NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) / math.pi + 0.2 / np.maximum(size, 1))
-    bits = 64 * WORDS
+    bits = 64 * words
     return bits * p + 2.5 * np.sqrt(bits * p * (1 - p))
 
 
@@ -288,15 +303,16 @@ def nearest_first(a: np.ndarray, b: np.ndarray, far: np.ndarray, keep: int) -> t
     return chosen, np.unique(np.concatenate([a[~chosen], b[~chosen]]))
 
 
-def first_links(keys: np.ndarray, second: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Near pairs of positions of a bucket, and whether these are all.
+def first_links(words: np.ndarray, size: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of positions of a bucket, and whether these are all.
 
     A bucket with very many near pairs gives links to the medoids of its close
     sets in their place; its members are not done.
     """
-    pairs = _near(keys, second, budget, DENSE_PAIRS * max(len(keys), PAIRS_TRIE)) if len(keys) <= DENSE_KEYS else None
+    pairs = _near(words, size, budget, DENSE_PAIRS * max(len(words), PAIRS_TRIE)) if len(words) <= DENSE_KEYS else None
     if pairs is not None:
         return *pairs, True
+    keys, second = np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
     one, of = np.unique(keys, return_index=True, return_inverse=True)[1:]
     child, parent = trie_links(keys[one], np.zeros(len(one), np.int64), CLOSE_BITS)
     up = np.arange(len(one))
@@ -447,17 +463,18 @@ def _trie_rows(budget: int):
 
 
 def _first_rows(budget: int):
-    """Rows (mask, value, fp0, fp1, node) to links of nodes; a link of a node with itself marks it as not done."""
+    """Rows (mask, value, sketch, node, size) to links of nodes; a link of a node with itself marks it as not done."""
 
     def links(rows: np.ndarray):
-        edge, a, b = _edge_list(rows), [rows[:0, 4]], [rows[:0, 4]]
+        edge, a, b = _edge_list(rows), [rows[:0, 0]], [rows[:0, 0]]
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if y - x < 2:
                 continue
-            keys = np.ascontiguousarray(rows[x:y, 2:4]).view(np.uint64)
-            order = np.argsort(keys[:, 0], kind="stable")
-            child, parent, done = first_links(np.ascontiguousarray(keys[order, 0]), np.ascontiguousarray(keys[order, 1]), budget)
-            node = rows[x:y, 4][order]
+            mine = rows[x:y, 2:]
+            words = np.ascontiguousarray(mine[:, :FIRST_WORDS]).view(np.uint64)
+            order = np.argsort(words[:, 0], kind="stable")
+            child, parent, done = first_links(words[order], mine[order, FIRST_WORDS + 1], budget)
+            node = mine[order, FIRST_WORDS]
             a.append(node[child])
             b.append(node[parent])
             if not done:
@@ -580,19 +597,14 @@ NEAREST = (16, 256, None)
 
 
 def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
-    """node, shingles: the distinct shingle hashes of each text."""
-    from xxhash import xxh64_intdigest
+    """node, shingles: the distinct shingles of each text, as 32 bits of their hashes."""
 
     def run(batches):
         for batch in batches:
-            sets = []
-            for text in batch.column("text").to_pylist():
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-                sets.append(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [np.unique(np.array(_hashes(text, width), dtype="<u8") >> np.uint64(32)).astype(np.uint32).view(np.int32) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return docs.select("node", "text").mapInArrow(run, "node bigint, shingles array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -601,29 +613,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return texts.withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint"))
 
 
-def _similar(edges: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges (a, b) between nodes whose texts' shingle sets are similar."""
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    firsts = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("end"), "first")
+def _sets(ids: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The shingle sets of some nodes; texts are shuffled for them once."""
+    firsts = nodes.join(ids.distinct(), "node", "left_semi").select(F.col("node").alias("end"), "first")
     asked = texts.join(firsts.hint("merge"), (F.col("node") == F.col("end")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    sets = cut(shingle_sets(asked).dropDuplicates(["node"]), "shingles")
+    return cut(shingle_sets(asked, width).dropDuplicates(["node"]), "shingles")
+
+
+def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) between nodes whose shingle sets are similar."""
     met = edges.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     both = F.size(F.array_intersect("s", "t"))
-    alike = cut(met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("a", "b"), "alike")
-    drop_cut(sets)
-    return alike
+    return cut(met.filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("a", "b"), "alike")
 
 
 def _near_groups(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, budget: int = NEAR_BUDGET, nearest=NEAREST, most: int = NEAR_MOST) -> DataFrame:
     """node, first (its smallest doc_id), n (rows with both), root: groups of texts whose shingle sets are similar.
 
-    Pairs within ``budget`` bits in both of two fingerprints are candidates;
-    the Jaccard similarity of the shingle sets decides each. The budget is too
-    wide for the pigeonhole, so buckets come from sampled bits, as many as the
-    recall at just ``similarity`` asks for at any number of texts.
+    Pairs within ``budget`` bits in both of two fingerprints and near in a
+    sketch of 512 bits are candidates; the Jaccard similarity of the shingle
+    sets decides each. The budget is too wide for the pigeonhole, so buckets
+    come from sampled bits, as many as the recall at just ``similarity`` asks
+    for at any number of texts.
 
     Where candidates are dense, links to medoids are decided first. What these
-    did not connect is compared again, by sketches of 512 bits: first the
+    did not connect is compared again, by sketches of 1024 bits: first the
     nearest candidates of each text, then further ones, at last all. Only
     candidates between texts that are not connected yet are left each time.
     """
@@ -635,15 +649,16 @@ def _near_groups(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float =
     prints = cut(sketches(texts, width).dropDuplicates(["node"]), "sketches")
     choices = sampled_masks(prints.count(), near_bits(similarity, budget), NEAR_RECALL, NEAR_KEYS)
     crowded = _crowded(prints, choices, most)
-    links = cut(_buckets(prints, choices, ["fp0", "fp1", "node"], _first_rows(budget), crowded), "links")
+    links = cut(_buckets(prints, choices, [*PRINTS[:FIRST_WORDS], "node", "size"], _first_rows(budget), crowded), "links")
     edges = links.filter("a != b")
-    alike = _similar(edges, texts, nodes, width, similarity)
-    roots = connected_components(alike)
     dense = links.filter("a = b").select(F.col("a").alias("node"))
     if crowded is not None:
         # Rows of different blocks have not met yet.
         dense = dense.unionByName(_mask_values(prints, choices).join(F.broadcast(crowded), ["mask", "value"]).select("node")).distinct()
     dense = cut(dense, "dense")
+    sets = _sets(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).unionByName(dense), texts, nodes, width)
+    alike = _similar(edges, sets, similarity)
+    roots = connected_components(alike)
     if not dense.isEmpty():
         some = cut(prints.join(dense, "node", "left_semi"), "some")
         crowded = _crowded(some, choices, most) if crowded is not None else None
@@ -653,12 +668,13 @@ def _near_groups(texts: DataFrame, width: int = NEAR_WIDTH, similarity: float =
             found = cut(_buckets(labels, choices, columns, _close_rows(budget, keep), crowded, across=True), "close")
             rest = cut(found.filter("a != b").join(edges, ["a", "b"], "left_anti"), "rest")
             if not rest.isEmpty():
-                more = _similar(rest, texts, nodes, width, similarity)
+                more = _similar(rest, sets, similarity)
                 edges, alike = edges.unionByName(rest), alike.unionByName(more)
                 if not more.isEmpty():
                     roots = connected_components(alike)
             if found.filter("a = b").isEmpty():
                 break
+    drop_cut(sets)
     return cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
 
 

@@ -55,7 +55,7 @@ def test_trie_joins_all(budget, spread):
     want = components(keys, budget)
     assert len({(a, b) for a, b in zip(label.tolist(), want)}) == len(set(want)) == len(set(label.tolist()))
     n = op.PAIRS_TRIE
-    a, b, done = op.first_links(arr[:n], arr[:n], budget)
+    a, b, done = op.first_links(np.repeat(arr[:n, None], op.FIRST_WORDS, axis=1), np.full(n, 500), budget)
     assert done
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if bin(keys[i] ^ keys[j]).count("1") <= budget}
@@ -67,7 +67,9 @@ def test_changed_copies_hang_on_what_they_were_copied_from():
     flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), 6))
     prints = sorted({(base, other)} | {(flip(base), flip(other)) for _ in range(80)})
     keys, second = np.array([p[0] for p in prints], np.uint64), np.array([p[1] for p in prints], np.uint64)
-    a, b, done = op.first_links(keys, second, 14)
+    # Copies of copies' bits in the other words: near enough to be dense.
+    words = np.column_stack([keys, second, *[np.full(len(keys), 5, np.uint64)] * (op.FIRST_WORDS - 2)])
+    a, b, done = op.first_links(words, np.full(len(keys), 500), 14)
     assert not done and len(a) == 80 and set(keys[b].tolist()) == {base}
 
 
@@ -166,7 +168,7 @@ def test_shared_passage_against_brute_force(spark):
     assert sum(got[i] == want[i] for i in copies) >= 0.9 * len(copies)
 
 
-def bucket(rng, n, label, block=None, spread=60):
+def bucket(rng, n, label, block=None, spread=160):
     """Rows of a bucket: sketches that differ from one another in few bits, node, size, label, block."""
     base = [rng.getrandbits(64) for _ in range(op.WORDS)]
     flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
@@ -183,7 +185,7 @@ def test_all_candidates_between_labels(blocks):
     for i in range(60):
         for j in range(i):
             words = [bin(int(x) & (2**64 - 1)).count("1") for x in rows[i, : op.WORDS] ^ rows[j, : op.WORDS]]
-            if rows[i, op.WORDS + 2] != rows[j, op.WORDS + 2] and words[0] <= 18 and words[1] <= 18 and sum(words) <= op.sketch_budget(np.array(300)) and (blocks == 1 or block[i] != block[j]):
+            if rows[i, op.WORDS + 2] != rows[j, op.WORDS + 2] and words[0] <= 18 and words[1] <= 18 and sum(words) <= op.sketch_budget(np.array(300), op.WORDS) and (blocks == 1 or block[i] != block[j]):
                 want[j, i] = sum(words)
     assert len(want) > 100
     a, b, far = op.close_pairs(rows, 18)
@@ -235,9 +237,10 @@ def test_repeated_lines_do_not_hide_copies(spark):
 
 def test_equal_fingerprints_are_all_compared():
     keys = np.full(70, 9, np.uint64)
-    a, _, done = op.first_links(keys[:16], keys[:16], 14)
+    words = np.full((70, op.FIRST_WORDS), 9, np.uint64)
+    a, _, done = op.first_links(words[:16], keys[:16].astype(np.int64), 14)
     assert done and len(a) == 120
-    a, b, done = op.first_links(keys, keys, 14)
+    a, b, done = op.first_links(words, keys.astype(np.int64), 14)
     assert not done and len(a) == 69 and len(set(b.tolist())) == 1
     rows = np.column_stack([np.full((70, op.WORDS), 9), np.arange(70), np.full(70, 100), np.arange(70), np.zeros(70, np.int64)])
     assert len(op.close_pairs(rows, 18)[0]) == 70 * 69 // 2
@@ -254,8 +257,8 @@ def test_sketches_of_similar_sets_are_within_their_budget():
             one, two = op.sketch(" ".join(words), 5, op.WORDS), op.sketch(" ".join(words[: len(words) - cut]), 5, op.WORDS)
             half = op.sketch(" ".join(words[: max(5, int(0.45 * n))] + [f"y{rng.randrange(10**9)}" for _ in range(int(0.55 * n))]), 5, op.WORDS)
             bits = lambda x, y: int(np.bitwise_count(x[0] ^ y[0]).sum())
-            kept += bits(one, two) <= op.sketch_budget(np.array(min(one[1], two[1])))
-            far += bits(one, half) <= op.sketch_budget(np.array(min(one[1], half[1])))
+            kept += bits(one, two) <= op.sketch_budget(np.array(min(one[1], two[1])), op.WORDS)
+            far += bits(one, half) <= op.sketch_budget(np.array(min(one[1], half[1])), op.WORDS)
         assert kept >= least * trials and (n < 100 or far < 0.01 * trials), (n, kept, far)
 
 
