@@ -144,12 +144,16 @@ def likely_candidates(symbols: DataFrame, sites: DataFrame, receiver_types: Data
     of_box = _first(near.filter("boxed"), 2 * k, *kind, "cand_container")
     rest = _first(_first(of_box.unionByName(_first(near.filter("not boxed"), 2 * k, *kind)), 3 * k, *kind, "cand_path"), 8 * k, *kind)
     boxes = F.array_distinct(F.array_compact(F.array("receiver_type", "receiver_tail", "src_container")))
+    far = ~F.col("src_path").eqNullSafe(F.col("cand_path"))
+    special = F.coalesce((F.col("kind") == "member") & F.array_contains(boxes, F.col("cand_container")), F.lit(False))
     in_file = calls.join(near.withColumn("src_path", F.col("cand_path")), ["match_name", "src_path"])
-    in_box = calls.filter("kind = 'member'").withColumn("box", F.explode(boxes)).join(of_box.withColumn("box", F.col("cand_container")), ["match_name", "box"]).drop("box")
-    others = calls.join(rest, "match_name")
-    met = _scored(in_file.unionByName(in_box, allowMissingColumns=True).unionByName(others, allowMissingColumns=True).filter(_MEET))
-    best = met.groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct(*_SCORED), "score").alias("c")).select("src", "call_ord", "cand_id", "c.*")
-    return _finished(best)
+    in_box = calls.filter("kind = 'member'").withColumn("box", F.explode(boxes)).join(of_box.withColumn("box", F.col("cand_container")), ["match_name", "box"]).drop("box").filter(far)
+    others = calls.join(rest, "match_name").filter(far & ~special)
+    met = _scored(in_file.unionByName(in_box, allowMissingColumns=True).unionByName(others, allowMissingColumns=True).filter(_MEET)).select("src", "call_ord", "cand_id", *_SCORED)
+    # The three parts share no definition, so only a dotted name may meet one twice.
+    dotted = F.col("call_name").rlike("[.:]")
+    best = met.filter(dotted).groupBy("src", "call_ord", "cand_id").agg(F.max_by(F.struct(*_SCORED), "score").alias("c")).select("src", "call_ord", "cand_id", "c.*")
+    return _finished(met.filter(~dotted).unionByName(best))
 
 
 def _by_score():
