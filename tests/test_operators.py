@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import names
 from codelattice.operators import graphs, resolve, scc, traverse
+from codelattice.operators.durable import durable
 from codelattice.options import Architecture, DeadCode, Resolution, depth, to_bool
 from codelattice.plans import documents
 from codelattice.plans.index import CodeIndex
@@ -294,3 +295,27 @@ def test_tarjan_is_iterative():
     chain = [(i, i + 1) for i in range(20000)] + [(20000, 0)]
     assert [len(x) for x in scc.tarjan(chain)] == [20001]
     assert list(itertools.chain(*scc.tarjan([]))) == []
+
+
+def test_durable_tables_forget_the_estimate_of_their_plan(spark):
+    """A table that is joined with itself in a loop; its estimate would double its digits each round."""
+    t = durable(spark.range(40).select("id", ((F.col("id") * 7 + 3) % 40).alias("to")))
+    least = t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    for _ in range(5):
+        t = durable(t.join(t.toDF("to", "far"), "to").select("id", F.col("far").alias("to")))
+        assert t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= least
+    assert t.count() == 40 and t.schema.names == ["id", "to"]
+
+
+def test_what_is_left_of_a_large_graph_goes_to_one_task(spark, monkeypatch):
+    """A ring of 12 and, behind it, two of 3 and a pair: the first round settles the ring only."""
+    rings, pairs, base = (12, 3, 3, 2), [], 0
+    for n in rings:
+        pairs += [(base + i, base + (i + 1) % n) for i in range(n)] + ([(base - 1, base)] if base else [])
+        base += n
+    want = {i: first for first, n in zip((0, 12, 15, 18), rings) for i in range(first, first + n)}
+    sizes, done = [], scc._in_one_task
+    monkeypatch.setattr(scc, "_in_one_task", lambda edges: sizes.append(edges.count()) or done(edges))
+    symbols, edges = spark.range(base).withColumnRenamed("id", "symbol_id"), spark.createDataFrame([(b, a) for a, b in pairs] + [(a, a) for a in range(3)], "src bigint, dst bigint")
+    assert {r[0]: r[1] for r in scc.strong_components(symbols, edges, 16).collect()} == want
+    assert sizes and max(sizes) <= 16
