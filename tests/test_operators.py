@@ -319,3 +319,45 @@ def test_what_is_left_of_a_large_graph_goes_to_one_task(spark, monkeypatch):
     symbols, edges = spark.range(base).withColumnRenamed("id", "symbol_id"), spark.createDataFrame([(b, a) for a, b in pairs] + [(a, a) for a in range(3)], "src bigint, dst bigint")
     assert {r[0]: r[1] for r in scc.strong_components(symbols, edges, 16).collect()} == want
     assert sizes and max(sizes) <= 16
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_likely_merged_selects_as_all_merged_candidates_do(spark, seed):
+    """An outside source that raises some candidates, names the caller itself, and names what has no symbol."""
+    rng = random.Random(seed)
+    boxes, paths = ["A", "B", "self", None], ["p1", "p2", "p3"]
+    rows = []
+    for i in range(160):
+        box, short = rng.choice(boxes), rng.choice(["f", "g", "<anonymous>"])
+        rows.append((i, short if box is None else f"{box}.{short}", short, box, rng.choice(paths)))
+    symbols = durable(spark.createDataFrame(rows, "symbol_id int, name string, short_name string, container string, relpath string"))
+    calls = [(i, k, raw) for i in range(160) for k, raw in enumerate(rng.sample(["f", "g", "A.f", "B:g", "x.f", "this.g", "self:f", "y:g", "q.A.f"], 4))]
+    sites = durable(resolve.call_sites(spark.createDataFrame(calls, "src int, call_ord int, raw string")))
+    types = spark.createDataFrame([(i, "x", rng.choice(["A", "Z", "self"])) for i in range(0, 160, 2)], "symbol_id int, var string, type string")
+    outside = spark.createDataFrame([(i, rng.choice(["f", "g", "A.f", " B.g", "q.A.f", "h"]), rng.choice([*paths, "vendor", None])) for i in range(0, 160, 3) for _ in range(2)], "src int, name string, path string")
+    found = durable(resolve.external_candidates(symbols, outside))
+    for options in (Resolution(), Resolution(max_targets=5, score_window=200, min_confidence="low")):
+        pick = lambda c: sorted(map(str, resolve.targets(c, options).select("src", "call_ord", "target_ord", "cand_id", "cand_name", "cand_path", "source", "score", "confidence", "reasons").collect()))
+        few = durable(resolve.likely_merged(symbols, sites, types, found, options))
+        assert pick(few) == pick(resolve.merge_external(resolve.candidates(symbols, sites, types), found, sites))
+        assert few.groupBy("src", "call_ord").count().filter(F.col("count") > 2 * options.max_targets).isEmpty()
+
+
+def test_external_candidates_against_every_pair(spark):
+    """Names that match in part, with blanks, and twice over, by the rule on each pair of a file."""
+    symbols = spark.createDataFrame([(0, "A.f", "f", "A", "p"), (1, "f", "f", None, "p"), (2, "B:A.f", "A.f", "B", "p"), (3, "g  h", "h", None, "p"), (4, "f", "f", None, "q"), (5, "xf", "xf", None, "p")], "symbol_id int, name string, short_name string, container string, relpath string")
+    asked = spark.createDataFrame([(0, n, p) for n in ("f", "A.f", "Z.A.f", "g h", "h", "", "f.", None) for p in ("p", "q", "v", None)], "src int, name string, path string")
+    got = {(r["cand_id"], r["cand_path"], r["source"]) for r in resolve.external_candidates(symbols, asked).collect()}
+    pairs = asked.join(symbols, asked["path"] == symbols["relpath"]).filter(names.names_match(asked["name"], symbols["name"]) | names.names_match(asked["name"], symbols["short_name"]))
+    want = [(r["symbol_id"], r["path"]) for r in pairs.collect()]
+    hits = [(r["cand_id"], r["cand_path"]) for r in resolve.external_candidates(symbols, asked).filter("cand_id is not null").collect()]
+    assert sorted(hits) == sorted(want) and len(want) > 8
+    assert (None, "v", "lsp") in got
+
+
+def test_merged_candidates_of_the_queries_are_few(spark):
+    from codelattice.fixtures import Fixture
+    from codelattice.plans import queries
+
+    _, merged = queries._merged(Fixture(spark, "/root/testdata/sf0.001"))
+    assert merged.groupBy("src", "call_ord").count().agg(F.max("count")).first()[0] <= 2 * Resolution().max_targets
