@@ -361,3 +361,44 @@ def test_merged_candidates_of_the_queries_are_few(spark):
 
     _, merged = queries._merged(Fixture(spark, "/root/testdata/sf0.001"))
     assert merged.groupBy("src", "call_ord").count().agg(F.max("count")).first()[0] <= 2 * Resolution().max_targets
+
+
+def _written_lua(n):
+    return "".join(f"function Box{i % 7}.name_{i}(a)\n  -- end {{\n  return other.name_{i}(a, 'end')\nend\n" for i in range(n))
+
+
+def test_scan_time_grows_with_the_text():
+    def took(n):
+        text, began = _written_lua(n), time.thread_time()
+        assert len(extract.extract("a.lua", "lua", text)) == n
+        return time.thread_time() - began
+
+    took(100)
+    assert took(1600) < 24 * min(took(200) for _ in range(3))
+
+
+@pytest.mark.parametrize("text", ["function  \n a(", "xfunction a(", "function", "fn a(", " class\ta(", "end a(", "x = class(", "_fn a(", "a(", "  a("])
+def test_names_after_a_definition_word(text):
+    import re
+
+    for at in range(len(text) + 1):
+        assert extract._is_defined(text, at) == bool(re.search(r"\b(function|fn|func|class)$", text[:at].rstrip()))
+
+
+def test_extracted_rows_leave_in_parts(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(extract, "ROWS_AT_ONCE", 4)
+    batch = pd.DataFrame({"relpath": ["a.lua", "b.lua"], "lang": ["lua", "lua"], "content": [_written_lua(6), _written_lua(5)]})
+    parts = list(extract._extract_batches([batch, batch]))
+    assert max(map(len, parts)) == 4 and pd.concat(parts)["ord"].tolist() == 2 * [0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+
+
+def test_calls_are_resolved_when_they_are_first_read(spark, monkeypatch):
+    done, likely = [], resolve.likely_candidates
+    monkeypatch.setattr(resolve, "likely_candidates", lambda *a: done.append(1) or likely(*a))
+    rows = spark.createDataFrame([("a.lua", "lua", "function f()\n  g()\nend\nfunction g()\nend\n")], "relpath string, lang string, content string")
+    index = CodeIndex.build(spark, files=rows).refresh(spark).with_history(None, None)
+    assert index.symbols.count() == 2 and "CodeIndex" in repr(index) and not done
+    assert [tuple(r) for r in index.edges.select("src", "dst").collect()] == [("a.lua:1:1:f", "a.lua:4:1:g")]
+    assert index.targets.count() == index.edges.count() == 1 and len(done) == 1
