@@ -12,7 +12,7 @@ from codelattice.functions import names
 from codelattice.operators import graphs, resolve, scc, traverse
 from codelattice.operators.durable import durable
 from codelattice.options import Architecture, DeadCode, Resolution, depth, to_bool
-from codelattice.plans import documents
+from codelattice.plans import documents, queries
 from codelattice.plans.index import CodeIndex
 from codelattice.sinks import export
 from codelattice.sources import extract, files, gitlog
@@ -402,3 +402,17 @@ def test_calls_are_resolved_when_they_are_first_read(spark, monkeypatch):
     assert index.symbols.count() == 2 and "CodeIndex" in repr(index) and not done
     assert [tuple(r) for r in index.edges.select("src", "dst").collect()] == [("a.lua:1:1:f", "a.lua:4:1:g")]
     assert index.targets.count() == index.edges.count() == 1 and len(done) == 1
+
+
+def test_outside_candidates_without_a_symbol_need_no_others(spark):
+    """The rows that become outside nodes, also of calls with more indexed candidates than can be selected."""
+    x = queries.Fixture(spark, "/root/testdata/sf0.001")
+    symbols, sites, outside = queries._beside(x)
+    columns = ["src", "call_ord", "cand_name", "cand_path", "call_name", "source", "score", "confidence"]
+    rows = lambda df: sorted(tuple(r) for r in df.filter("cand_id is null").select(columns).collect())
+    got = resolve.unindexed(outside, sites)
+    assert rows(got) == rows(resolve.merge_external(resolve.candidates(x.symbols, sites, x.receiver_types), outside, sites)) and got.count()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # Calls are resolved once, and not again for the outside nodes and edges.
+    assert "row_number" not in plan(queries._knowledge(x)[0])
+    assert plan(resolve.likely_merged(symbols, sites, x.receiver_types, outside)).count("RepartitionByExpression [src") == 1
