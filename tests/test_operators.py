@@ -5,11 +5,12 @@ import random
 import time
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from codelattice.functions import names
-from codelattice.operators import graphs, resolve, scc, traverse
+from codelattice.operators import graphs, reports, resolve, scc, traverse
 from codelattice.operators.durable import durable
 from codelattice.options import Architecture, DeadCode, Resolution, depth, to_bool
 from codelattice.plans import documents, queries
@@ -297,6 +298,28 @@ def test_tarjan_is_iterative():
     assert list(itertools.chain(*scc.tarjan([]))) == []
 
 
+def test_the_least_id_of_a_component_is_found_once():
+    class Id(int):
+        met = 0
+
+        def __lt__(self, other):
+            Id.met += 1
+            return int(self) < int(other)
+
+    n = 500
+    ids = [Id(i) for i in range(n)]
+    out = scc._tarjan_group(pd.DataFrame({"src": ids, "dst": ids[1:] + ids[:1]}, dtype=object))
+    assert set(out["scc_id"]) == {0} and len(out) == n
+    # The search and the least id each compare a node a few times, not with all others for each of them.
+    assert Id.met < 10 * n
+
+
+def test_components_are_kept_for_scores_and_stats(spark):
+    symbols, edges, _, _ = graph(spark, 7)
+    for table in reports.complexity_scores(symbols, edges):
+        assert "FlatMapGroupsInPandas" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_durable_tables_forget_the_estimate_of_their_plan(spark):
     """A table that is joined with itself in a loop; its estimate would double its digits each round."""
     t = durable(spark.range(40).select("id", ((F.col("id") * 7 + 3) % 40).alias("to")))
