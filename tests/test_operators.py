@@ -320,6 +320,15 @@ def test_components_are_kept_for_scores_and_stats(spark):
         assert "FlatMapGroupsInPandas" not in table._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_risk_scores_are_made_of_kept_tables(spark):
+    symbols, edges, _, _ = graph(spark, 8)
+    churn = spark.createDataFrame([("p0/m0.lua", 5, 1), ("p1/m1.lua", 9, 2)], "path string, churn bigint, touches bigint")
+    plan = reports.risk_scores(symbols, edges, churn)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    # The rows beside the greatest values; the churn of all symbols' files.
+    assert sum(line.lstrip(" :+-").startswith("Join ") for line in plan.splitlines()) <= 3
+
+
 def test_durable_tables_forget_the_estimate_of_their_plan(spark):
     """A table that is joined with itself in a loop; its estimate would double its digits each round."""
     t = durable(spark.range(40).select("id", ((F.col("id") * 7 + 3) % 40).alias("to")))
