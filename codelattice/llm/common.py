@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -127,3 +128,14 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished phases."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def trimmed(out):
+    """``out``, after what was freed went back to the system, where the C library can do that.
+
+    Spark keeps a Python worker for later stages, with all memory it has.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    return out

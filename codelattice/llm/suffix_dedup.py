@@ -8,8 +8,10 @@ merge-scanned against the levels that earlier batches left, and becomes a
 level itself; levels of like size are merged, so there are logarithmically
 many. Suffixes are cut to the depth of a match and ordered by a fingerprint of
 these bytes, which sorts as a number; what a scan finds equal is compared byte
-by byte, and a shard in which a fingerprint deceives is redone in the order of
-the bytes themselves.
+by byte, and a range in which a fingerprint deceives is redone in the order of
+the bytes themselves. All this is done for one range of fingerprints after
+another, as equal strings have equal ones, so a task holds a shard's bytes,
+fingerprints and answers, but the sorted arrays of a part of its strings only.
 
 Indexing every position would shuffle each byte many times over. A string of
 50 bytes has one minimizer among its 31 grams of 20 bytes, and equal strings
@@ -54,7 +56,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_by, delete, drop_cut, release_shuffles, text_or_empty
+from .common import cut, cut_by, delete, drop_cut, release_shuffles, text_or_empty, trimmed
 
 MATCH = 50
 GRAM = 20
@@ -70,6 +72,8 @@ CHUNK = 256 << 10
 PIECE = 64 << 20
 #: Parts that an id range of more than a batch is cut to, in each look.
 FAN = 64
+#: Strings of a shard, about, that are sorted and scanned together: those of a range of fingerprints.
+PART = 1 << 19
 #: New arrays for each shard, about: batches arrive together up to this part of it.
 SCANS = 8
 HASH_BITS = 46
@@ -353,6 +357,18 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return at + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(n) - n), n)
 
 
+def _all_keys(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Fingerprints of all strings of neighbourhoods laid end to end, found for about ``CHUNK`` bytes at once."""
+    ends = np.cumsum(lengths)
+    out, done = np.empty(len(data) - (MATCH - 1) * len(lengths), np.uint64), 0
+    cuts = np.unique(np.searchsorted(ends, np.arange(CHUNK, len(data), CHUNK), "right").tolist() + [0, len(ends)])
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = _places(lengths[i:j])
+        out[done : done + len(at)] = string_keys(data[ends[i] - lengths[i] : ends[j - 1]])[at]
+        done += len(at)
+    return out
+
+
 def _answers(data: np.ndarray, place: np.ndarray, key: np.ndarray, first_key: np.ndarray, cuts: np.ndarray, held=()) -> tuple[np.ndarray, np.ndarray]:
     """For each string: -1 if a held level or an earlier scan has it, else the least ``first_key`` of its scan; and which strings are new to the family.
 
@@ -414,6 +430,22 @@ def _merge_levels(rows: pd.DataFrame) -> pd.DataFrame:
     return _packed(int(rows["shard"].iloc[0]), lengths, data, keys, places)
 
 
+def _part(whole: np.ndarray, place: np.ndarray, key: np.ndarray, first_key: np.ndarray, cuts: np.ndarray, held: list, new_level: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``_answers``; where a fingerprint deceives, in the order of the bytes."""
+    try:
+        return _answers(whole, place, key, first_key, cuts, held)
+    except _Deceived:
+        if new_level:
+            raise RuntimeError("two strings of the index have one fingerprint") from None
+    # What the levels hold takes part.
+    windows = np.lib.stride_tricks.sliding_window_view(whole, MATCH)
+    every = np.concatenate([place, *(p for _, p in held)])
+    exact = np.unique(np.ascontiguousarray(windows[every]).view(f"S{MATCH}").reshape(-1), return_inverse=True)[1].reshape(-1).astype(np.uint64)
+    parts = np.split(exact, np.cumsum([len(place), *(len(p) for _, p in held)])[:-1])
+    ordered = [(np.sort(k), p[np.argsort(k, kind="stable")]) for k, (_, p) in zip(parts[1:], held)]
+    return _answers(whole, place, parts[0], first_key, cuts, ordered)
+
+
 def _index(new_level: bool):
     """Merge-scan the batches of a shard in order, and after the levels of earlier calls; answer for each string.
 
@@ -428,49 +460,48 @@ def _index(new_level: bool):
         rows = rows.sort_values(["slot", "batch"]).reset_index(drop=True)
         data, lengths = _texts(rows)
         count = np.array([int(x.sum()) - (MATCH - 1) * len(x) for x in lengths])
+        many = np.array([len(x) for x in lengths])
         all_lengths = np.concatenate(lengths)
-        place = _places(all_lengths)
+        key = _all_keys(data, all_lengths)
+        of = np.repeat(np.arange(len(all_lengths), dtype=np.int32), all_lengths - MATCH + 1)
         rank = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["first_rank"]]).astype(np.int64)
-        slots = np.repeat(rows["slot"].to_numpy(np.int64), count)
-        first_key = (slots << 32) | np.repeat(rank, all_lengths - MATCH + 1)
+        span_key = (np.repeat(rows["slot"].to_numpy(np.int64), many) << 32) | rank
         # Scans end where an id range does: batches of one id arrive together.
         cuts, share, slot = [0], count.sum() / SCANS, rows["slot"].tolist()
         for k, upto in enumerate(np.cumsum(count).tolist()):
-            if upto == len(place) or (upto - cuts[-1] >= share and slot[k + 1] != slot[k]):
+            if upto == len(key) or (upto - cuts[-1] >= share and slot[k + 1] != slot[k]):
                 cuts.append(upto)
-        cuts = np.unique(cuts)
         held, text, at = [], [data], len(data)
         for _, old, keys, places in _unpacked(levels) if levels is not None and len(levels) else ():
             held.append((keys, places + at))
             text.append(old)
             at += len(old)
         whole = np.concatenate(text) if len(text) > 1 else data
-        try:
-            first, fresh = _answers(whole, place, string_keys(data)[place], first_key, cuts, held)
-        except _Deceived:
-            if new_level:
-                raise RuntimeError("two strings of the index have one fingerprint") from None
-            # In the order of the bytes; what the levels hold takes part.
-            windows = np.lib.stride_tricks.sliding_window_view(whole, MATCH)
-            every = np.concatenate([place, *(p for _, p in held)])
-            exact = np.unique(np.ascontiguousarray(windows[every]).view(f"S{MATCH}").reshape(-1), return_inverse=True)[1].reshape(-1).astype(np.uint64)
-            parts = np.split(exact, np.cumsum([len(place), *(len(p) for _, p in held)])[:-1])
-            ordered = [(np.sort(k), p[np.argsort(k, kind="stable")]) for k, (_, p) in zip(parts[1:], held)]
-            first, fresh = _answers(whole, place, parts[0], first_key, cuts, ordered)
+        answer, fresh = np.zeros(len(key), np.uint32), np.zeros(len(key), bool)
+        # Equal strings have one fingerprint, so its ranges are answered one after another.
+        parts = max(1, math.ceil(len(key) / PART))
+        bounds = [(i << 64) // parts for i in range(parts + 1)]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            pick = np.flatnonzero((key >= np.uint64(lo)) & (key <= np.uint64(hi - 1)))
+            if not len(pick):
+                continue
+            place, first_key = pick + (MATCH - 1) * of[pick].astype(np.int64), span_key[of[pick]]
+            scans = np.unique(np.searchsorted(pick, cuts))
+            mine = [(k[a:z], p[a:z]) for k, p in held if (a := np.searchsorted(k, np.uint64(lo))) < (z := np.searchsorted(k, np.uint64(hi - 1), "right"))]
+            first, fresh[pick] = _part(whole, place, key[pick], first_key, scans, mine, new_level)
+            answer[pick] = np.where((first >= 0) & (first >> 32 == first_key >> 32), (first & 0xFFFFFFFF) + 1, 0)
         if new_level:
             # The neighbourhoods that hold a new string, and the new strings in order.
-            of = np.repeat(np.arange(len(all_lengths)), all_lengths - MATCH + 1)
             stay = np.zeros(len(all_lengths), bool)
             stay[of[fresh]] = True
             begin = np.cumsum(all_lengths) - all_lengths
             moved = np.cumsum(np.where(stay, all_lengths, 0)) - np.where(stay, all_lengths, 0)
             kept = data[np.repeat(stay, all_lengths)]
-            places = place[fresh] - begin[of[fresh]] + moved[of[fresh]]
-            keys = string_keys(data)[place[fresh]]
+            new = np.flatnonzero(fresh)
+            places = new + (MATCH - 1) * of[new].astype(np.int64) - begin[of[new]] + moved[of[new]]
+            keys = key[new]
             order = np.argsort(keys, kind="stable")
             return _packed(int(rows["shard"].iloc[0]), all_lengths[stay], kept, keys[order], places[order])
-        same = (first >= 0) & ((first >> 32) == slots)
-        answer = np.where(same, (first & 0xFFFFFFFF) + 1, 0).astype(np.uint32)
         answers = [zlib.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(count)[:-1])]
         return pd.DataFrame({"kind": "hit", "shard": rows["shard"], "batch": rows["batch"], "slot": rows["slot"], "lengths": b"", "first_rank": b"", "payload": answers})
 
@@ -484,7 +515,7 @@ def _remove(with_kept: bool):
     def run(docs: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
         batch = _Batch(docs)
         begin = np.cumsum(batch.length) - batch.length
-        hits = []
+        hit = np.zeros(int(batch.length.sum()), bool)
         answers = {s: p for k, s, p in zip(facts["kind"], facts["shard"], facts["payload"]) if k == "hit"}
         for kind, s, n, payload in zip(facts["kind"], facts["shard"], facts["lengths"], facts["payload"]):
             if kind != "seen":
@@ -496,9 +527,9 @@ def _remove(with_kept: bool):
             of = np.repeat(np.arange(len(span)), many)
             step = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
             got = answer[(np.cumsum(n) - n)[span[of]] + step]
-            hit = (got == 0) | (got - 1 < batch.rank[row[of]])
-            hits.append((begin[row] + at)[of[hit]] + step[hit])
-        hits = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+            gone = (got == 0) | (got - 1 < batch.rank[row[of]])
+            hit[(begin[row] + at)[of[gone]] + step[gone]] = True
+        hits = np.flatnonzero(hit)
         doc = np.searchsorted(begin + batch.length, hits, "right")
         new = np.ones(len(hits), bool)
         new[1:] = (hits[1:] - hits[:-1] > MATCH) | (doc[1:] != doc[:-1])
@@ -627,6 +658,16 @@ class RepeatIndex:
                 delete(self.spark, f"{self.path}/{name}")
 
 
+def _alone(run):
+    """``run`` over a group."""
+    return lambda rows: trimmed(run(rows))
+
+
+def _paired(run):
+    """``run`` over a group of each of two tables."""
+    return lambda rows, others: trimmed(run(rows, others))
+
+
 def remove_repeats(docs: DataFrame, with_kept: bool = True, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES, index: RepeatIndex | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for each row of ``docs``.
 
@@ -638,25 +679,23 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, batch_bytes: int = B
     shards = index.shards if index is not None else max(1, math.ceil(total / shard_bytes))
     hash_shards = max(1, math.ceil(total / (4 * shard_bytes)))
     if index is None:
-        said = rows.groupBy("batch").applyInPandas(_announce(hash_shards), HASHES)
-        flags = cut(said.groupBy("shard").applyInPandas(_shared, HASHES), "shared")
+        said = rows.groupBy("batch").applyInPandas(_alone(_announce(hash_shards)), HASHES)
+        flags = cut(said.groupBy("shard").applyInPandas(_alone(_shared), HASHES), "shared")
         release_shuffles(spark)
-        near = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_neighbourhoods(shards, hash_shards), SPANS)
+        near = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(_paired(_neighbourhoods(shards, hash_shards)), SPANS)
     else:
-        find = _neighbourhoods(shards, hash_shards)
-        near = rows.groupBy("batch").applyInPandas(lambda frame: find(frame), SPANS)
+        near = rows.groupBy("batch").applyInPandas(_alone(_neighbourhoods(shards, hash_shards)), SPANS)
     spans, seen = cut_by(near, "spans", "kind", ["span", "seen"])
     if index is None:
         drop_cut(flags)
     release_shuffles(spark)
     if index is None:
-        answer = _index(False)
-        hits = cut(spans.groupBy("shard").applyInPandas(lambda frame: answer(frame), SPANS), "hits")
+        hits = cut(spans.groupBy("shard").applyInPandas(_alone(_index(False)), SPANS), "hits")
     else:
         known = index.table()
-        hits = cut(spans.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_index(False), SPANS), "hits")
-        index.add(spans.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_index(True), LEVEL))
+        hits = cut(spans.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_paired(_index(False)), SPANS), "hits")
+        index.add(spans.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_paired(_index(True)), LEVEL))
     drop_cut(spans)
     release_shuffles(spark)
     facts = seen.withColumn("kind", F.lit("seen")).unionByName(hits)
-    return rows.groupBy("batch").cogroup(facts.groupBy("batch")).applyInPandas(_remove(with_kept), DONE)
+    return rows.groupBy("batch").cogroup(facts.groupBy("batch")).applyInPandas(_paired(_remove(with_kept)), DONE)

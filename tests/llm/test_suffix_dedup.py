@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,54 @@ def test_later_batches_meet_the_stored_levels(spark, tmp_path):
     strings = {t[p : p + op.MATCH] for t in ((t or "").encode() for _, t in rows) for p in range(len(t) - op.MATCH + 1)}
     assert sum(n for _, n in stored.levels) == len(strings) and stored.turn == 5
     assert {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("level")} == {n for n, _ in stored.levels}
+
+
+def shard(batches):
+    """Rows of one shard: all neighbourhoods of these batches' texts."""
+    find, first, out = op._neighbourhoods(1, 1), 0, []
+    for k, texts in enumerate(batches):
+        docs = pd.DataFrame({"doc_id": range(first, first + len(texts)), "data": texts}).assign(slot=k, batch=k)
+        rows = find(docs)
+        out.append(rows[rows["kind"] == "span"])
+        first += len(texts)
+    return pd.concat(out, ignore_index=True)
+
+
+def answers(rows, levels=None):
+    out = op._index(False)(rows, levels)
+    return [zlib.decompress(x) for x in out["payload"]]
+
+
+def batches(n, size=2000):
+    rng = random.Random(6)
+    made = [[rng.randbytes(size) for _ in range(n)] for _ in range(4)]
+    return [texts + rng.sample(made[0], n // 3) for texts in made]
+
+
+def test_a_shard_needs_little_memory_beside_its_strings(monkeypatch):
+    monkeypatch.setattr(op, "PART", 20_000, raising=False)
+    monkeypatch.setattr(op, "CHUNK", 1 << 15)
+    rows = shard(batches(30))
+    strings = sum(int((np.frombuffer(x, np.uint8).astype(int) - op.MATCH + 1).sum()) for x in rows["lengths"])
+    tracemalloc.start()
+    op._index(False)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert strings > 200_000 and peak < 80 * strings
+
+
+def test_ranges_of_fingerprints_answer_as_one(monkeypatch):
+    rows = shard(batches(9))
+    old, new = rows[rows["batch"] < 2].reset_index(drop=True), rows[rows["batch"] >= 2].reset_index(drop=True)
+    levels = op._index(True)(old)
+    want, later = answers(rows), answers(new, levels)
+    zeros = [sum(not x for x in np.frombuffer(a, np.uint32)) for a in want]
+    assert zeros[0] == 0 and min(zeros[1:]) > 3000 and later == want[2:]
+    monkeypatch.setattr(op, "PART", 3000)
+    monkeypatch.setattr(op, "CHUNK", 1 << 13)
+    again = op._index(True)(old)
+    assert answers(rows) == want and answers(new, levels) == later and again.equals(levels)
+    # What deceives is ordered by its bytes, in each range.
+    real = op.string_keys
+    monkeypatch.setattr(op, "string_keys", lambda data: real(data) >> np.uint64(56) << np.uint64(56))
+    assert answers(rows) == want
